@@ -74,7 +74,8 @@ def _bytes(word: str, read: str) -> bytes | None:
 def undo(word: str, chain: tuple[str, str, int]) -> str | None:
     """``word`` as it was before ``chain``; null if the chain can't have made it or changes nothing.
 
-    A last byte A0 may have become the blank after the word: where only that is missing, it is added.
+    A last byte A0 may have become the blank after the word: where only that is missing to a last
+    letter of two bytes, it is added.
     """
     written, read, times = chain
     out = word
@@ -85,7 +86,7 @@ def undo(word: str, chain: tuple[str, str, int]) -> str | None:
         try:
             back = raw.decode(written)
         except UnicodeDecodeError as e:
-            if written != "utf-8" or len(word) < 3 or e.end != len(raw) or raw[e.start] < 0xC2:
+            if written != "utf-8" or len(word) < 3 or e.start != len(raw) - 1 or not 0xC2 <= raw[-1] <= 0xDF:
                 return None
             try:
                 back = (raw + b"\xa0").decode(written)
