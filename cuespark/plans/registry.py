@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuespark.plans import core_problems
+from cuespark.plans import core_problems, reference_queries
 
-MODULES = [core_problems]
-FLAGSHIP = "p1_found"
+MODULES = [core_problems, reference_queries]
+FLAGSHIP = "search_any_phrases"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
