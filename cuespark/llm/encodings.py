@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuespark.shared import checkpointed
+
 # (written in, read in, times)
 CHAINS: list[tuple[str, str, int]] = [
     ("utf-8", "cp1252", 1), ("utf-8", "cp1252", 2), ("utf-8", "cp1251", 1), ("utf-8", "cp1250", 1), ("utf-8", "iso8859-2", 1),
@@ -141,11 +143,16 @@ def letter_model(texts: DataFrame, text: str) -> np.ndarray:
     """Log shares of the letter pairs and triples of all texts: an array of ``BUCKETS`` numbers, and only that, on the driver."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, counts = _letters(), np.zeros(BUCKETS, np.int64)
+        letters, counts, waiting = _letters(), np.zeros(BUCKETS, np.int64), []
         for batch in batches:
             found = [x for x in batch.column(0).to_pylist() if x]
             if found:
-                counts += np.bincount(np.concatenate(letters.grams(" ".join(found))), minlength=BUCKETS)
+                waiting += letters.grams(" ".join(found))
+            if sum(map(len, waiting)) > BUCKETS:
+                counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+                waiting = []
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["bucket", "n"])
 
@@ -331,8 +338,8 @@ def find_garbled(table: DataFrame, record_id: str, source: Column, fields: list[
     A record is garbled in a field if the posterior of any chain is over ``least``, given its evidence
     and the shares of the chains in its source and field; a text with replacement characters is.
 
-    The letter pairs and triples are counted over all texts of all fields. Three passes read the texts: for the
-    letters, for the evidence to estimate from, and for the evidence to decide on.
+    The letter pairs and triples are counted over all texts of all fields. Two passes read the texts:
+    for the letters and for the evidence. The records with evidence are written to the shared folder.
 
     Defined results: null texts and texts in ASCII are not garbled. A null source is a source of its
     own. Repeated records are decided alike, each for itself. Any length of text is fine.
@@ -345,7 +352,8 @@ def find_garbled(table: DataFrame, record_id: str, source: Column, fields: list[
     ).select("record", "source", "x.field", "x.text")
     long = long.where(F.col("text").isNotNull())
     model = letter_model(long, "text")
-    evidence = gather_evidence(long, ["record", "source", "field"], "text", model)
+    # read for the shares and for the decisions, but gathered once: the few texts that speak for a chain
+    evidence = checkpointed(gather_evidence(long, ["record", "source", "field"], "text", model))
     records = long.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n"))
     decided = posteriors(evidence.select("source", "field", "evidence"), records).where(F.col("posterior") > least)
     return evidence.join(decided, ["source", "field", "evidence"]).select(F.col("record").alias(record_id), "field", "source", "text", "chain", "posterior")
