@@ -332,18 +332,8 @@ def posteriors(evidence: DataFrame, records: DataFrame) -> DataFrame:
 CHAIN_NAMES = [f"{w} read as {r}" + " twice" * (t == 2) for w, r, t in CHAINS] + ["lost characters"]
 
 
-def find_garbled(table: DataFrame, record_id: str, source: Column, fields: list[str], least: float = 0.5) -> DataFrame:
-    """``record_id``, ``field``, ``source``, ``text``, ``chain`` (number), ``posterior`` of the garbled records.
-
-    A record is garbled in a field if the posterior of any chain is over ``least``, given its evidence
-    and the shares of the chains in its source and field; a text with replacement characters is.
-
-    The letter pairs and triples are counted over all texts of all fields. Two passes read the texts:
-    for the letters and for the evidence. The records with evidence are written to the shared folder.
-
-    Defined results: null texts and texts in ASCII are not garbled. A null source is a source of its
-    own. Repeated records are decided alike, each for itself. Any length of text is fine.
-    """
+def _decided(table: DataFrame, record_id: str, source: Column, fields: list[str], least: float) -> tuple[DataFrame, np.ndarray]:
+    """The garbled records, and the model of letters that they were judged by."""
     kind = dict(table.dtypes)[record_id]
     long = table.select(
         F.col(record_id).cast(kind).alias("record"),
@@ -356,19 +346,35 @@ def find_garbled(table: DataFrame, record_id: str, source: Column, fields: list[
     evidence = checkpointed(gather_evidence(long, ["record", "source", "field"], "text", model))
     records = long.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n"))
     decided = posteriors(evidence.select("source", "field", "evidence"), records).where(F.col("posterior") > least)
-    return evidence.join(decided, ["source", "field", "evidence"]).select(F.col("record").alias(record_id), "field", "source", "text", "chain", "posterior")
+    found = evidence.join(decided, ["source", "field", "evidence"])
+    return found.select(F.col("record").alias(record_id), "field", "source", "text", "chain", "posterior"), model
+
+
+def find_garbled(table: DataFrame, record_id: str, source: Column, fields: list[str], least: float = 0.5) -> DataFrame:
+    """``record_id``, ``field``, ``source``, ``text``, ``chain`` (number), ``posterior`` of the garbled records.
+
+    A record is garbled in a field if the posterior of any chain is over ``least``, given its evidence
+    and the shares of the chains in its source and field; a text with replacement characters is.
+
+    The letter pairs and triples are counted over all texts of all fields. Two passes read the texts:
+    for the letters and for the evidence. The records with evidence are written to the shared folder.
+
+    Defined results: null texts and texts in ASCII are not garbled. A null source is a source of its
+    own. Repeated records are decided alike, each for itself. Any length of text is fine.
+    """
+    return _decided(table, record_id, source, fields, least)[0]
 
 
 def repair_garbled(table: DataFrame, record_id: str, source: Column, fields: list[str], least: float = 0.5) -> DataFrame:
     """The garbled records with the ``chain``'s name and the text as it was (``repaired``; null if lost)."""
-    long = table.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("text")).where("text is not null")
-    model = table.sparkSession.sparkContext.broadcast(letter_model(long, "text"))  # BUCKETS numbers
-    found = find_garbled(table, record_id, source, fields, least)
+    found, letters = _decided(table, record_id, source, fields, least)
+    model = table.sparkSession.sparkContext.broadcast(letters)  # BUCKETS numbers
 
-    @F.pandas_udf("string")
-    def repaired(texts: pd.Series, chains: pd.Series) -> pd.Series:
+    def repaired(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         evidence = Evidence(model.value)
-        return pd.Series([evidence.repair(t, int(k)) for t, k in zip(texts, chains)], dtype=object)
+        for texts, chains in batches:
+            yield pd.Series([evidence.repair(t, int(k)) for t, k in zip(texts, chains)], dtype=object)
 
+    repair = F.pandas_udf(repaired, "string", F.PandasUDFType.SCALAR_ITER)
     names = F.array(*[F.lit(n) for n in CHAIN_NAMES])
-    return found.select(record_id, "field", "source", "text", F.get(names, F.col("chain")).alias("chain"), "posterior", repaired("text", "chain").alias("repaired"))
+    return found.select(record_id, "field", "source", "text", F.get(names, F.col("chain")).alias("chain"), "posterior", repair("text", "chain").alias("repaired"))
