@@ -195,7 +195,7 @@ class Evidence:
         return known
 
     def of_text(self, text: str) -> list[tuple[int, int]]:
-        """The ``KEPT`` strongest (chain, whole nats up to ``TOP``) of a text, by chain."""
+        """The ``KEPT`` strongest (chain, whole nats up to ``TOP``) of a text, by chain; those far behind the first are left out."""
         if "�" in text:
             return [(LOST, TOP)]
         total: dict[int, float] = {}
@@ -204,7 +204,9 @@ class Evidence:
                 for k, gain, _ in self.of_word(word):
                     total[k] = total.get(k, 0.0) + gain
         best = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:KEPT]
-        return sorted((k, min(TOP, int(round(g)))) for k, g in best)
+        # what is over the top is taken from all, so that their differences stay
+        over = max(0.0, best[0][1] - TOP) if best else 0.0
+        return sorted((k, int(round(g - over))) for k, g in best if g - over >= LEAST)
 
     def repair(self, text: str, chain: int) -> str | None:
         """``text`` with the words that speak for ``chain`` undone; null where that chain can't be undone."""
@@ -370,11 +372,11 @@ def repair_garbled(table: DataFrame, record_id: str, source: Column, fields: lis
     found, letters = _decided(table, record_id, source, fields, least)
     model = table.sparkSession.sparkContext.broadcast(letters)  # BUCKETS numbers
 
+    @F.pandas_udf("string")
     def repaired(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         evidence = Evidence(model.value)
         for texts, chains in batches:
             yield pd.Series([evidence.repair(t, int(k)) for t, k in zip(texts, chains)], dtype=object)
 
-    repair = F.pandas_udf(repaired, "string", F.PandasUDFType.SCALAR_ITER)
     names = F.array(*[F.lit(n) for n in CHAIN_NAMES])
-    return found.select(record_id, "field", "source", "text", F.get(names, F.col("chain")).alias("chain"), "posterior", repair("text", "chain").alias("repaired"))
+    return found.select(record_id, "field", "source", "text", F.get(names, F.col("chain")).alias("chain"), "posterior", repaired("text", "chain").alias("repaired"))

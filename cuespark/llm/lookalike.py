@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,8 +182,6 @@ def find_lookalikes(table: DataFrame, record_id: str, text: str, phrases: list[t
 
 def unify(table: DataFrame, text: str, unified: str) -> DataFrame:
     """``table`` with ``canonical_form`` of a string column as ``unified``; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def form(texts: pd.Series) -> pd.Series:
         codes, distinct = pd.factorize(texts)
