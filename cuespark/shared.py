@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _setting(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def _need_cluster_setting(spark: SparkSession) -> None:
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
@@ -16,8 +29,22 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _setting(spark)
+        if not folder:
+            _need_cluster_setting(spark)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return frame.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, as a local path, that all executors share; ``spark.checkpoint.dir`` must be on a mounted file system."""
+    folder = _setting(spark)
+    if not folder:
+        _need_cluster_setting(spark)
+        return tempfile.mkdtemp(prefix=f"{name}-")
+    place = urlparse(folder)
+    if place.scheme not in ("", "file"):
+        raise ValueError(f"{folder} is no mounted folder")
+    made = os.path.join(place.path, f"{name}-{uuid.uuid4().hex}")
+    os.makedirs(made)
+    return made
