@@ -16,7 +16,7 @@ LEAST_WORDS = 12
 # Which of the LEAST_WORDS word positions of a window a seed compares. Any one substituted word of a
 # window, and any two that are a multiple of three words apart, are skipped by one of the seeds.
 SEEDS = ("111111111111", "110110110110", "101101101101", "011011011011", "111000111000", "000111000111")
-BLOCK_WORDS = 4_000_000  # of evaluation text that is sent to the executors at once
+BLOCK_WORDS = 1_000_000  # of evaluation text that is sent to the executors at once: 16 MB a seed
 DOCUMENTS_AT_ONCE = 512
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -59,7 +59,7 @@ def _windows(numbers: np.ndarray, seed: str) -> np.ndarray:
 class EvaluationIndex:
     """The windows of a block of evaluation items, by seed, sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, str]], seeds: tuple[str, ...] = SEEDS):
+    def __init__(self, items: list[tuple[int, str]], seeds: tuple[str, ...]):
         number = _Words()
         self.seeds, self.ids, self.tokens = seeds, [i for i, _ in items], [number(words(t)) for _, t in items]
         self.tables = []
@@ -106,9 +106,9 @@ def _overlaps(document: np.ndarray, item: np.ndarray, shift: int, substitutions:
     return out
 
 
-def _kernel(index: EvaluationIndex, seeds: list[int], substitutions: int, least: int):
+def _kernel(shared, substitutions: int, least: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Words()
+        number, index = _Words(), shared.value
         for whole in batches:
             for begin in range(0, whole.num_rows, DOCUMENTS_AT_ONCE):
                 batch = whole.slice(begin, DOCUMENTS_AT_ONCE)
@@ -119,7 +119,7 @@ def _kernel(index: EvaluationIndex, seeds: list[int], substitutions: int, least:
                 starts = ends - sizes
                 numbers = number([w for x in found for w in x])
                 diagonals: set[tuple[int, int, int]] = set()
-                for seed in seeds:
+                for seed in range(len(index.seeds)):
                     where, item, at = index.hits(numbers, seed)
                     row = np.searchsorted(ends, where, "right")
                     fits = where + len(index.seeds[seed]) <= ends[row] if len(where) else np.empty(0, bool)
@@ -157,7 +157,8 @@ def leaked_passages(
     is reported for itself. Passages of one document and item on several diagonals are several rows.
     """
     kind = dict(documents.dtypes)[doc_id]
-    seeds = [i for i, s in enumerate(SEEDS) if "0" not in s or substitutions]
+    seeds = tuple(s for s in SEEDS if "0" not in s or substitutions)
+    context = documents.sparkSession.sparkContext
     part = documents.select(F.col(doc_id), F.col(text), F.col(document_format)).where(F.col(text).isNotNull())
     blocks: list[list[tuple[int, str]]] = [[]]
     size = 0
@@ -171,7 +172,7 @@ def leaked_passages(
     out = None
     for block in blocks:
         found = part.mapInArrow(
-            _kernel(EvaluationIndex(block), seeds, substitutions, least),
+            _kernel(context.broadcast(EvaluationIndex(block, seeds)), substitutions, least),
             f"doc_id {kind}, item_id bigint, doc_word bigint, item_word bigint, words bigint, substituted bigint",
         )
         out = found if out is None else out.unionAll(found)
