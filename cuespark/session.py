@@ -12,6 +12,7 @@ from cuespark.operators.discovery import Discovery, discover
 from cuespark.operators.plan import plan_faults, plan_files
 from cuespark.operators.search import distinct_phrases, editor_filter, search_any
 from cuespark.shared import checkpointed
+from cuespark.ship import ship
 from cuespark.workspace import Plan, Progress, Summary, Workspace, WorkspaceError, plan_from
 
 
@@ -38,7 +39,7 @@ class Session:
     """A workspace with its latest scan, its latest review, and its open file."""
 
     def __init__(self, spark: SparkSession, workspace: Workspace):
-        self.spark, self.workspace = spark, workspace
+        self.spark, self.workspace = ship(spark), workspace
         self.found: Discovery | None = None
         self.review: Review | None = None
         self.opened: OpenFile | None = None

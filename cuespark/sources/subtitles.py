@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from decimal import Decimal
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
@@ -175,5 +176,15 @@ class SubtitleSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``spark.read.format("subtitles")`` and ``spark.readStream.format("subtitles")`` work."""
-    spark.dataSource.register(SubtitleSource)
+    """Makes ``spark.read.format("subtitles")`` and ``spark.readStream.format("subtitles")`` work.
+
+    The processes that plan a stream don't see the files of an application, so the source is sent
+    with all it needs.
+    """
+    import cuespark
+
+    cloudpickle.register_pickle_by_value(cuespark)
+    try:
+        spark.dataSource.register(SubtitleSource)
+    finally:
+        cloudpickle.unregister_pickle_by_value(cuespark)
