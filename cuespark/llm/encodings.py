@@ -26,7 +26,7 @@ CHAINS: list[tuple[str, str, int]] = [
     ("utf-8", "mac_roman", 1), ("utf-8", "cp850", 1), ("utf-8", "cp437", 1), ("utf-8", "cp866", 1), ("utf-8", "koi8-r", 1),
     ("cp1251", "cp1252", 1), ("cp1251", "koi8-r", 1), ("koi8-r", "cp1251", 1), ("koi8-r", "cp1252", 1), ("cp866", "cp1251", 1), ("cp866", "cp1252", 1),
     ("cp1250", "cp1252", 1), ("iso8859-2", "cp1252", 1), ("iso8859-2", "cp1250", 1), ("cp1250", "iso8859-2", 1),
-    ("euc_jp", "cp1252", 1), ("shift_jis", "cp1252", 1), ("utf-8", "shift_jis", 1), ("cp1252", "mac_roman", 1), ("mac_roman", "cp1252", 1), ("cp850", "cp1252", 1),
+    ("euc_jp", "cp1252", 1), ("shift_jis", "cp1252", 1), ("utf-8", "shift_jis", 1), ("utf-16-le", "utf-16-be", 1), ("cp1252", "mac_roman", 1), ("mac_roman", "cp1252", 1), ("cp850", "cp1252", 1),
 ]
 LOST = len(CHAINS)  # the chain that leaves replacement characters; nothing undoes it
 BITS = 22
@@ -57,11 +57,12 @@ def _reader(encoding: str) -> dict[int, int]:
     return table
 
 
-_TABLES = {read: _reader(read) for _, read, _ in CHAINS if read != "shift_jis"}
+WIDE = ("shift_jis", "utf-16-be")  # readers of more than one byte a character
+_TABLES = {read: _reader(read) for _, read, _ in CHAINS if read not in WIDE}
 
 
 def _bytes(word: str, read: str) -> bytes | None:
-    if read == "shift_jis":
+    if read in WIDE:
         try:
             return word.encode(read)
         except UnicodeEncodeError:
@@ -73,31 +74,60 @@ def _bytes(word: str, read: str) -> bytes | None:
         return None
 
 
-def undo(word: str, chain: tuple[str, str, int]) -> str | None:
-    """``word`` as it was before ``chain``; null if the chain can't have made it or changes nothing.
+def _decode_utf8(raw: bytes, word: str, narrow: bool) -> str | None:
+    """The decoded bytes of a word; null if they aren't UTF-8.
 
-    A last byte A0 may have become the blank after the word: where only that is missing to a last
-    letter of two bytes, it is added.
+    Bytes that read as white space (85, A0) have ended words, so that sequences are cut in two. A
+    last byte A0 is put back to a two-byte letter, or to a longer one in a word with whole letters;
+    what is left of other cut sequences stays as it is, if there is a whole letter beside it.
     """
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        if not narrow:
+            return None
+    begin = 0
+    while begin < min(2, len(raw)) and 0x80 <= raw[begin] < 0xC0:
+        begin += 1
+    end = len(raw)
+    for back in range(1, min(3, len(raw) - begin) + 1):
+        lead = raw[-back]
+        if lead >= 0xC0:
+            if back < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4):
+                end = len(raw) - back
+            break
+    try:
+        middle = raw[begin:end].decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    tail = word[end:]
+    if end < len(raw) and len(word) > 2 and (not middle.isascii() or (end == len(raw) - 1 and raw[end] < 0xE0)):
+        try:
+            return word[:begin] + middle + (raw[end:] + b"\xa0").decode("utf-8")
+        except UnicodeDecodeError:
+            pass
+    return None if middle.isascii() else word[:begin] + middle + tail
+
+
+def undo(word: str, chain: tuple[str, str, int]) -> str | None:
+    """``word`` as it was before ``chain``; null if the chain can't have made it or changes nothing."""
     written, read, times = chain
     out = word
     for _ in range(times):
         raw = _bytes(out, read)
         if raw is None:
             return None
-        try:
-            back = raw.decode(written)
-        except UnicodeDecodeError as e:
-            if written != "utf-8" or len(word) < 3 or e.start != len(raw) - 1 or not 0xC2 <= raw[-1] <= 0xDF:
-                return None
+        if written == "utf-8":
+            back = _decode_utf8(raw, out, read not in WIDE)
+        else:
             try:
-                back = (raw + b"\xa0").decode(written)
+                back = raw.decode(written)
             except UnicodeDecodeError:
-                return None
-        if back == out:
+                back = None
+        if back is None or back == out:
             return None
         out = back
-    return out if out.isprintable() else None
+    return out
 
 
 class Letters:
@@ -112,8 +142,8 @@ class Letters:
             self.low[c] = ord(low) if len(low) == 1 else c
             self.small[c] = chr(c).islower()
 
-    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket of each two and three neighbours with a letter beyond ASCII; blanks stand around the text."""
+    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket of each two and of each three neighbours, blanks around the text; and which threes have a letter beyond ASCII."""
         points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
         table = points < 0x3000
         safe = np.where(table, points, 0)
@@ -122,12 +152,12 @@ class Letters:
         low = np.where(after_small, points, low).astype(np.uint64)
         far = low > 127
         a, b, c = low[:-2], low[1:-1], low[2:]
-        pair, triple = far[:-1] | far[1:], far[:-2] | far[1:-1] | far[2:]
         with np.errstate(over="ignore"):
-            two = (low[:-1][pair] * _MIX[0]) ^ (low[1:][pair] * _MIX[1])
-            three = (a[triple] * _MIX[1]) ^ (b[triple] * _MIX[2]) ^ (c[triple] * _MIX[3]) ^ _MIX[0]
+            two = (low[:-1] * _MIX[0]) ^ (low[1:] * _MIX[1])
+            three = (a * _MIX[1]) ^ (b * _MIX[2]) ^ (c * _MIX[3]) ^ _MIX[0]
             out = [(x ^ (x >> np.uint64(31))) * _MIX[2] for x in (two, three)]
-        return tuple((x >> np.uint64(64 - BITS)).astype(np.int64) for x in out)
+        two, three = ((x >> np.uint64(64 - BITS)).astype(np.int64) for x in out)
+        return two, three, far[:-2] | far[1:-1] | far[2:]
 
 
 _LETTERS: list[Letters] = []
@@ -147,7 +177,7 @@ def letter_model(texts: DataFrame, text: str) -> np.ndarray:
         for batch in batches:
             found = [x for x in batch.column(0).to_pylist() if x]
             if found:
-                waiting += letters.grams(" ".join(found))
+                waiting += letters.grams(" ".join(found))[:2]
             if sum(map(len, waiting)) > BUCKETS:
                 counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
                 waiting = []
@@ -156,7 +186,7 @@ def letter_model(texts: DataFrame, text: str) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["bucket", "n"])
 
-    seen = texts.select(F.col(text)).where(F.col(text).rlike(r"[^\x00-\x7F]")).mapInArrow(kernel, "bucket int, n bigint")
+    seen = texts.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(kernel, "bucket int, n bigint")
     counts = np.zeros(BUCKETS)
     summed = seen.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
     counts[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
@@ -170,9 +200,14 @@ class Evidence:
         self.model, self.unseen, self.words = model, float(model.min()) + 1e-3, {}
 
     def _fit(self, word: str) -> tuple[float, float]:
-        """Log likelihood of a word's letters, triples before pairs, and the share of triples that the corpus knows."""
-        two, three = (self.model[x] for x in _letters().grams(word))
-        return float(PAIRS * two.sum() + (1 - PAIRS) * three.sum()), float((three > self.unseen).mean()) if len(three) else 0.0
+        """Log likelihood of a word's letters, triples before pairs, and the share of its triples that the corpus knows.
+
+        The share is that of triples with a letter beyond ASCII, if there are any.
+        """
+        two, three, far = _letters().grams(word)
+        pairs, triples = self.model[two], self.model[three]
+        judged = triples[far] if far.any() else triples
+        return float(PAIRS * pairs.sum() + (1 - PAIRS) * triples.sum()), float((judged > self.unseen).mean()) if len(judged) else 0.0
 
     def of_word(self, word: str) -> list[tuple[int, float, str]]:
         """(chain, nats, repaired) for the chains that ``word`` speaks for."""
@@ -187,8 +222,8 @@ class Evidence:
                 if back is None:
                     continue
                 fit, known_share = self._fit(back)
-                # a word made of groups that the corpus doesn't know, or of ASCII only, says nothing
-                if known_share >= 0.5 and fit - own >= LEAST:
+                # a word made of groups that the corpus doesn't know says nothing
+                if known_share > 0.5 and fit - own >= LEAST:
                     known.append((k, fit - own, back))
             if len(word) <= 200:
                 self.words[word] = known

@@ -74,3 +74,24 @@ def test_weak_evidence_counts_where_a_chain_is_common():
     often = maximize(weak, np.array([5.0, 50.0]), 500.0, prior)
     seldom = maximize(weak[:1], np.array([5.0]), 5000.0, prior)
     assert np.isclose(often.sum(), 1) and often[3] > 0.05 > 0.005 > seldom[3]
+
+
+def test_cut_sequences_and_swapped_bytes():
+    utf8 = CHAINS[0]
+    word = garble("なぜ先生は", utf8)
+    assert undo(word[:-1], utf8).startswith("なぜ先生") and undo(word[1:], utf8).endswith("ぜ先生は")
+    assert undo("ã\x81\x9fã\x82\x93ã\x81", utf8) == "たんだ"  # the last byte of the last letter read as a blank
+    assert undo("wаѕ", ("utf-8", "cp1251", 1)) is None
+    swapped = ("utf-16-le", "utf-16-be", 1)
+    assert undo("Thé".encode("utf-16-le").decode("utf-16-be"), swapped) == "Thé"
+
+
+def test_swapped_ascii_is_found(spark):
+    rng = random.Random(2)
+    words = ["the", "captain", "lost", "a", "copper", "lantern", "near", "old", "harbour"]
+    rows = [(i, " ".join(rng.choices(words, k=8))) for i in range(500)]
+    rows += [(1000 + i, " ".join(w.encode("utf-16-le").decode("utf-16-be") for w in t.split())) for i, t in rows[:20]]
+    table = spark.createDataFrame(rows, "row_id bigint, text string")
+    found = repair_garbled(table, "row_id", F.lit("s"), ["text"]).collect()
+    assert sorted(r.row_id for r in found) == list(range(1000, 1020))
+    assert all(r.repaired == rows[r.row_id - 1000][1] for r in found)
