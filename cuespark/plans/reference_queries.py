@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuespark import functions as C
+from cuespark.operators.native_srt import parse_srt_native
 from cuespark.operators.parse import cues_of, issues_of, parse_files
 from cuespark.operators.plan import mutation_summary, plan_files, recovery_roles, retained_numbers
 from cuespark.operators.render import encode_file, render_files
@@ -218,6 +219,11 @@ def _read_again(form: str, encoding: str = "utf-8"):
     return query
 
 
+def roundtrip_srt_native(spark: SparkSession, directory: str) -> DataFrame:
+    files = render_files(_plain(_cues(spark, directory)), "srt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
+    return parse_srt_native(files).select("path", "ordinal", "start_ms", "end_ms", "display_text", "search_text")
+
+
 def cue_spans(spark: SparkSession, directory: str) -> DataFrame:
     files = render_files(_plain(_cues(spark, directory)), "srt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
     cues = cues_of(parse_files(files, form=F.lit("srt")))
@@ -267,7 +273,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {
     "render_srt": _rendered("srt"), "render_vtt": _rendered("webvtt"), "render_ass": _rendered("ass"),
-    "roundtrip_srt": _read_again("srt"), "roundtrip_vtt": _read_again("webvtt"), "roundtrip_ass": _read_again("ass"),
+    "roundtrip_srt_native": roundtrip_srt_native, "roundtrip_srt": _read_again("srt"), "roundtrip_vtt": _read_again("webvtt"), "roundtrip_ass": _read_again("ass"),
     "roundtrip_utf16": _read_again("srt", "utf-16le-bom"), "roundtrip_utf16be_ass": _read_again("ass", "utf-16be-bom"),
 }
 
@@ -347,7 +353,7 @@ select cast(row_number() over (order by o, query) - 1 as int) as query_index, qu
     "render_srt": _render_sql(_SRT),
     "render_vtt": _render_sql(_VTT, _VTT_HEAD),
     "render_ass": _render_sql(_ASS, _ASS_HEAD),
-    "roundtrip_srt": _AGAIN, "roundtrip_vtt": _AGAIN, "roundtrip_ass": _AGAIN, "roundtrip_utf16": _AGAIN, "roundtrip_utf16be_ass": _AGAIN,
+    "roundtrip_srt_native": _AGAIN, "roundtrip_srt": _AGAIN, "roundtrip_vtt": _AGAIN, "roundtrip_ass": _AGAIN, "roundtrip_utf16": _AGAIN, "roundtrip_utf16be_ass": _AGAIN,
     "cue_spans": f"""with {_PLAIN}, sized as (select path, n, strlen({_SRT}) as size from plain),
 placed as (select path, n, sum(size) over (partition by path order by n) as last, size from sized)
 select path, cast(n - 1 as int) as ordinal, 'srt:' || cast(last - size as bigint) || ':' || cast(last as bigint) || ':' || (n - 1) as cue_id, cast(last - size as bigint) as first, cast(last as bigint) as last, cast(length(n::varchar) as bigint) as digits from placed""",
