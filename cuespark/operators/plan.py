@@ -69,6 +69,38 @@ def marks_after_refresh(marks: DataFrame, cues: DataFrame) -> DataFrame:
     return marks.join(cues.select("path", "cue_id"), ["path", "cue_id"], "left_semi")
 
 
+def marked_counts(cues: DataFrame, marks: DataFrame, visible: DataFrame) -> DataFrame:
+    """One row per file: cues ``marked``, of them ``visible_marked`` under the present filter, and ``hidden_marked``."""
+    key = ["path", "cue_id"]
+    shown = visible.select(*key).distinct().withColumn("shown", F.lit(True))
+    kept = cues.join(marks.select(*key).distinct(), key, "left_semi").join(shown, key, "left")
+    seen = F.coalesce("shown", F.lit(False))
+    return kept.groupBy("path").agg(F.count(F.lit(1)).alias("marked"), F.count_if(seen).alias("visible_marked"), F.count_if(~seen).alias("hidden_marked"))
+
+
+def source_positions(visible: DataFrame, cues: DataFrame) -> DataFrame:
+    """The source ``ordinal`` of each visible cue id, each once; ``unknown`` ids have none."""
+    return visible.select("path", "cue_id").distinct().join(cues.select("path", "cue_id", "ordinal"), ["path", "cue_id"], "left").withColumn("unknown", F.col("ordinal").isNull())
+
+
+def outside_targets(targets: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The ``path`` of a transaction's targets that a scoped command may not touch."""
+    return targets.select("path").distinct().join(allowed.select("path"), "path", "left_anti")
+
+
+def request_size(plan: DataFrame) -> DataFrame:
+    """One row: ``files`` and ``cues`` of a deletion request."""
+    return plan.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.size("cue_ids")), F.lit(0)).cast("bigint").alias("cues"))
+
+
+def cumulative_progress(results: DataFrame) -> DataFrame:
+    """``path``, ``completed``, ``deleted_so_far`` of results in the order of ``position``, as progress events add up."""
+    from pyspark.sql import Window
+
+    order = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)  # the files of one change
+    return results.select("path", F.count(F.lit(1)).over(order).alias("completed"), F.sum("deleted_cues").over(order).alias("deleted_so_far"))
+
+
 def retained_numbers(cues: DataFrame, deleted: DataFrame) -> DataFrame:
     """``path``, ``cue_id``, ``number`` (1, 2, ... in source order) of the cues that a deletion keeps."""
     from pyspark.sql import Window

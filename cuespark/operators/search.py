@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuespark.kernel.texts import normalize_search
@@ -30,6 +30,15 @@ def distinct_phrases(phrases: list[str]) -> Phrases:
     return Phrases(list(seen.values()), list(seen))
 
 
+def load_phrases(spark: SparkSession, path: str) -> DataFrame:
+    """A text file with one literal phrase per line as ``query_index``, ``query``, ``normalized``; see ``dedupe_phrases``.
+
+    A phrase list is one small file and is read by one task, so that lines keep their order.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line", "query"))
+    return dedupe_phrases(lines, "line", "query")
+
+
 def dedupe_phrases(phrases: DataFrame, order: str, query: str) -> DataFrame:
     """``query_index`` (0, 1, ...), ``query`` (first spelling) and ``normalized`` of the distinct phrases of a table."""
     from cuespark.functions import normalize_search as form
@@ -113,3 +122,8 @@ def preview(cues: DataFrame, most: int = 5) -> DataFrame:
 def editor_filter(cues: DataFrame, phrase: str) -> DataFrame:
     """The cues of an open file that hold the phrase; a phrase without text keeps all."""
     return search_one(cues, phrase) if normalize_search(phrase) else cues
+
+
+def page(cues: DataFrame, number: int, size: int) -> DataFrame:
+    """Page ``number`` (from 0) of an open file's cues, in source order."""
+    return cues.orderBy("ordinal").offset(number * size).limit(size)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from cuespark import functions as C
 from cuespark.operators.native_srt import parse_srt_native
 from cuespark.operators.parse import cues_of, issues_of, parse_files
-from cuespark.operators.plan import mutation_summary, plan_files, recovery_roles, retained_numbers
+from cuespark.operators.plan import cumulative_progress, marked_counts, marks_after_refresh, mutation_summary, outside_targets, plan_files, recovery_roles, request_size, retained_numbers, source_positions
 from cuespark.operators.render import encode_file, render_files
 from cuespark.operators.rewrite import render_deletion, splice_out
-from cuespark.operators.search import dedupe_phrases, preview, search_any, search_one, search_summary, search_table
+from cuespark.operators.search import dedupe_phrases, editor_filter, page, preview, search_any, search_one, search_summary, search_table
 from cuespark.tables import load
 
 PHRASE = "thanks for staying with this feed"
@@ -200,6 +200,41 @@ def recovery_role_list(spark: SparkSession, directory: str) -> DataFrame:
     return recovery_roles(manifests, issues.select(F.col("path").alias("id"), role.alias("role")).where("role is not null"))
 
 
+def marks_per_file(spark: SparkSession, directory: str) -> DataFrame:
+    cues = _cues(spark, directory)
+    return marked_counts(cues, cues.where("ordinal % 2 = 0"), search_any(cues, ["the", "la"]))
+
+
+def marks_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """Every second cue is marked; a later scan has only the cues with usable times."""
+    cues = _cues(spark, directory)
+    return marks_after_refresh(cues.where("ordinal % 2 = 0").select("path", "cue_id"), cues.where("end_ms > start_ms"))
+
+
+def editor_positions(spark: SparkSession, directory: str) -> DataFrame:
+    visible = editor_filter(load(spark, directory, "cues"), "the").select("path", "cue_id")
+    return source_positions(visible, _cues(spark, directory)).select("path", "cue_id", "ordinal", "unknown")
+
+
+def editor_page(spark: SparkSession, directory: str) -> DataFrame:
+    cues = _cues(spark, directory).where("path like '%open-feed%'")
+    return page(cues, 3, 20).select("ordinal", "cue_id")
+
+
+def targets_outside(spark: SparkSession, directory: str) -> DataFrame:
+    return outside_targets(_cues(spark, directory), _files(spark, directory).where("encoding = 'utf-8'"))
+
+
+def request_counts(spark: SparkSession, directory: str) -> DataFrame:
+    return request_size(plan_files(_deleted(spark, directory), _files(spark, directory), "all", 1))
+
+
+def progress_sums(spark: SparkSession, directory: str) -> DataFrame:
+    """The issues of the export as results of one change, in the order of path and kind."""
+    results = load(spark, directory, "issues").groupBy("path", "kind").agg(F.coalesce(F.max("error_line"), F.lit(0)).alias("deleted_cues"))
+    return cumulative_progress(results.withColumn("position", F.struct("path", "kind")))
+
+
 # files made from cues, and read again
 
 
@@ -269,6 +304,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_single, search_any_phrases, search_phrase_table, search_counts, matches_per_file, phrase_dedupe, preview_top5, match_projection,
         scan_projection, cues_per_file, files_union_issues, issue_counts, json_export,
         plan_by_file, plan_selected, retained_renumbered, status_summary, recovery_role_list,
+        marks_per_file, marks_kept, editor_positions, editor_page, targets_outside, request_counts, progress_sums,
         cue_spans, delete_render_srt, delete_native_vtt, delete_nothing, malformed_issues,
     )
 } | {
@@ -350,6 +386,15 @@ select cast(row_number() over (order by o, query) - 1 as int) as query_index, qu
   count(*) filter (kind = 'symlink') as conflicted, count(*) filter (kind = 'invalid') as failed, count(*) filter (kind = 'hardlink') as not_attempted, cast(sum(coalesce(error_line, 0)) as bigint) as deleted_cues from issues""",
     "recovery_role_list": """select path as id, case max(kind) when 'symlink' then 'undo' when 'hardlink' then 'pending' when 'too-large' then 'garbage' when 'unreadable' then 'corrupt' when 'unsafe' then 'corrupt' else 'orphan' end as role
   from issues where path is not null group by path""",
+    "marks_per_file": f"""with {_ONCE}, marked as (select *, coalesce(contains(search_text, 'the') or contains(search_text, 'la'), false) as shown from once where ordinal % 2 = 0)
+select path, count(*) as marked, count(*) filter (shown) as visible_marked, count(*) filter (not shown) as hidden_marked from marked group by path""",
+    "marks_kept": f"with {_ONCE} select path, cue_id from once where ordinal % 2 = 0 and end_ms > start_ms",
+    "editor_positions": f"with {_ONCE} select path, cue_id, ordinal, false as unknown from once where contains(search_text, 'the')",
+    "editor_page": f"with {_ONCE} select ordinal, cue_id from once where path like '%open-feed%' order by ordinal limit 20 offset 60",
+    "targets_outside": f"with {_LATEST} select distinct path from cues where path is not null and path not in (select path from latest where encoding = 'utf-8')",
+    "request_counts": f"with {_FOUND}, {_LATEST} select count(distinct f.path) as files, count(*) as cues from found f join latest l on f.path = l.path",
+    "progress_sums": """with r as (select path, kind, coalesce(max(error_line), 0) as d from issues group by path, kind)
+select path, count(*) over w as completed, cast(sum(d) over w as bigint) as deleted_so_far from r window w as (order by path, kind rows unbounded preceding)""",
     "render_srt": _render_sql(_SRT),
     "render_vtt": _render_sql(_VTT, _VTT_HEAD),
     "render_ass": _render_sql(_ASS, _ASS_HEAD),

@@ -9,7 +9,7 @@ from cuespark.kernel.files import safe_relative
 from cuespark.kernel.formats import detect_format, format_clock, parse_clock
 from cuespark.kernel.source import Malformed
 from cuespark.operators.parse import cues_of, issues_of, parse_files
-from cuespark.operators.search import dedupe_phrases, distinct_phrases, editor_filter, preview, search_any, search_one, search_table
+from cuespark.operators.search import dedupe_phrases, distinct_phrases, editor_filter, load_phrases, page, preview, search_any, search_one, search_table
 from cuespark.shared import checkpointed
 from cuespark.sources.tree import write_tree
 from cuespark.streaming import windowed_counts
@@ -133,3 +133,10 @@ def test_windows_of_a_stream(spark, tmp_path):
     q = windowed_counts(stream, "at", "1 minute", "1 minute", "kind").writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted((r.kind, r.rows) for r in spark.table("counted").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_phrase_files_and_pages(spark, cues, tmp_path):
+    (tmp_path / "phrases.txt").write_bytes("Thanks\r\n\nthanks \n  \nMerci à tous\n".encode())
+    got = load_phrases(spark, str(tmp_path / "phrases.txt")).orderBy("query_index").collect()
+    assert [tuple(r) for r in got] == [(0, "Thanks", "thanks"), (1, "Merci à tous", "merci à tous")]
+    assert [r.ordinal for r in page(cues.where("path = 'b'"), 1, 2).collect()] == [2]
