@@ -11,6 +11,7 @@ from cuespark import functions as C
 from cuespark.operators.native_srt import parse_srt_native
 from cuespark.operators.parse import cues_of, issues_of, parse_files
 from cuespark.operators.plan import cumulative_progress, marked_counts, marks_after_refresh, mutation_summary, outside_targets, plan_files, recovery_roles, request_size, retained_numbers, source_positions
+from cuespark.operators.ranking import global_rank
 from cuespark.operators.render import encode_file, render_files
 from cuespark.operators.rewrite import render_deletion, splice_out
 from cuespark.operators.search import dedupe_phrases, editor_filter, page, preview, search_any, search_one, search_summary, search_table
@@ -91,8 +92,8 @@ def cue_ids(spark: SparkSession, directory: str) -> DataFrame:
 
 def path_order(spark: SparkSession, directory: str) -> DataFrame:
     paths = load(spark, directory, "scan_files").select("path").distinct()
-    ranks = Window.orderBy(C.normalize_search("path"), "path"), Window.orderBy(F.lower("path"), "path")
-    return paths.select("path", F.row_number().over(ranks[0]).alias("folded_rank"), F.row_number().over(ranks[1]).alias("lower_rank"))
+    folded = global_rank(paths, [C.normalize_search("path"), F.col("path")], "folded_rank")
+    return global_rank(folded, [F.lower("path"), F.col("path")], "lower_rank")
 
 
 # search
@@ -360,7 +361,7 @@ cut as (select doc_id, case when l[len(l)] = '' then l[1:len(l) - 1] else l end
 select doc_id, cast(unnest(range(0, len(l))) as int) as line_no, unnest(l) as line from cut""",
     "cue_ids": "select row_id, split_part(cue_id, ':', 1) || ':' || delete_span.start || ':' || delete_span.end || ':' || ordinal as made from cues",
     "path_order": """with p as (select distinct path from scan_files)
-select path, cast(row_number() over (order by lower(path), path) as int) as folded_rank, cast(row_number() over (order by lower(path), path) as int) as lower_rank from p""",
+select path, row_number() over (order by lower(path), path) as folded_rank, row_number() over (order by lower(path), path) as lower_rank from p""",
     "search_single": f"select row_id, path, cue_id from cues where contains(search_text, '{PHRASE}')",
     "search_any_phrases": f"with {_HITS} select row_id, string_agg(query_index, ',' order by query_index) as indexes, string_agg(query, '|' order by query_index) as spellings from hits group by row_id",
     "search_phrase_table": f"with {_HITS} select row_id, string_agg(query_index, ',' order by query_index) as indexes from hits group by row_id",

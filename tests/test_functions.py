@@ -9,6 +9,7 @@ from cuespark.kernel.files import safe_relative
 from cuespark.kernel.formats import detect_format, format_clock, parse_clock
 from cuespark.kernel.source import Malformed
 from cuespark.operators.parse import cues_of, issues_of, parse_files
+from cuespark.operators.ranking import global_rank
 from cuespark.operators.search import dedupe_phrases, distinct_phrases, editor_filter, load_phrases, page, preview, search_any, search_one, search_table
 from cuespark.shared import checkpointed
 from cuespark.sources.tree import write_tree
@@ -140,3 +141,9 @@ def test_phrase_files_and_pages(spark, cues, tmp_path):
     got = load_phrases(spark, str(tmp_path / "phrases.txt")).orderBy("query_index").collect()
     assert [tuple(r) for r in got] == [(0, "Thanks", "thanks"), (1, "Merci à tous", "merci à tous")]
     assert [r.ordinal for r in page(cues.where("path = 'b'"), 1, 2).collect()] == [2]
+
+
+def test_ranks_over_all_rows(spark):
+    table = spark.range(1000).withColumn("x", F.pmod(F.col("id") * 7919, F.lit(1000))).repartition(7)
+    assert sorted((r.x, r.rank) for r in global_rank(table, [F.col("x")], "rank").collect()) == [(i, i + 1) for i in range(1000)]
+    assert global_rank(table.limit(0), [F.col("x")], "rank").count() == 0
