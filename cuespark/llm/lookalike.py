@@ -180,12 +180,20 @@ def find_lookalikes(table: DataFrame, record_id: str, text: str, phrases: list[t
     return table.select(F.col(record_id), F.col(text)).mapInArrow(kernel, f"record_id {kind}, query_index int")
 
 
-def unify(table: DataFrame, text: str, unified: str) -> DataFrame:
-    """``table`` with ``canonical_form`` of a string column as ``unified``; null stays null."""
-    @F.pandas_udf("string")
-    def form(texts: pd.Series) -> pd.Series:
+def unify(table: DataFrame, text: str, prefix: str = "unified") -> DataFrame:
+    """``table`` with the forms to store and to compare a string column by; null stays null.
+
+    ``<prefix>`` is ``canonical_form``; ``<prefix>_look`` and ``<prefix>_capitals`` are the two ``skeletons``:
+    texts that share one of them look alike. Each distinct text of a batch is formed once.
+    """
+
+    @F.pandas_udf("form string, look string, capitals string")
+    def forms(texts: pd.Series) -> pd.DataFrame:
         codes, distinct = pd.factorize(texts)
-        forms = pd.Series([canonical_form(x) for x in distinct] + [None], dtype=object)
-        return forms.take(codes).reset_index(drop=True) if len(texts) else texts
+        made = [(canonical_form(x), *skeletons(x)) for x in distinct] + [(None, None, None)]
+        out = pd.DataFrame(made, columns=["form", "look", "capitals"], dtype=object)
+        return out.take(codes).reset_index(drop=True)
 
-    return table.withColumn(unified, form(F.col(text)))
+    formed = table.withColumn("__forms", forms(F.col(text)))
+    names = {prefix: "form", f"{prefix}_look": "look", f"{prefix}_capitals": "capitals"}
+    return formed.select(*table.columns, *[F.col(f"__forms.{v}").alias(k) for k, v in names.items()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuespark.llm.encodings import find_garbled, repair_garbled
 from cuespark.llm.leaks import collect_items, leaked_passages
-from cuespark.llm.lookalike import collect_phrases, find_lookalikes
+from cuespark.llm.lookalike import collect_phrases, find_lookalikes, unify
 from cuespark.llm.mixing import count_tokens, mix, mix_report, source_plan
 from cuespark.llm.quality import collect_common_words, text_statistics
 from cuespark.llm.runs import collapse_runs
@@ -52,6 +52,10 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return found[0].unionAll(found[1])
 
 
+def p5_unified(spark: SparkSession, directory: str) -> DataFrame:
+    return unify(load(spark, directory, "cues").select("row_id", "search_text"), "search_text").drop("search_text")
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return mark_repeated(load(spark, directory, "json_cues"), _site(), "path", "text").select("match_id")
 
@@ -111,7 +115,7 @@ def p9_statistics(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p2_found, p2_collapsed, p3_found, p3_repaired, p5_found, p6_found, p6_lines, p6_cleaned, p7_found, p7_passages,
+        p2_found, p2_collapsed, p3_found, p3_repaired, p5_found, p5_unified, p6_found, p6_lines, p6_cleaned, p7_found, p7_passages,
         p8_found, p8_mix, p8_shares, p9_found, p9_statistics,
     )
 }
