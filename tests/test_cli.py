@@ -111,9 +111,9 @@ def test_search_remove_undo(command, root):
 
 
 def test_documents_hide_nothing(command):
-    text = O.to_json({"a": "‮\x9b\x7f <&>\n"})
-    assert text == '{"a":"\\u202e\\u009b\\u007f\\u2028<&>\\n"}\n' and json.loads(text) == {"a": "‮\x9b\x7f <&>\n"}
-    assert O.sanitize("a\x1b[31m‮b\n") == "a�[31m�b�"
+    text = O.to_json({"a": "\u202e\x9b\x7f\u2028<&>\n"})
+    assert text == '{"a":"\\u202e\\u009b\\u007f\\u2028<&>\\n"}\n' and json.loads(text) == {"a": "\u202e\x9b\x7f\u2028<&>\n"}
+    assert O.sanitize("a\x1b[31m\u202eb\n") == "a�[31m�b�"
     assert O.shell_quote("it's") == "'it'\\''s'"
 
 

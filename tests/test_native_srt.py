@@ -12,13 +12,13 @@ T = "00:00:0{a},000 --> 00:00:0{b},5"
 
 def corpus():
     rng = random.Random(7)
-    files = ["", "\n", " \n\n", "1\n" + T.format(a=1, b=2) + "\na", "﻿1\n" + T.format(a=1, b=2) + "\na\n", "\r\n\n 01\t\r\n" + T.format(a=1, b=2) + " x:1\r\r\nb\r"]
-    pieces = ["1\n", "22 \n", "x\n", T.format(a=1, b=2) + "\n", T.format(a=2, b=1) + "\n", "00:00:61,0 --> 00:01:00,0\n", "\n", "　\r\n", "é <i>ü</i>&amp;\r\n", "--> \n"]
+    files = ["", "\n", " \n\n", "1\n" + T.format(a=1, b=2) + "\na", "\ufeff1\n" + T.format(a=1, b=2) + "\na\n", "\r\n\n 01\t\r\n" + T.format(a=1, b=2) + " x:1\r\r\nb\r"]
+    pieces = ["1\n", "22 \n", "x\n", T.format(a=1, b=2) + "\n", T.format(a=2, b=1) + "\n", "00:00:61,0 --> 00:01:00,0\n", "\n", "\u3000\r\n", "é <i>ü</i>&amp;\r\n", "--> \n"]
     for _ in range(400):
         files.append("".join(rng.choices(pieces, k=rng.randrange(1, 9))))
     for _ in range(200):
         blocks = [f"{i}{rng.choice(['', ' ', chr(9)])}\n{T.format(a=rng.randrange(1, 5), b=rng.randrange(5, 9))}\n{rng.choice(['one', 'zwölf\nx', '7', '7\nx'])}\n" for i in range(rng.randrange(1, 6))]
-        files.append(rng.choice(["", "\n", "﻿"]) + rng.choice(["\n", "\n \n", "\r\n"]).join(blocks))
+        files.append(rng.choice(["", "\n", "\ufeff"]) + rng.choice(["\n", "\n \n", "\r\n"]).join(blocks))
     return [(f"f{i}.srt", bytearray(x.encode())) for i, x in enumerate(files)] + [("bad.srt", bytearray(b"1\n" + T.format(a=1, b=2).encode() + b"\n\xff\n"))]
 
 
