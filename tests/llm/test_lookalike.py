@@ -6,11 +6,11 @@ from cuespark.llm.lookalike import canonical_form, collect_phrases, find_lookali
 
 PHRASES = [(0, "captions made by lanternloft"), (1, "coffee café of the final scene"), (2, "перевод проверен кружком"), (3, "más vídeo"), (4, " ")]
 SAME = [
-    (0, "Ｃａｐｔｉｏｎｓ made by lanternloft"), (0, "c​ap­tions made by lanternloft"), (0, "captions made by lanternloft"), (0, "𝐜𝐚𝐩𝐭𝐢𝐨𝐧𝐬 made by lanternloft"),
-    (0, "сарtіоnѕ mаdе bу lаntеrnlоft"), (0, "CAPTIΟΝS MADE BY LANTERNLOFT"), (1, "coﬀee café of the ﬁnal scene"), (2, "пepeвoд пpoвepeн кpyжкoм"), (2, "ПЕРЕВОД ПРОВЕРЕН КРУЖКОМ"),
-    (3, "má⁠s ví‌deo"), (3, "mάs vídeo"), (0, "СAPTIONS MАDE ВY LANТERNLOFТ"),
+    (0, "Ｃａｐｔｉｏｎｓ made by lanternloft"), (0, "c\u200bap\u00adtions made by lanternloft"), (0, "captions\u00a0made\u2007by lanternloft"), (0, "𝐜𝐚𝐩𝐭𝐢𝐨𝐧𝐬 made by lanternloft"),
+    (0, "сарtіоnѕ mаdе bу lаntеrnlоft"), (0, "CAPTIΟΝS MADE BY LANTERNLOFT"), (1, "coﬀee cafe\u0301 of the ﬁnal scene"), (2, "пepeвoд пpoвepeн кpyжкoм"), (2, "ПЕРЕВОД\u2003ПРОВЕРЕН КРУЖКОМ"),
+    (3, "má\u2060s ví\u200cdeo"), (3, "mάs vídeo"), (0, "СAPTIONS MАDE ВY LANТERNLOFТ"),
 ]
-OTHER = ["captions made by lanternloft", "CAPTIONS MADE BY LANTERNLOFT", "coffee cafe of the final scene", "mas vídeo", "captions mad by lanternloft", "перевод проверен кружкои", "", "​", "привет"]
+OTHER = ["captions made by lanternloft", "CAPTIONS MADE BY LANTERNLOFT", "coffee cafe of the final scene", "mas vídeo", "captions mad by lanternloft", "перевод проверен кружкои", "", "\u200b", "привет"]
 
 
 @pytest.mark.parametrize("query,text", SAME)
@@ -50,10 +50,10 @@ def test_forms_are_stable(text):
 
 
 def test_unified_column(spark):
-    table = spark.createDataFrame([(1, "Ｆｕｌｌ  ﬁne Straße"), (2, None), (3, "")], "id int, text string")
+    table = spark.createDataFrame([(1, "Ｆｕｌｌ\u00a0 ﬁne Straße"), (2, None), (3, "")], "id int, text string")
     got = unify(table, "text", "u").orderBy("id").collect()
     assert [tuple(r)[2:] for r in got] == [("full fine strasse",) * 3, (None,) * 3, ("",) * 3]
-    assert got[0].text == "Ｆｕｌｌ  ﬁne Straße"
+    assert got[0].text == "Ｆｕｌｌ\u00a0 ﬁne Straße"
 
 
 def test_phrase_list(spark):

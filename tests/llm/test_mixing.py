@@ -26,7 +26,7 @@ def test_pieces_have_the_tokens_of_the_whole(monkeypatch):
     for size in (5, 40, 200):
         monkeypatch.setattr(mixing, "PIECE", size)
         for _ in range(60):
-            text = "".join(rng.choices(["word", " ", "  ", "\n", "it's", ".", "7", "é", "Ж", "🎬", "　"], k=300))
+            text = "".join(rng.choices(["word", " ", "  ", "\n", "it's", ".", "7", "é", "Ж", "🎬", "\u3000"], k=300))
             parts = list(mixing._pieces(text))
             assert "".join(parts) == text
             assert [t for p in parts for t in encode(p)] == encode(text)

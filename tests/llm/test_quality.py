@@ -29,7 +29,7 @@ def brute(text, lang, form):
 
 def corpus():
     rng = random.Random(6)
-    words = ["the", "THE,", "(and)", "Don’t", "der", "und…", "katze", "12", "--", "É!", "<i>x</i>", "-->", "7\n", "\n", "\n\n", "WEBVTT", "x" * 30, " ", "　"]
+    words = ["the", "THE,", "(and)", "Don’t", "der", "und…", "katze", "12", "--", "É!", "<i>x</i>", "-->", "7\n", "\n", "\n\n", "WEBVTT", "x" * 30, "\u00a0", "\u3000"]
     docs = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 200))), rng.choice(["en", "de", "ja", None]), rng.choice(["text", "srt", "webvtt", None])) for i in range(120)]
     return docs + [(200, "WEBVTT\n\n1\n00:01.000 --> 00:02.000\nHi the\n", "en", "webvtt"), (201, "", "en", "text"), (202, " \n ", "en", "srt"), (203, None, "en", "text"), (204, "the " * 30, "en", "text")]
 
