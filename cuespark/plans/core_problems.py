@@ -68,12 +68,14 @@ lines as (select line_id, raw, regexp_full_match(raw, '(?s){_FIELD}(?:,{_FIELD})
 cut as (select line_id, quoted, case when quoted then regexp_extract_all(',' || raw, '(?s),({_FIELD})', 1) end as quoted_cells from lines),
 cells as (select line_id, quoted, list_transform(quoted_cells, lambda x: case when starts_with(x, '"') then replace(x[2:length(x) - 1], '""', '"') else x end) as c from cut),
 digits as (select *, case when len(c) = 6 then ltrim(c[3], '0') end as size_digits, case when len(c) = 6 then ltrim(c[4], '0') end as line_digits from cells),
-judged as (select line_id, c, case when not quoted then 'quoting' when c is null or len(c) <> 6 then 'columns'
-  when c[1] = '' or c[2] not in ('unreadable','invalid','too-large','symlink','hardlink','unsafe')
-    or not (c[3] = '' or (regexp_full_match(c[3], '[0-9]+') and (length(size_digits) < 19 or (length(size_digits) = 19 and size_digits <= '9223372036854775807'))))
-    or not (c[4] = '' or (regexp_full_match(c[4], '[0-9]+') and line_digits <> '' and (length(line_digits) < 10 or (length(line_digits) = 10 and line_digits <= '2147483647'))))
-    or not (regexp_full_match(c[6], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z') and try_cast(left(c[6], 10) as date) is not null)
-  then 'value' end as reason from digits)
+faults as (select *, list_filter([
+    case when c[1] = '' then 'path' end,
+    case when c[2] not in ('unreadable','invalid','too-large','symlink','hardlink','unsafe') then 'kind' end,
+    case when not (c[3] = '' or (regexp_full_match(c[3], '[0-9]+') and (length(size_digits) < 19 or (length(size_digits) = 19 and size_digits <= '9223372036854775807')))) then 'size' end,
+    case when not (c[4] = '' or (regexp_full_match(c[4], '[0-9]+') and line_digits <> '' and (length(line_digits) < 10 or (length(line_digits) = 10 and line_digits <= '2147483647')))) then 'error_line' end,
+    case when not (regexp_full_match(c[6], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z') and try_cast(left(c[6], 10) as date) is not null) then 'seen_at' end
+  ], lambda x: x is not null) as bad from digits),
+judged as (select line_id, c, case when not quoted then 'quoting' when c is null or len(c) <> 6 then 'columns' when len(bad) > 0 then 'value' end as reason, bad from faults)
 """
 
 ORACLES: dict[str, str] = {
@@ -85,6 +87,8 @@ select path, 'gap' as kind, before as start_ms, start_ms as end_ms from followed
 select path, count(*) as periods, cast(sum(end_ms - start_ms) as bigint) as covered, min(start_ms) as first_start, max(end_ms) as last_end,
   cast(coalesce(sum(start_ms - before), 0) as bigint) as gap_total from followed group by path""",
     "p4_found": f"with {_CELLS} select line_id, reason from judged where reason is not null",
+    "p4_reasons": f"""with {_CELLS}
+select reason, case when reason = 'value' then array_to_string(bad, ',') else '' end as fields, count(*) as lines from judged where reason is not null group by all""",
     "p4_loaded": f"""with {_CELLS}
 select line_id, c[1] as path, nullif(c[2], '') as kind, cast(nullif(c[3], '') as bigint) as size, cast(nullif(c[4], '') as int) as error_line,
   nullif(c[5], '') as error, cast(replace(replace(c[6], 'T', ' '), 'Z', '') as timestamp) as seen_at from judged where reason is null""",

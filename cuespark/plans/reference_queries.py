@@ -379,6 +379,7 @@ select cast(row_number() over (order by o, query) - 1 as int) as query_index, qu
     "cues_per_file": f"with {_ONCE}, {_LATEST} select l.path, count(o.row_id) as cues from latest l left join once o on l.path = o.path group by l.path",
     "files_union_issues": f"with {_LATEST} select path, size, 'valid' as kind from latest union all select path, max(size) as size, kind from issues group by path, kind",
     "issue_counts": "select kind, count(*) as rows, count(distinct path) as files from issues group by kind",
+    "json_export": """select path, '{"path":' || to_json(path) || ',"kind":' || to_json(kind) || case when error is not null then ',"error":' || to_json(error) else '' end || '}' as json from issues""",
     "plan_by_file": f"""with {_FOUND}, {_LATEST} select l.path, sha256 as expected_sha256, string_agg(cue_id, ',' order by ordinal) as cue_ids, cast(1 as bigint) as search_revision, 'all' as scope
   from found f join latest l on f.path = l.path group by l.path, sha256""",
     "plan_selected": f"with {_FOUND}, {_LATEST} select l.path, count(*) as cues from found f join latest l on f.path = l.path where l.encoding = 'utf-8' group by l.path",
