@@ -128,6 +128,21 @@ repeated as (select t.source, t.key, count(distinct path) as documents, max(file
 """
 _FOUND6 = "select match_id from texts t join repeated r on t.source = r.source and t.key = r.key"
 
+# the edit distance is a fold over the characters of one text of a fold over those of the other
+_RUNS = r"""
+usable as (select distinct path, cue_id, ordinal, start_ms, end_ms, regexp_replace(lower(display_text), '[^\p{L}\p{N}]', '', 'g') as x from cues where end_ms > start_ms and path is not null),
+linked as (select *, lag(x) over w as px, lag(end_ms) over w as pt, row_number() over w as n from usable window w as (partition by path order by start_ms, ordinal, end_ms, x)),
+close as (select *, start_ms - pt <= 10000 as soon, x = px as same,
+  abs(length(x) - length(px)) * 10 <= greatest(length(x), length(px)) and regexp_replace(x, '\P{N}', '', 'g') = regexp_replace(px, '\P{N}', '', 'g') as maybe from linked),
+pairs as (select distinct x, px from close where soon and maybe and not same),
+lists as (select x, px, list_transform(string_split(x, ''), lambda c: [cast(ord(c) as bigint)]) as a, list_transform(string_split(px, ''), lambda c: cast(ord(c) as bigint)) as b from pairs),
+distances as (select x, px, list_reduce(list_prepend(range(0, len(b) + 1), a),
+  lambda r, ch: list_reduce(list_prepend([r[1] + 1], list_transform(range(1, len(b) + 1), lambda j: [j])),
+    lambda acc, e: list_append(acc, least(r[e[1] + 1] + 1, acc[e[1]] + 1, r[e[1]] + case when b[e[1]] = ch[1] then 0 else 1 end))))[-1] as d from lists),
+joined as (select c.*, coalesce(soon and (same or (maybe and d.d * 10 <= greatest(length(c.x), length(c.px)))), false) as goes_on from close c left join distances d on c.x = d.x and c.px = d.px),
+runs as (select *, sum(case when goes_on then 0 else 1 end) over (partition by path order by n rows unbounded preceding) as run from joined)
+"""
+
 _SPOKEN = r"""
 raw_lines as (select doc_id, format, lang, coalesce(format in ('srt', 'webvtt'), false) as timed, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n
   from documents where text is not null),
@@ -153,6 +168,9 @@ ratios as (select *, token_chars / nullif(tokens, 0) as mean_length, symbols / n
 """
 
 ORACLES: dict[str, str] = {
+    "p2_found": f"with {_RUNS} select path, arg_min(ordinal, n) as first_ordinal, arg_max(ordinal, n) as last_ordinal from runs group by path, run having count(*) >= 2",
+    "p2_collapsed": f"""with {_RUNS} select path, arg_min(ordinal, n) as first_ordinal, arg_max(ordinal, n) as last_ordinal, count(*) as count,
+  min(start_ms) as start_ms, max(end_ms) as end_ms, max(end_ms) - min(start_ms) as duration from runs group by path, run""",
     "p6_found": f"with {_SITE_LINES} {_FOUND6}",
     "p6_lines": f"with {_SITE_LINES} select source, key, documents, files from repeated",
     "p6_cleaned": f"with {_SITE_LINES} select match_id, path, id, text from json_cues where match_id not in ({_FOUND6})",
