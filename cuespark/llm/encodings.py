@@ -142,8 +142,8 @@ class Letters:
             self.low[c] = ord(low) if len(low) == 1 else c
             self.small[c] = chr(c).islower()
 
-    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bucket of each two and of each three neighbours, blanks around the text; and which threes have a letter beyond ASCII."""
+    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket of each two and of each three neighbours, blanks around the text; and which of both have a letter beyond ASCII."""
         points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
         table = points < 0x3000
         safe = np.where(table, points, 0)
@@ -157,7 +157,7 @@ class Letters:
             three = (a * _MIX[1]) ^ (b * _MIX[2]) ^ (c * _MIX[3]) ^ _MIX[0]
             out = [(x ^ (x >> np.uint64(31))) * _MIX[2] for x in (two, three)]
         two, three = ((x >> np.uint64(64 - BITS)).astype(np.int64) for x in out)
-        return two, three, far[:-2] | far[1:-1] | far[2:]
+        return two, three, far[:-1] | far[1:], far[:-2] | far[1:-1] | far[2:]
 
 
 _LETTERS: list[Letters] = []
@@ -200,13 +200,13 @@ class Evidence:
         self.model, self.unseen, self.words = model, float(model.min()) + 1e-3, {}
 
     def _fit(self, word: str) -> tuple[float, float]:
-        """Log likelihood of a word's letters, triples before pairs, and the share of its triples that the corpus knows.
+        """Log likelihood of a word's letters, triples before pairs, and the share of its groups that the corpus knows.
 
-        The share is that of triples with a letter beyond ASCII, if there are any.
+        The share is that of groups with a letter beyond ASCII, if there are any.
         """
-        two, three, far = _letters().grams(word)
+        two, three, far_two, far_three = _letters().grams(word)
         pairs, triples = self.model[two], self.model[three]
-        judged = triples[far] if far.any() else triples
+        judged = np.concatenate((pairs[far_two], triples[far_three]) if far_two.any() else (pairs, triples))
         return float(PAIRS * pairs.sum() + (1 - PAIRS) * triples.sum()), float((judged > self.unseen).mean()) if len(judged) else 0.0
 
     def of_word(self, word: str) -> list[tuple[int, float, str]]:
