@@ -128,6 +128,12 @@ def phrase_dedupe(spark: SparkSession, directory: str) -> DataFrame:
     return dedupe_phrases(raw.withColumn("o", F.col("match_id") * 1000 + F.col("i")), "o", "query")
 
 
+def phrase_dedupe_all(spark: SparkSession, directory: str) -> DataFrame:
+    """As ``phrase_dedupe``, over every matched phrase, whatever its letters."""
+    raw = load(spark, directory, "json_cues").select("match_id", F.posexplode("matched_phrases").alias("i", "query"))
+    return dedupe_phrases(raw.withColumn("o", F.struct("match_id", "i")), "o", "query")
+
+
 def preview_top5(spark: SparkSession, directory: str) -> DataFrame:
     return preview(_cues(spark, directory)).select("path", "ordinal", "cue_id")
 
@@ -302,7 +308,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_display, normalize_search, sanitize_text, shell_quote, format_timestamp, parse_clock, detect_format, content_sha256, line_split, cue_ids, path_order,
-        search_single, search_any_phrases, search_phrase_table, search_counts, matches_per_file, phrase_dedupe, preview_top5, match_projection,
+        search_single, search_any_phrases, search_phrase_table, search_counts, matches_per_file, phrase_dedupe, phrase_dedupe_all, preview_top5, match_projection,
         scan_projection, cues_per_file, files_union_issues, issue_counts, json_export,
         plan_by_file, plan_selected, retained_renumbered, status_summary, recovery_role_list,
         marks_per_file, marks_kept, editor_positions, editor_page, targets_outside, request_counts, progress_sums,
@@ -372,6 +378,10 @@ select path, row_number() over (order by lower(path), path) as folded_rank, row_
 formed as (select o, query, trim(regexp_replace(lower(query), ' +', ' ', 'g')) as normalized from raw where regexp_full_match(query, '[\x20-\x7E]*')),
 firsts as (select * from formed where normalized <> '' qualify row_number() over (partition by normalized order by o, query) = 1)
 select cast(row_number() over (order by o, query) - 1 as int) as query_index, query, normalized from firsts""",
+    "phrase_dedupe_all": rf"""with raw as (select match_id, i, matched_phrases[i + 1] as query from (select match_id, matched_phrases, unnest(range(0, len(matched_phrases))) as i from json_cues)),
+formed as (select match_id, i, query, {_FOLD.format(f"trim(regexp_replace(nfc_normalize(query), '{_WHITE}', ' ', 'g'))")} as normalized from raw),
+firsts as (select * from formed where normalized <> '' qualify row_number() over (partition by normalized order by match_id, i, query) = 1)
+select cast(row_number() over (order by match_id, i, query) - 1 as int) as query_index, query, normalized from firsts""",
     "preview_top5": f"with {_ONCE} select path, ordinal, cue_id from once qualify row_number() over (partition by path order by ordinal) <= 5",
     "match_projection": f"""with {_ONCE} select path, cue_id as id, start_ms, end_ms, display_text as text, string_agg(query, '|' order by query_index) as phrases
   from once join phrases on contains(search_text, query) group by path, cue_id, start_ms, end_ms, display_text""",
