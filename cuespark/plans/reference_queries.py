@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuespark import functions as C
@@ -39,12 +40,20 @@ def _phrases(spark: SparkSession, directory: str) -> list[str]:
     return [r[0] for r in load(spark, directory, "phrases").orderBy("query_index").select("query").collect()]
 
 
-def _plain(cues: DataFrame) -> DataFrame:
+def _plain(cues: DataFrame, form: Column | None = None) -> DataFrame:
     """Usable cues with a text that every format carries: letters, digits, blanks, after a mark."""
     text = F.concat(F.lit("x "), F.regexp_replace(F.coalesce("display_text", F.lit("")), r"[^\p{L}\p{Nd} ]", ""))
     return cues.where("end_ms > start_ms and start_ms >= 0").withColumn("plain", text).select("path", "ordinal", "start_ms", "end_ms", "plain")
 
 
+def _whole(cues: DataFrame, form: Column) -> DataFrame:
+    """Every cue that a file can hold, with its text as it is: line breaks are blanks, and a text that is null or blank is written as one that shows nothing."""
+    text = F.regexp_replace(F.coalesce("display_text", F.lit("")), r"\r\n|\r|\n", " ")
+    nothing = F.when(form == "ass", "").otherwise("<b></b>")
+    rows = cues.where("end_ms >= start_ms and start_ms >= 0").withColumn("plain", F.when(C.is_blank(text), nothing).otherwise(text))
+    return rows.select("path", "ordinal", "start_ms", "end_ms", "plain")
+
+
 # text functions
 
 
@@ -244,66 +253,76 @@ def progress_sums(spark: SparkSession, directory: str) -> DataFrame:
 
 # files made from cues, and read again
 
+Prepare = Callable[[DataFrame, Column], DataFrame]
+
 
-def _rendered(form: str):
+def _rendered(form: str, prepare: Prepare = _plain):
     def query(spark: SparkSession, directory: str) -> DataFrame:
-        return render_files(_plain(_cues(spark, directory)), form, "plain").select("path", F.sha2("body", 256).alias("sha256"), F.length("body").cast("bigint").alias("chars"))
+        return render_files(prepare(_cues(spark, directory), F.lit(form)), form, "plain").select("path", F.sha2("body", 256).alias("sha256"), F.length("body").cast("bigint").alias("chars"))
 
     return query
 
 
-def _read_again(form: str, encoding: str = "utf-8"):
+def _read_again(form: str, encoding: str = "utf-8", prepare: Prepare = _plain):
     def query(spark: SparkSession, directory: str) -> DataFrame:
-        files = render_files(_plain(_cues(spark, directory)), form, "plain").select("path", encode_file(F.col("body"), encoding).alias("content"))
+        files = render_files(prepare(_cues(spark, directory), F.lit(form)), form, "plain").select("path", encode_file(F.col("body"), encoding).alias("content"))
         parsed = parse_files(files, form=F.lit(form))
         return cues_of(parsed).select("path", "ordinal", "start_ms", "end_ms", "display_text", "search_text")
 
     return query
 
 
-def roundtrip_srt_native(spark: SparkSession, directory: str) -> DataFrame:
-    files = render_files(_plain(_cues(spark, directory)), "srt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
+def roundtrip_srt_native(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
+    files = render_files(prepare(_cues(spark, directory), F.lit("srt")), "srt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
     return parse_srt_native(files).select("path", "ordinal", "start_ms", "end_ms", "display_text", "search_text")
 
 
-def cue_spans(spark: SparkSession, directory: str) -> DataFrame:
-    files = render_files(_plain(_cues(spark, directory)), "srt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
+def cue_spans(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
+    files = render_files(prepare(_cues(spark, directory), F.lit("srt")), "srt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
     cues = cues_of(parse_files(files, form=F.lit("srt")))
     return cues.select("path", "ordinal", "cue_id", F.col("delete_span.start").alias("first"), F.col("delete_span.end").alias("last"), (F.col("index_span.end") - F.col("index_span.start")).alias("digits"))
 
 
-def _made(spark: SparkSession, directory: str, form: str) -> tuple[DataFrame, DataFrame]:
+def _made(spark: SparkSession, directory: str, form: str, prepare: Prepare = _plain) -> tuple[DataFrame, DataFrame]:
     """Files with their bytes, and the plan that deletes every third cue."""
-    files = render_files(_plain(_cues(spark, directory)), form, "plain").select("path", F.lit(form).alias("format"), encode_file(F.col("body"), "utf-8").alias("content"))
+    files = render_files(prepare(_cues(spark, directory), F.lit(form)), form, "plain").select("path", F.lit(form).alias("format"), encode_file(F.col("body"), "utf-8").alias("content"))
     cues = cues_of(parse_files(files, form=F.lit(form)))
     plan = cues.where("ordinal % 3 = 1").groupBy("path").agg(F.array_sort(F.collect_list("cue_id")).alias("cue_ids"))
     return files, plan
 
 
-def delete_render_srt(spark: SparkSession, directory: str) -> DataFrame:
-    return render_deletion(*_made(spark, directory, "srt")).select("path", "post_sha256", "deleted_cues", "valid")
+def delete_render_srt(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
+    return render_deletion(*_made(spark, directory, "srt", prepare)).select("path", "post_sha256", "deleted_cues", "valid")
 
 
-def delete_native_vtt(spark: SparkSession, directory: str) -> DataFrame:
-    files = render_files(_plain(_cues(spark, directory)), "webvtt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
+def delete_native_vtt(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
+    files = render_files(prepare(_cues(spark, directory), F.lit("webvtt")), "webvtt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
     parsed = parse_files(files, form=F.lit("webvtt")).select("path", F.transform(F.filter("cues", lambda c: c["ordinal"] % 3 == 1), lambda c: c["delete_span"]).alias("spans"))
     return files.join(parsed, "path").select("path", F.sha2(splice_out(F.col("content"), F.col("spans")), 256).alias("sha256"))
 
 
-def delete_nothing(spark: SparkSession, directory: str) -> DataFrame:
-    files, plan = _made(spark, directory, "srt")
+def delete_nothing(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
+    files, plan = _made(spark, directory, "srt", prepare)
     none = plan.withColumn("cue_ids", F.array().cast("array<string>"))
     return render_deletion(files, none).select("path", "post_sha256", "changed", "valid")
 
 
-def malformed_issues(spark: SparkSession, directory: str) -> DataFrame:
-    files = render_files(_plain(_cues(spark, directory)), "srt", "plain")
+def malformed_issues(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
+    files = render_files(prepare(_cues(spark, directory), F.lit("srt")), "srt", "plain")
     # the timing line of the first cue is broken in files whose path has an even length
     broken = F.when(F.length("path") % 2 == 0, F.regexp_replace("body", r"^1\n([^\n]*) --> ", "1\n$1 -> ")).otherwise(F.col("body"))
     parsed = parse_files(files.select("path", encode_file(broken, "utf-8").alias("content")), form=F.lit("srt"))
     return issues_of(parsed).select("path", "kind", F.col("error_line").cast("int").alias("error_line"), "error")
 
 
+def documents_parsed(spark: SparkSession, directory: str) -> DataFrame:
+    """The cues of every document that is a subtitle file; one without cues is one row, with its error if it has one."""
+    files = load(spark, directory, "documents").where("format in ('srt', 'webvtt')").select(F.col("doc_id").cast("string").alias("path"), "format", F.encode("text", "UTF-8").alias("content"))
+    parsed = parse_files(files, form=F.col("format"))
+    cues = parsed.select(F.col("path").cast("bigint").alias("doc_id"), "format", F.explode_outer("cues").alias("cue"), "error_line", "error")
+    return cues.select("doc_id", "format", "cue.ordinal", "cue.start_ms", "cue.end_ms", "cue.display_text", "cue.search_text", "error_line", "error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -312,13 +331,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scan_projection, cues_per_file, files_union_issues, issue_counts, json_export,
         plan_by_file, plan_selected, retained_renumbered, status_summary, recovery_role_list,
         marks_per_file, marks_kept, editor_positions, editor_page, targets_outside, request_counts, progress_sums,
-        cue_spans, delete_render_srt, delete_native_vtt, delete_nothing, malformed_issues,
+        cue_spans, delete_render_srt, delete_native_vtt, delete_nothing, malformed_issues, documents_parsed,
     )
 } | {
     "render_srt": _rendered("srt"), "render_vtt": _rendered("webvtt"), "render_ass": _rendered("ass"),
     "roundtrip_srt_native": roundtrip_srt_native, "roundtrip_srt": _read_again("srt"), "roundtrip_vtt": _read_again("webvtt"), "roundtrip_ass": _read_again("ass"),
     "roundtrip_utf16": _read_again("srt", "utf-16le-bom"), "roundtrip_utf16be_ass": _read_again("ass", "utf-16be-bom"),
-}
+} | {
+    "whole_render_srt": _rendered("srt", _whole), "whole_render_vtt": _rendered("webvtt", _whole), "whole_render_ass": _rendered("ass", _whole),
+    "whole_roundtrip_srt": _read_again("srt", prepare=_whole), "whole_roundtrip_vtt": _read_again("webvtt", prepare=_whole), "whole_roundtrip_ass": _read_again("ass", prepare=_whole),
+    "whole_roundtrip_utf16": _read_again("srt", "utf-16le-bom", _whole), "whole_roundtrip_utf16be_ass": _read_again("ass", "utf-16be-bom", _whole),
+} | {f"whole_{f.__name__}": functools.partial(f, prepare=_whole) for f in (roundtrip_srt_native, cue_spans, delete_render_srt, delete_native_vtt, delete_nothing, malformed_issues)}
 
 _WHITE = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _ONCE = "once as (select * from cues qualify row_number() over (partition by path, cue_id order by row_id) = 1)"
@@ -423,3 +446,20 @@ select path, sha256(body) as sha256 from bodies""",
     "delete_nothing": f"with {_bodies(_SRT)} select path, sha256(body) as post_sha256, false as changed, true as valid from bodies where path in (select path from plain where n = 2)",
     "malformed_issues": f"with {_PLAIN} select distinct path, 'invalid' as kind, 2 as error_line, path || ':2: invalid SRT timing line' as error from plain where length(path) % 2 = 0",
 }
+
+
+def _whole_sql(nothing: str) -> str:
+    """As ``_PLAIN``, with every cue that a file can hold and its text as it is; ``nothing`` stands for a blank one."""
+    return rf"""{_ONCE}, lines as (select *, regexp_replace(coalesce(display_text, ''), '\r\n|\r|\n', ' ', 'g') as line from once where end_ms >= start_ms and start_ms >= 0),
+plain as (select path, ordinal, start_ms, end_ms, case when trim(regexp_replace(line, '{_WHITE}', ' ', 'g')) = '' then {nothing} else line end as plain,
+  row_number() over (partition by path order by ordinal) as n from lines)"""
+
+
+_TAGS_ONLY = "'<b></b>'"
+_WHOLE_DISPLAY = f"trim(regexp_replace(nfc_normalize(plain), '{_WHITE}', ' ', 'g'))"
+_WHOLE_AGAIN = f"""with {_whole_sql("''")} select path, cast(n - 1 as int) as ordinal, start_ms, end_ms, {_WHOLE_DISPLAY} as display_text, {_FOLD.format(_WHOLE_DISPLAY)} as search_text from plain"""
+
+ORACLES |= {
+    f"whole_{name}": ORACLES[name].replace(_PLAIN, _whole_sql("''" if name == "render_ass" else _TAGS_ONLY))
+    for name in ("render_srt", "render_vtt", "render_ass", "cue_spans", "delete_render_srt", "delete_native_vtt", "delete_nothing", "malformed_issues")
+} | {f"whole_{name}": _WHOLE_AGAIN for name in ("roundtrip_srt_native", "roundtrip_srt", "roundtrip_vtt", "roundtrip_ass", "roundtrip_utf16", "roundtrip_utf16be_ass")}

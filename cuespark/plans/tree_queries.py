@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 
@@ -12,7 +13,7 @@ from cuespark.functions import detect_format
 from cuespark.kernel.files import read_safe
 from cuespark.operators.discovery import Discovery, discover
 from cuespark.operators.render import encode_file, render_files
-from cuespark.plans.reference_queries import _ASS, _ASS_HEAD, _FOLD, _PLAIN, _SRT, _VTT, _VTT_HEAD, _cues, _plain
+from cuespark.plans.reference_queries import _ASS, _ASS_HEAD, _FOLD, _PLAIN, _SRT, _TAGS_ONLY, _VTT, _VTT_HEAD, _WHOLE_DISPLAY, Prepare, _cues, _plain, _whole, _whole_sql
 from cuespark.session import Session
 from cuespark.shared import shared_folder
 from cuespark.sources.tree import write_tree
@@ -22,9 +23,9 @@ from cuespark.workspace import Workspace
 PHRASES = ["the ", "FEED", "café"]
 
 
-def _write(spark: SparkSession, directory: str) -> str:
+def _write(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> str:
     """A file for each path of cues, in the format of its extension."""
-    cues = _plain(_cues(spark, directory)).withColumn("form", detect_format(F.col("path")))
+    cues = prepare(_cues(spark, directory), detect_format(F.col("path"))).withColumn("form", detect_format(F.col("path")))
     root = shared_folder(spark, "tree")
     made = None
     for form in ("srt", "webvtt", "ass"):
@@ -34,28 +35,28 @@ def _write(spark: SparkSession, directory: str) -> str:
     return root
 
 
-def _scan(spark: SparkSession, directory: str) -> Discovery:
-    return discover(spark, _write(spark, directory))
+def _scan(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> Discovery:
+    return discover(spark, _write(spark, directory, prepare))
 
 
-def tree_scan(spark: SparkSession, directory: str) -> DataFrame:
-    return _scan(spark, directory).files.select("path", "format", "encoding", F.col("cue_count").cast("bigint").alias("cues"), "size", "sha256")
+def tree_scan(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
+    return _scan(spark, directory, prepare).files.select("path", "format", "encoding", F.col("cue_count").cast("bigint").alias("cues"), "size", "sha256")
 
 
 def tree_issues(spark: SparkSession, directory: str) -> DataFrame:
     return _scan(spark, directory).issues.select("path", "kind")
 
 
-def tree_search(spark: SparkSession, directory: str) -> DataFrame:
-    session = Session(spark, Workspace(_write(spark, directory)))
+def tree_search(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
+    session = Session(spark, Workspace(_write(spark, directory, prepare)))
     session.discover()
     found = session.search(PHRASES).matches
     return found.select("path", "ordinal", F.array_join(F.col("query_indexes").cast("array<string>"), ",").alias("indexes"))
 
 
-def tree_remove_undo(spark: SparkSession, directory: str) -> DataFrame:
+def tree_remove_undo(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
     """Removes all matches, undoes it, and gives per changed file what it was in between and whether it is as before."""
-    root = _write(spark, directory)
+    root = _write(spark, directory, prepare)
     session = Session(spark, Workspace(root))
     found = session.discover()
     before = {r.path: r.sha256 for r in found.files.select("path", "sha256").toLocalIterator()}
@@ -70,16 +71,18 @@ def tree_remove_undo(spark: SparkSession, directory: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, status string, deleted_cues int, sha256 string, undone string, as_before boolean")
 
 
-def tree_stream(spark: SparkSession, directory: str) -> DataFrame:
+def tree_stream(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
     """The same files read as a stream, drained once into a folder."""
-    root, kept = _write(spark, directory), shared_folder(spark, "stream")
+    root, kept = _write(spark, directory, prepare), shared_folder(spark, "stream")
     files = stream_files(spark, root).select("path", "format", F.size("cues").cast("bigint").alias("cues"))
     query = files.writeStream.format("parquet").option("path", f"file://{kept}/out").option("checkpointLocation", f"file://{kept}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"file://{kept}/out")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tree_scan, tree_issues, tree_search, tree_remove_undo, tree_stream)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tree_scan, tree_issues, tree_search, tree_remove_undo, tree_stream)} | {
+    f"whole_{f.__name__}": functools.partial(f, prepare=_whole) for f in (tree_scan, tree_search, tree_remove_undo, tree_stream)
+}
 
 _FORM = "case lower(regexp_extract(path, '\\.[^./]*$')) when '.srt' then 'srt' when '.vtt' then 'webvtt' when '.ass' then 'ass' end"
 _BODY = f"""case form when 'srt' then coalesce(string_agg({_SRT}, '' order by ordinal), '') when 'webvtt' then {_VTT_HEAD} || coalesce(string_agg({_VTT}, '' order by ordinal), '')
@@ -101,3 +104,8 @@ select c.path, 'succeeded' as status, cast(gone as int) as deleted_cues,
 from counts c left join bodies b on c.path = b.path""",
     "tree_stream": f"with {_FORMED} select path, form as format, count(*) as cues from listed group by path, form",
 }
+
+_WHOLE = _whole_sql(f"case when {_FORM} = 'ass' then '' else {_TAGS_ONLY} end")
+_PLAIN_DISPLAY = "trim(regexp_replace(nfc_normalize(plain), ' +', ' ', 'g'))"
+
+ORACLES |= {f"whole_{name}": ORACLES[name].replace(_PLAIN, _WHOLE).replace(_PLAIN_DISPLAY, _WHOLE_DISPLAY) for name in ("tree_scan", "tree_search", "tree_remove_undo", "tree_stream")}
