@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import pytest
+
 from cuespark.llm import leaks
 from cuespark.llm.leaks import SEEDS, collect_items, leaked_passages
 from cuespark.llm.spoken import spoken_lines, words
@@ -75,6 +78,42 @@ def test_every_single_substitution_is_skipped_by_a_seed():
     assert all(len(s) == 12 for s in SEEDS)
 
 
+def stretches(document, item, substitutions, least):
+    """Every passage of the definition, by comparing on all diagonals."""
+    out = set()
+    for shift in range(1 - len(item), len(document)):
+        same = [p for p in range(max(0, shift), min(len(document), len(item) + shift)) if document[p] == item[p - shift]]
+        groups = []
+        for p in same:
+            if groups and p - groups[-1][-1] <= substitutions + 1:
+                groups[-1].append(p)
+            else:
+                groups.append([p])
+        out |= {(g[0], g[0] - shift, g[-1] - g[0] + 1, g[-1] - g[0] + 1 - len(g)) for g in groups if len(g) >= least}
+    return out
+
+
+@pytest.mark.parametrize("substitutions,least", [(0, 12), (1, 12), (2, 12), (1, 5), (0, 4)])
+def test_every_passage_of_the_definition_is_found(spark, substitutions, least):
+    rng = random.Random(5)
+    item = [f"w{i}" for i in range(40)]
+    docs = [(1, [w if i % 4 else "x" for i, w in enumerate(item)]), (2, [w if i % 2 else "x" for i, w in enumerate(item)]), (3, [w if i % 3 else "x" for i, w in enumerate(item)])]
+    for d in range(4, 120):
+        changed = [w if rng.random() > rng.choice([0.1, 0.3, 0.5]) else "x" for w in item]
+        docs.append((d, ["y"] * rng.randrange(5) + changed[rng.randrange(10) : rng.randrange(20, 41)]))
+    want = {(d, *s) for d, w in docs for s in stretches(w, item, substitutions, least)}
+    assert want or (substitutions, least) == (0, 12)
+    table = spark.createDataFrame([(d, " ".join(w), "text") for d, w in docs], "doc_id bigint, text string, format string")
+    got = leaked_passages(table, "doc_id", "text", "format", [(7, " ".join(item))], substitutions, least).drop("item_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_every_stretch_holds_a_near_seed():
+    for gaps in itertools.product((0, 1), repeat=11):
+        stretch = "1" + "".join("0" * g + "1" for g in gaps)
+        assert any(all(stretch[at + i] == "1" for i, b in enumerate(s) if b == "1") for s in leaks.NEAR_SEEDS for at in range(len(stretch) - len(s) + 1))
+
+
 def test_nothing_and_very_long_texts(spark):
     assert find(spark, [], [(1, "a " * 20)]) == []
     assert find(spark, [(1, "a " * 20, "text")], []) == []
