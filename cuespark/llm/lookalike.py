@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -183,17 +184,28 @@ def find_lookalikes(table: DataFrame, record_id: str, text: str, phrases: list[t
 def unify(table: DataFrame, text: str, prefix: str = "unified") -> DataFrame:
     """``table`` with the forms to store and to compare a string column by; null stays null.
 
+    Of an array of strings, the forms are arrays with a place for each element.
     ``<prefix>`` is ``canonical_form``; ``<prefix>_look`` and ``<prefix>_capitals`` are the two ``skeletons``:
     texts that share one of them look alike. Each distinct text of a batch is formed once.
     """
 
-    @F.pandas_udf("form string, look string, capitals string")
-    def forms(texts: pd.Series) -> pd.DataFrame:
+    kinds = ["form", "look", "capitals"]
+    many = dict(table.dtypes)[text].startswith("array")
+
+    def formed_of(texts: pd.Series) -> pd.DataFrame:
         codes, distinct = pd.factorize(texts)
         made = [(canonical_form(x), *skeletons(x)) for x in distinct] + [(None, None, None)]
-        out = pd.DataFrame(made, columns=["form", "look", "capitals"], dtype=object)
+        out = pd.DataFrame(made, columns=kinds, dtype=object)
         return out.take(codes).reset_index(drop=True)
 
+    @F.pandas_udf(", ".join(f"{n} {'array<string>' if many else 'string'}" for n in kinds))
+    def forms(texts: pd.Series) -> pd.DataFrame:
+        if not many:
+            return formed_of(texts)
+        flat = formed_of(pd.Series([x for t in texts if t is not None for x in t], dtype=object))
+        ends = [0, *itertools.accumulate(0 if t is None else len(t) for t in texts)]
+        return pd.DataFrame({n: pd.Series([None if t is None else list(flat[n][a:b]) for t, a, b in zip(texts, ends, ends[1:])], dtype=object) for n in kinds})
+
     formed = table.withColumn("__forms", forms(F.col(text)))
     names = {prefix: "form", f"{prefix}_look": "look", f"{prefix}_capitals": "capitals"}
     return formed.select(*table.columns, *[F.col(f"__forms.{v}").alias(k) for k, v in names.items()])

@@ -53,7 +53,14 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p5_unified(spark: SparkSession, directory: str) -> DataFrame:
-    return unify(load(spark, directory, "cues").select("row_id", "search_text"), "search_text").drop("search_text")
+    """Every text of problem 5; ``position`` is the place in matched_phrases, null for cues."""
+    forms = ["unified", "unified_look", "unified_capitals"]
+    cues = unify(load(spark, directory, "cues").select("row_id", "search_text"), "search_text")
+    phrases = unify(load(spark, directory, "json_cues").select("match_id", "matched_phrases").where(F.size("matched_phrases") > 0), "matched_phrases")
+    phrases = phrases.select("match_id", F.posexplode(F.arrays_zip(*forms)).alias("position", "form"))
+    return cues.select(F.lit("cues").alias("table_name"), F.col("row_id").alias("record_id"), F.lit(None).cast("int").alias("position"), *forms).unionAll(
+        phrases.select(F.lit("json_cues").alias("table_name"), F.col("match_id").alias("record_id"), "position", *[f"form.{n}" for n in forms])
+    )
 
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:

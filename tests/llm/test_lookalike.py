@@ -3,6 +3,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from cuespark.llm.lookalike import canonical_form, collect_phrases, find_lookalikes, skeletons, unify
+from cuespark.llm.queries import p5_unified
 
 PHRASES = [(0, "captions made by lanternloft"), (1, "coffee café of the final scene"), (2, "перевод проверен кружком"), (3, "más vídeo"), (4, " ")]
 SAME = [
@@ -56,6 +57,19 @@ def test_unified_column(spark):
     assert got[0].text == "Ｆｕｌｌ\u00a0 ﬁne Straße"
 
 
+def test_unified_arrays(spark, tmp_path):
+    rows = [(1, ["Ｆｕｌｌ", None, "ﬁne Straße"]), (2, None), (3, []), (4, ["mάs vídeo"])]
+    table = spark.createDataFrame(rows, "match_id bigint, matched_phrases array<string>")
+    got = unify(table, "matched_phrases", "u").orderBy("match_id").collect()
+    assert [r.u for r in got] == [["full", None, "fine strasse"], None, [], [canonical_form("mάs vídeo")]]
+    assert got[3].u_look == [skeletons("mάs vídeo")[0]] and got[3].u_capitals == [skeletons("mάs vídeo")[1]]
+    table.write.parquet(f"{tmp_path}/json_cues.parquet")
+    spark.createDataFrame([(7, "Ｆｕｌｌ"), (8, None)], "row_id bigint, search_text string").write.parquet(f"{tmp_path}/cues.parquet")
+    found = sorted(((r.table_name, r.record_id, r.position, r.unified) for r in p5_unified(spark, str(tmp_path)).collect()), key=str)
+    want = [("cues", 7, None, "full"), ("cues", 8, None, None), ("json_cues", 1, 0, "full"), ("json_cues", 1, 1, None), ("json_cues", 1, 2, "fine strasse"), ("json_cues", 4, 0, canonical_form("mάs vídeo"))]
+    assert found == sorted(want, key=str)
+
+
 def test_phrase_list(spark):
     table = spark.createDataFrame([(1, "a"), (2, None)], "query_index int, query string")
     assert collect_phrases(table, "query_index", "query") == [(1, "a")]
