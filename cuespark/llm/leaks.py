@@ -31,7 +31,8 @@ _TURN = np.uint64(0xBF58476D1CE4E5B9)
 def seeds_for(substitutions: int, least: int = LEAST_WORDS) -> tuple[str, ...]:
     """Seeds of which every stretch that ``_overlaps`` reports holds one at least."""
     if least >= LEAST_WORDS and substitutions <= 1:
-        return NEAR_SEEDS if substitutions else SEEDS[:1]
+        # every seed lies within a run of LEAST_WORDS equal words: one is enough
+        return NEAR_SEEDS if substitutions else SEEDS[1:2]
     # all ways in which the first equal words of a stretch can stand, for as many words as MOST_SEEDS allow
     weight = 1
     while weight < min(least, LEAST_WORDS) and (substitutions + 1) ** weight <= MOST_SEEDS:
@@ -165,8 +166,8 @@ def leaked_passages(
 
     Every window of words is hashed by the seeds of ``seeds_for`` and looked up among the windows of
     the items; each hit names a diagonal (document, item, offset), on which the words are compared.
-    Every passage holds one of the seeds, so none is missed. With ``substitutions`` = 0 the full seed
-    alone finds every exact passage. More than one substitution, or a smaller ``least``, leaves seeds
+    Every passage holds one of the seeds, so none is missed. With ``substitutions`` = 0 one spaced
+    seed names the candidates, and comparing the words keeps the exact runs. More than one substitution, or a smaller ``least``, leaves seeds
     of few words, which hit often: right, but slow. The items travel to the documents, in blocks of at most
     ``BLOCK_WORDS`` words, so the documents are never shuffled and their size doesn't matter.
 

@@ -114,6 +114,13 @@ def test_every_stretch_holds_a_near_seed():
         assert any(all(stretch[at + i] == "1" for i, b in enumerate(s) if b == "1") for s in leaks.NEAR_SEEDS for at in range(len(stretch) - len(s) + 1))
 
 
+def test_exact_passages_come_from_a_spaced_seed(spark):
+    assert all("0" in s for s in leaks.seeds_for(0))
+    item = [f"w{i}" for i in range(12)]
+    near = [w if SEEDS[1][i] == "1" else "other" for i, w in enumerate(item)]
+    assert [r.doc_id for r in find(spark, [(1, " ".join(item), "text"), (2, " ".join(near), "text")], [(7, " ".join(item))])] == [1]
+
+
 def test_nothing_and_very_long_texts(spark):
     assert find(spark, [], [(1, "a " * 20)]) == []
     assert find(spark, [(1, "a " * 20, "text")], []) == []
