@@ -34,7 +34,6 @@ BUCKETS = 1 << BITS  # letter pairs and triples are counted by hash: the model h
 TOP = 60  # evidence counts up to this many nats
 LEAST = 2.0  # a word speaks for a chain from this many nats on
 PAIRS = 0.2  # what the letter pairs weigh against the triples
-KEPT = 2  # the chains that a record's evidence is kept for
 PRIOR = 0.002  # of each chain, before anything is seen
 WEIGHT = 20.0  # records that the prior of a source and field weighs
 ROUNDS = 60
@@ -230,7 +229,7 @@ class Evidence:
         return known
 
     def of_text(self, text: str) -> list[tuple[int, int]]:
-        """The ``KEPT`` strongest (chain, whole nats up to ``TOP``) of a text, by chain; those far behind the first are left out."""
+        """Every (chain, whole nats up to ``TOP``) that a text speaks for, by chain; only those more than ``TOP - LEAST`` behind the first are left out."""
         if "�" in text:
             return [(LOST, TOP)]
         total: dict[int, float] = {}
@@ -238,10 +237,9 @@ class Evidence:
             if not word.isascii():
                 for k, gain, _ in self.of_word(word):
                     total[k] = total.get(k, 0.0) + gain
-        best = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:KEPT]
         # what is over the top is taken from all, so that their differences stay
-        over = max(0.0, best[0][1] - TOP) if best else 0.0
-        return sorted((k, int(round(g - over))) for k, g in best if g - over >= LEAST)
+        over = max(0.0, max(total.values(), default=0.0) - TOP)
+        return sorted((k, int(round(g - over))) for k, g in total.items() if g - over >= LEAST)
 
     def repair(self, text: str, chain: int) -> str | None:
         """``text`` with the words that speak for ``chain`` undone; null where that chain can't be undone."""

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from cuespark.llm.encodings import CHAINS, LOST, find_garbled, maximize, repair_garbled, undo
+from cuespark.llm.encodings import CHAINS, LOST, Evidence, _base, _decide, find_garbled, maximize, repair_garbled, undo
 
 SENTENCES = {
     "fr": ["Le garçon a oublié la leçon près de l’église.", "Où est passée la fenêtre brisée ?", "Après le dîner, mon frère a réparé la clé.", "Ma sœur a reçu une étoile à côté du marché."],
@@ -95,3 +95,18 @@ def test_swapped_ascii_is_found(spark):
     found = repair_garbled(table, "row_id", F.lit("s"), ["text"]).collect()
     assert sorted(r.row_id for r in found) == list(range(1000, 1020))
     assert all(r.repaired == rows[r.row_id - 1000][1] for r in found)
+
+
+def test_a_third_chain_can_win():
+    class Said(Evidence):
+        def __init__(self):
+            pass
+
+        def of_word(self, word):
+            return {"gr├╝nen": [(6, 9.0, "grünen"), (7, 9.0, "grünen"), (8, 9.0, "grünen")], "д": [(8, 12.0, "x")]}[word]
+
+    texts = ["gr├╝nen"] * 3 + ["д"] * 30
+    signatures = [Said().of_text(t) for t in texts]
+    assert signatures[0] == [(6, 9), (7, 9), (8, 9)]
+    share = maximize(signatures, np.ones(len(texts)), 10.0, _base())
+    assert _decide(signatures[0], share)[0] == 8
