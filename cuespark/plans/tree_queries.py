@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespark.functions import detect_format
-from cuespark.kernel.files import read_safe
+from cuespark.kernel.files import MOST_BYTES, read_safe
 from cuespark.operators.discovery import Discovery, discover
 from cuespark.operators.render import encode_file, render_files
 from cuespark.plans.reference_queries import _ASS, _ASS_HEAD, _FOLD, _PLAIN, _SRT, _TAGS_ONLY, _VTT, _VTT_HEAD, _WHOLE_DISPLAY, Prepare, _cues, _plain, _whole, _whole_sql
@@ -21,6 +22,7 @@ from cuespark.streaming import stream_files
 from cuespark.workspace import Workspace
 
 PHRASES = ["the ", "FEED", "café"]
+ISSUE_KINDS = (None, "invalid", "symlink", "hardlink", "too-large", "unsafe")
 
 
 def _write(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> str:
@@ -47,6 +49,33 @@ def tree_issues(spark: SparkSession, directory: str) -> DataFrame:
     return _scan(spark, directory).issues.select("path", "kind")
 
 
+def _spoil(root: str, path: str) -> None:
+    """Makes the file an issue, of a kind that the length of its path gives; every sixth length leaves it as it is."""
+    at = os.path.join(root, path)
+    kind = ISSUE_KINDS[len(path) % len(ISSUE_KINDS)]
+    if kind == "invalid":
+        with open(at, "wb") as f:
+            f.write(b"[Events]\nno record\n")
+    elif kind == "symlink":
+        os.rename(at, f"{at}.kept")
+        os.symlink(os.path.basename(f"{at}.kept"), at)
+    elif kind == "hardlink":
+        os.link(at, f"{at}.kept")
+    elif kind == "too-large":
+        os.truncate(at, MOST_BYTES + 1)  # a hole, no blocks
+    elif kind == "unsafe":
+        os.remove(at)
+        os.mkfifo(at)
+
+
+def tree_issue_kinds(spark: SparkSession, directory: str) -> DataFrame:
+    """The issues of a tree in which files of each kind but unreadable stand; that kind needs rights which a superuser ignores."""
+    root = _write(spark, directory)
+    for r in _cues(spark, directory).where("end_ms > start_ms and start_ms >= 0").where(detect_format(F.col("path")).isNotNull()).select("path").distinct().toLocalIterator():
+        _spoil(root, r.path)
+    return discover(spark, root).issues.select("path", "kind")
+
+
 def tree_search(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
     session = Session(spark, Workspace(_write(spark, directory, prepare)))
     session.discover()
@@ -80,7 +109,7 @@ def tree_stream(spark: SparkSession, directory: str, prepare: Prepare = _plain)
     return spark.read.parquet(f"file://{kept}/out")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tree_scan, tree_issues, tree_search, tree_remove_undo, tree_stream)} | {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tree_scan, tree_issues, tree_issue_kinds, tree_search, tree_remove_undo, tree_stream)} | {
     f"whole_{f.__name__}": functools.partial(f, prepare=_whole) for f in (tree_scan, tree_search, tree_remove_undo, tree_stream)
 }
 
@@ -95,6 +124,7 @@ ORACLES: dict[str, str] = {
     "tree_scan": f"""with {_FORMED}, bodies as (select path, form, count(*) as cues, {_BODY} as body from listed group by path, form)
 select path, form as format, 'utf-8' as encoding, cues, cast(strlen(body) as bigint) as size, sha256(body) as sha256 from bodies""",
     "tree_issues": "select path, kind from issues where false",
+    "tree_issue_kinds": f"""with {_FORMED} select distinct path, ['', 'invalid', 'symlink', 'hardlink', 'too-large', 'unsafe'][length(path) % 6 + 1] as kind from listed where length(path) % 6 <> 0""",
     "tree_search": f"with {_MATCHED} select path, cast(n - 1 as int) as ordinal, array_to_string(hits, ',') as indexes from matched where len(hits) > 0",
     "tree_remove_undo": f"""with {_MATCHED}, kept as (select path, form, ordinal, start_ms, end_ms, plain, row_number() over (partition by path order by ordinal) as n from matched where len(hits) = 0),
 counts as (select path, form, count(*) as gone from matched where len(hits) > 0 group by path, form),
