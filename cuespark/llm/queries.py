@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuespark.llm.encodings import find_garbled, repair_garbled
 from cuespark.llm.leaks import collect_items, leaked_passages
 from cuespark.llm.lookalike import collect_phrases, find_lookalikes, unify
-from cuespark.llm.mixing import count_tokens, mix, mix_report, source_plan
+from cuespark.llm.mixing import mix, mix_report, mix_sized, report_sized
 from cuespark.llm.quality import collect_common_words, text_statistics
 from cuespark.llm.runs import collapse_runs
 from cuespark.llm.site_lines import mark_repeated, repeated_lines
@@ -90,12 +90,8 @@ def p7_passages(spark: SparkSession, directory: str) -> DataFrame:
     return _passages(spark, directory, 1)
 
 
-def _sized(spark: SparkSession, directory: str) -> DataFrame:
-    return count_tokens(load(spark, directory, "documents").select("doc_id", "source", "text"), "text", "tokens")
-
-
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
-    return source_plan(_sized(spark, directory), load(spark, directory, "mix_targets")).where("short").select("source")
+    return p8_shares(spark, directory).where("short").select("source")
 
 
 def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
@@ -106,6 +102,19 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mix_report(load(spark, directory, "documents"), "doc_id", "text", load(spark, directory, "mix_targets"))
 
 
+def _characters(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents with their length in characters for size, which SQL can count too."""
+    return load(spark, directory, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("tokens"))
+
+
+def p8_mix_characters(spark: SparkSession, directory: str) -> DataFrame:
+    return mix_sized(_characters(spark, directory), load(spark, directory, "mix_targets"))
+
+
+def p8_shares_characters(spark: SparkSession, directory: str) -> DataFrame:
+    return report_sized(_characters(spark, directory), load(spark, directory, "mix_targets"))
+
+
 def _statistics(spark: SparkSession, directory: str) -> DataFrame:
     common = collect_common_words(load(spark, directory, "common_words"))
     return text_statistics(load(spark, directory, "documents"), "doc_id", "text", "lang", "format", common)
@@ -123,7 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p2_found, p2_collapsed, p3_found, p3_repaired, p5_found, p5_unified, p6_found, p6_lines, p6_cleaned, p7_found, p7_passages,
-        p8_found, p8_mix, p8_shares, p9_found, p9_statistics,
+        p8_found, p8_mix, p8_shares, p8_mix_characters, p8_shares_characters, p9_found, p9_statistics,
     )
 }
 
@@ -174,7 +183,22 @@ ratios as (select *, token_chars / nullif(tokens, 0) as mean_length, symbols / n
     ended / nullif(lines, 0) as ended_share, common / nullif(tokens, 0) as common_share from statistics)
 """
 
+# expected copies are summed up along the MD5 of the ids, in units of 2^-32 copies, from an offset by the MD5 of the source
+_MIX = """
+sized as (select doc_id, source, coalesce(length(text), 0) as tokens from documents),
+sizes as (select t.source, t.target_share, t.max_repeats, coalesce(sum(d.tokens), 0) as size from mix_targets t left join sized d on t.source = d.source group by all),
+plan as (select *, cast(size as double) * max_repeats as most, target_share * cast(sum(size) over () as double) as wanted from sizes),
+rated as (select d.*, round(least(p.wanted, p.most) / p.size * 4294967296.0)::hugeint as units, ('0x' || substr(md5(d.doc_id || ':42'), 1, 15))::bigint as place,
+    ('0x' || substr(md5(d.source || ':42'), 1, 8))::hugeint as offset_ from sized d join plan p on d.source = p.source where p.size > 0),
+summed as (select *, sum(units) over (partition by source order by place, source, doc_id, tokens rows unbounded preceding) + offset_ as upto from rated),
+mix as (select doc_id, source, tokens, ((upto // 4294967296) - ((upto - units) // 4294967296))::bigint as copies from summed)
+"""
+
 ORACLES: dict[str, str] = {
+    "p8_mix_characters": f"with {_MIX} select * from mix where copies > 0",
+    "p8_shares_characters": f"""with {_MIX}, got as (select source, sum(tokens * copies) as mixed_tokens, count(*) as documents, max(copies) as most_copies from mix where copies > 0 group by source)
+select p.source, target_share, size::bigint as size, max_repeats, most < wanted as short, coalesce(mixed_tokens, 0)::bigint as mixed_tokens, coalesce(documents, 0) as documents,
+  coalesce(most_copies, 0) as most_copies, coalesce(mixed_tokens / (select sum(mixed_tokens) from got), 0) as actual_share from plan p left join got g on p.source = g.source""",
     "p2_found": f"with {_RUNS} select path, arg_min(ordinal, n) as first_ordinal, arg_max(ordinal, n) as last_ordinal from runs group by path, run having count(*) >= 2",
     "p2_collapsed": f"""with {_RUNS} select path, arg_min(ordinal, n) as first_ordinal, arg_max(ordinal, n) as last_ordinal, count(*) as count,
   min(start_ms) as start_ms, max(end_ms) as end_ms, max(end_ms) - min(start_ms) as duration from runs group by path, run""",

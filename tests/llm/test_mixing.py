@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuespark.llm import mixing
-from cuespark.llm.mixing import count_tokens, mix, mix_report, source_plan, systematic_copies
+from cuespark.llm.mixing import count_tokens, draw_order, mix, mix_report, source_plan, systematic_copies
 
 TARGETS = [("a", 0.5, 3), ("b", 0.3, 2), ("c", 0.2, 1), ("gone", 0.0, 4), ("none", 0.1, 2)]
 
@@ -56,16 +56,24 @@ def test_copies_are_systematic(spark):
     rng = random.Random(3)
     rows = [(i, "hot" if i % 10 else "cold", rng.choice([0.0, 0.25, 0.9, 1.0, 2.6]), "x") for i in range(5000)]
     table = spark.createDataFrame(rows, "doc_id bigint, source string, expected double, __x string").drop("__x")
-    drawn = systematic_copies(table, "source", F.xxhash64("doc_id"), F.col("expected"), 1, "copies").collect()
+    drawn = systematic_copies(table, "source", draw_order(F.col("doc_id"), 7), F.col("expected"), 1, "copies").collect()
     assert len(drawn) == len(rows)
     for r in drawn:
         assert int(r.expected) <= r.copies <= int(r.expected) + (r.expected % 1 > 0)
     for s in ("hot", "cold"):
         assert abs(sum(r.copies for r in drawn if r.source == s) - sum(r.expected for r in drawn if r.source == s)) < 1 + 1e-3
-    again = systematic_copies(table.repartition(7), "source", F.xxhash64("doc_id"), F.col("expected"), 1, "copies").collect()
+    again = systematic_copies(table.repartition(7), "source", draw_order(F.col("doc_id"), 7), F.col("expected"), 1, "copies").collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, drawn))
 
 
+def test_more_copies_than_an_int_holds(spark):
+    rows = [(i, "a", e) for i, e in enumerate([2e9, 2_000_000_000.5, 0.25, 1e9, 0.75, 2e9])]
+    table = spark.createDataFrame(rows, "doc_id bigint, source string, expected double")
+    drawn = systematic_copies(table, "source", draw_order(F.col("doc_id"), 7), F.col("expected"), 1, "copies").collect()
+    assert all(abs(r.copies - r.expected) < 1 for r in drawn)
+    assert abs(sum(r.copies for r in drawn) - sum(r[2] for r in rows)) < 1
+
+
 def test_mix_and_report(spark, targets):
     docs = documents(spark)
     mixed = mix(docs, "doc_id", "text", targets).collect()
