@@ -5,14 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.llm.spoken import TIMED, spoken_line, spoken_lines
+from cuespark.shared import checkpointed
 
-CHUNK = 1_000_000  # characters of a document that are counted at once
+CHUNK = 65_536  # characters of a document that are counted at once
+CUT = 32  # pieces that one step of cutting makes of a longer one
 FAN_IN = 64  # partial states that one step of the tree merges
+LONGEST = 1 << 31  # characters that a text can have at most
 ENDINGS = (".", "!", "?", "…")
 MOST_COMMON_WORDS = 1_000_000
 _SYMBOLS = re.compile(r"[\W_]+")
@@ -49,30 +53,48 @@ class Counter:
 
 STATE = ", ".join(f"{c} bigint" for c in COUNTS)
 EDGE = "struct<chunk:int,last:int,head:string,tail:string,broken:boolean>"
+KEYS = ("doc_id", "format", "lang", "copy")
+_EDGE = pa.struct([("chunk", pa.int32()), ("last", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("broken", pa.bool_())])
 
 
-def _partial(common: dict[str, set[str]]):
-    """The state of each chunk: counts of its whole lines, and the parts of lines at its two ends."""
+def _count_whole(common: dict[str, set[str]]):
+    """The counts of the documents of one chunk; the chunks of longer ones pass as they are."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(common)
         for batch in batches:
-            counts: list[list[int]] = []
-            edges: list[dict | None] = []
-            for piece, form, lang, n, of in zip(*(batch.column(c).to_pylist() for c in ("piece", "format", "lang", "chunk", "chunks"))):
-                if of == 1:
-                    counts.append(counter.count(spoken_lines(piece, form), lang))
-                    edges.append(None)
-                    continue
-                head, *rest = piece.split("\n")
+            whole = batch.column("chunks").to_pylist()
+            texts = batch.column("piece")
+            counts = [
+                counter.count(spoken_lines(texts[i].as_py(), form), lang) if whole[i] == 1 else [0] * len(COUNTS)
+                for i, (form, lang) in enumerate(zip(batch.column("format").to_pylist(), batch.column("lang").to_pylist()))
+            ]
+            left = pa.compute.if_else(pa.array([w > 1 for w in whole]), texts, pa.nulls(len(whole), pa.string()))
+            kept = [batch.column(c) for c in (*KEYS, "chunks", "chunk")]
+            yield pa.RecordBatch.from_arrays([*kept, left, *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(COUNTS)))], [*KEYS, "chunks", "chunk", "piece", *COUNTS])
+
+    import pyarrow.compute  # noqa: F401
+
+    return kernel
+
+
+def _count_pieces(common: dict[str, set[str]]):
+    """The state of each chunk of a longer document: counts of its whole lines, and the parts of lines at its two ends."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(common)
+        for batch in batches:
+            counts = [list(row) for row in zip(*(batch.column(c).to_pylist() for c in COUNTS))]
+            edges: list[dict | None] = [None] * batch.num_rows
+            pieces = batch.column("piece")
+            for i in np.flatnonzero(pieces.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                form, lang, n = (batch.column(c)[i].as_py() for c in ("format", "lang", "chunk"))
+                head, *rest = pieces[i].as_py().split("\n")
                 tail = rest.pop() if rest else None
-                lines = [x for x in (spoken_line(y, form in TIMED) for y in rest) if x]
-                counts.append(counter.count(lines, lang))
-                edges.append({"chunk": n, "last": n, "head": head, "tail": tail, "broken": tail is not None})
-            kept = [batch.column(c) for c in ("doc_id", "format", "lang", "chunk")]
-            arrays = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(COUNTS))]
-            edge = pa.array(edges, pa.struct([("chunk", pa.int32()), ("last", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("broken", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([*kept, *arrays, edge], ["doc_id", "format", "lang", "chunk", *COUNTS, "edge"])
+                counts[i] = counter.count([x for x in (spoken_line(y, form in TIMED) for y in rest) if x], lang)
+                edges[i] = {"chunk": n, "last": n, "head": head, "tail": tail, "broken": tail is not None}
+            kept = [batch.column(c) for c in (*KEYS, "chunks", "chunk")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(COUNTS))), pa.array(edges, _EDGE)], [*KEYS, "chunks", "chunk", *COUNTS, "edge"])
 
     return kernel
 
@@ -119,9 +141,8 @@ def _merge(common: dict[str, set[str]], final: bool):
                         extra[i][r] = n
                 merged.append(edge)
             arrays = [pa.compute.add(batch.column(c), pa.array(x, pa.int64())) for c, x in zip(COUNTS, extra)]
-            edge = pa.array(merged, pa.struct([("chunk", pa.int32()), ("last", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("broken", pa.bool_())]))
-            kept = [batch.column(c) for c in ("doc_id", "format", "lang", "chunk")]
-            yield pa.RecordBatch.from_arrays([*kept, *arrays, edge], ["doc_id", "format", "lang", "chunk", *COUNTS, "edge"])
+            kept = [batch.column(c) for c in (*KEYS, "chunk", "times")]
+            yield pa.RecordBatch.from_arrays([*kept, *arrays, pa.array(merged, _EDGE)], [*KEYS, "chunk", "times", *COUNTS, "edge"])
 
     import pyarrow.compute  # noqa: F401
 
@@ -139,6 +160,13 @@ def collect_common_words(table: DataFrame) -> dict[str, set[str]]:
     return out
 
 
+def _cut(text: Column, width: int) -> Column:
+    """``text`` in pieces of ``width`` characters."""
+    return F.when(F.length(text) <= width, F.array(text)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / width).cast("int")), lambda i: F.substring(text, i * width + 1, F.lit(width)))
+    )
+
+
 def text_statistics(documents: DataFrame, doc_id: str, text: str, lang: str, document_format: str, common: dict[str, set[str]], chunk: int = CHUNK) -> DataFrame:
     """Counts and ratios of the spoken lines of each document with a text, and the rules they break.
 
@@ -148,32 +176,48 @@ def text_statistics(documents: DataFrame, doc_id: str, text: str, lang: str, doc
     ``symbol_share``, ``ended_share``, ``common_share`` (null where there is nothing to divide by), and
     ``broken``, the names of the rules that hold: few_tokens, token_length, symbols, endings, common.
 
-    A document is cut into chunks of ``chunk`` characters. The state of a chunk is the counts of its
-    whole lines and the parts of lines at its ends; states merge associatively, ``FAN_IN`` at a time
-    and then all of a document, and the lines that become whole at the borders are counted then. A
-    state is as large as the two longest part lines. Only states are shuffled, never texts.
+    A document is cut into chunks of ``chunk`` characters, in steps that each read it once. Chunks of
+    longer documents are dealt to all tasks, and so counted beside each other; a document of one chunk
+    is counted where it is. The state of a chunk is the counts of its whole lines and the parts of
+    lines at its ends; states merge associatively, ``FAN_IN`` at a time, in as many steps as the
+    longest possible text needs, and the lines that become whole at the borders are counted then. A
+    state is as large as two part lines: what must fit in one task is the longest line, not the text.
 
     Defined results: documents with a null text have no row; empty ones have zero counts and break
-    the rules of few tokens. Each row is a document: repeated ids are told apart by nothing and are
-    summed, so ids must be unique. Any length of text is fine, and its chunks never meet in one place.
+    the rules of few tokens. Each row is a document of its own, with a row in the result, also where
+    ids or whole rows repeat (long texts of one id are told apart by a hash). Null ids are fine.
     """
     kind = dict(documents.dtypes)[doc_id]
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(document_format).alias("format"), F.col(lang).alias("lang")).where("text is not null")
-    many = F.ceil(F.length("text") / F.lit(chunk)).cast("int")
-    cut = F.when(many <= 1, F.array("text")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(many, F.lit(1)) - 1), lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk))))
-    pieces = rows.withColumn("pieces", cut).select("doc_id", "format", "lang", F.size("pieces").alias("chunks"), F.posexplode("pieces").alias("chunk", "piece"))
-    schema = f"doc_id {kind}, format string, lang string, chunk int, {STATE}, edge {EDGE}"
-    states = pieces.mapInArrow(_partial(common), schema)
-    sums = [F.sum(c).alias(c) for c in COUNTS]
-    for final in (False, True):
-        step = F.floor(F.col("chunk") / FAN_IN).cast("int") if not final else F.lit(0)
-        states = (
-            states.groupBy("doc_id", "format", "lang", step.alias("part"))
-            .agg(F.min("chunk").alias("chunk"), *sums, F.collect_list("edge").alias("edges"))
-            .mapInArrow(_merge(common, final), schema)
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(document_format).alias("format"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null")
+    long = F.length("text") > chunk
+    rows = rows.select(
+        "doc_id", "format", "lang", F.when(long, F.xxhash64("text")).alias("copy"), F.ceil(F.greatest(F.length("text"), F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"), F.lit(0).alias("chunk"), F.col("text").alias("piece")
+    )
+    for width in (chunk * CUT * CUT, chunk * CUT, chunk):
+        rows = rows.select(*KEYS, "chunks", "chunk", F.posexplode(_cut(F.col("piece"), width)).alias("at", "piece"))
+        rows = rows.withColumn("chunk", F.col("chunk") + F.col("at") * (width // chunk)).drop("at")
+    key_types = f"doc_id {kind}, format string, lang string, copy bigint"
+    whole = rows.mapInArrow(_count_whole(common), f"{key_types}, chunks int, chunk int, piece string, {STATE}")
+    states = whole.repartition("doc_id", "copy", "chunk").mapInArrow(_count_pieces(common), f"{key_types}, chunks int, chunk int, {STATE}, edge {EDGE}")
+    states = checkpointed(states)  # small, and read for the short and for the long documents
+    short = states.where("chunks = 1").select("doc_id", *COUNTS)
+    # equal rows have equal chunks: each is taken once, with the number of rows
+    parts = states.where("chunks > 1").groupBy(*KEYS, "chunk").agg(F.first(F.struct(*COUNTS, "edge")).alias("state"), F.count(F.lit(1)).alias("times"))
+    parts = parts.select(*KEYS, "chunk", "times", "state.*")
+    schema = f"{key_types}, chunk int, times bigint, {STATE}, edge {EDGE}"
+    left = -(-LONGEST // chunk)
+    while left > 1:
+        left = -(-left // FAN_IN)
+        parts = (
+            parts.groupBy(*KEYS, F.floor(F.col("chunk") / FAN_IN).cast("int").alias("part"))
+            .agg(F.max("times").alias("times"), *[F.sum(c).alias(c) for c in COUNTS], F.collect_list("edge").alias("edges"))
+            .withColumnRenamed("part", "chunk")
+            .mapInArrow(_merge(common, left == 1), schema)
         )
+    merged = parts.select("doc_id", *COUNTS, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("row")).drop("row")
+    states = short.unionAll(merged)
     ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
-    out = states.drop("edge", "format", "lang", "chunk").withColumns(
+    out = states.withColumns(
         {"mean_length": ratio("token_chars", "tokens"), "symbol_share": ratio("symbols", "token_chars"), "ended_share": ratio("ended", "lines"), "common_share": ratio("common", "tokens")}
     )
     rules = {

@@ -120,6 +120,12 @@ def _statistics(spark: SparkSession, directory: str) -> DataFrame:
     return text_statistics(load(spark, directory, "documents"), "doc_id", "text", "lang", "format", common)
 
 
+def p9_chunked(spark: SparkSession, directory: str) -> DataFrame:
+    """The same statistics in chunks of 1,024 characters: nearly every document is counted in parts that are merged."""
+    common = collect_common_words(load(spark, directory, "common_words"))
+    return text_statistics(load(spark, directory, "documents"), "doc_id", "text", "lang", "format", common, chunk=1_024).drop("broken")
+
+
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return _statistics(spark, directory).where(F.size("broken") > 0).select("doc_id")
 
@@ -132,7 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p2_found, p2_collapsed, p3_found, p3_repaired, p5_found, p5_unified, p6_found, p6_lines, p6_cleaned, p7_found, p7_passages,
-        p8_found, p8_mix, p8_shares, p8_mix_characters, p8_shares_characters, p9_found, p9_statistics,
+        p8_found, p8_mix, p8_shares, p8_mix_characters, p8_shares_characters, p9_found, p9_statistics, p9_chunked,
     )
 }
 
@@ -214,4 +220,5 @@ select distinct doc_id, item_id from doc_windows join item_windows using (passag
     "p9_found": f"""with {_STATISTICS}
 select doc_id from ratios where tokens < 20 or mean_length < 2.5 or mean_length > 9 or symbol_share > 0.25 or ended_share < 0.25 or common_share < 0.1""",
     "p9_statistics": f"with {_STATISTICS} select * from ratios",
+    "p9_chunked": f"with {_STATISTICS} select * from ratios",
 }

@@ -47,6 +47,21 @@ def test_against_brute_force_at_any_chunk_size(spark):
     quality.FAN_IN = 64
 
 
+def test_repeated_rows_and_ids_are_documents_of_their_own(spark):
+    docs = [(1, "the cat\n" * 9, "en", "text"), (1, "the cat\n" * 9, "en", "text"), (1, "a dog\n" * 40, "en", "text"), (None, "x y\n" * 30, None, None), (None, "", None, None)]
+    table = spark.createDataFrame([(*d, 1, "e") for d in docs], SCHEMA)
+    for chunk in (5, 1_000):
+        got = text_statistics(table, "doc_id", "text", "lang", "format", COMMON, chunk=chunk).select("doc_id", "tokens", "lines", "common").collect()
+        assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([(1, 18, 9, 9), (1, 18, 9, 9), (1, 80, 40, 0), (None, 60, 30, 0), (None, 0, 0, 0)], "doc_id int, tokens int, lines int, common int").collect())
+
+
+def test_pieces_of_a_long_document_are_dealt_out(spark):
+    """A document of many chunks is cut in steps, and its pieces are in order and whole."""
+    text = "".join(f"{i} é🎬\n" for i in range(30_000))
+    r = statistics(spark, [(1, text, "en", "text")], chunk=64)[1]
+    assert (r.tokens, r.lines, r.token_chars) == (60_000, 30_000, sum(len(str(i)) + 2 for i in range(30_000)))
+
+
 def test_rules(spark):
     good = "The cat and the dog don't sleep and the bird sings.\n" * 4
     docs = [(1, good, "en", "text"), (2, "the the.", "en", "text"), (3, "a b c d. " * 10, "en", "text"), (4, "the ##### " * 20 + ".", "en", "text"), (5, good.replace(".", ""), "en", "text"), (6, good, "de", "text"), (7, "", "en", "text")]
