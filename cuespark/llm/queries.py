@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespark.llm.encodings import find_garbled, repair_garbled
-from cuespark.llm.leaks import collect_items, leaked_passages
+from cuespark.llm.leaks import LEAST_WORDS, leaked_passages
 from cuespark.llm.lookalike import collect_phrases, find_lookalikes, unify
 from cuespark.llm.mixing import mix, mix_report, mix_sized, report_sized
 from cuespark.llm.quality import collect_common_words, text_statistics
@@ -77,17 +77,12 @@ def p6_cleaned(spark: SparkSession, directory: str) -> DataFrame:
     return records.join(mark_repeated(records, _site(), "path", "text").select("match_id").distinct(), "match_id", "left_anti").select("match_id", "path", "id", "text")
 
 
-def _passages(spark: SparkSession, directory: str, substitutions: int) -> DataFrame:
-    items = collect_items(load(spark, directory, "eval_items"), "item_id", "text")
-    return leaked_passages(load(spark, directory, "documents"), "doc_id", "text", "format", items, substitutions)
-
-
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
-    return _passages(spark, directory, 0).select("doc_id", "item_id").distinct()
+    return p7_passages(spark, directory).where(F.col("run") >= LEAST_WORDS).select("doc_id", "item_id").distinct()
 
 
 def p7_passages(spark: SparkSession, directory: str) -> DataFrame:
-    return _passages(spark, directory, 1)
+    return leaked_passages(load(spark, directory, "documents"), "doc_id", "text", "format", load(spark, directory, "eval_items"), "item_id", "text")
 
 
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -172,6 +167,10 @@ cut_lines as (select doc_id, lang, n, trim(case when timed then regexp_replace(l
   from raw_lines where not timed or not ((n = 1 and starts_with(line, 'WEBVTT')) or contains(line, '-->') or regexp_full_match(line, '\s*[0-9]+\s*'))),
 spoken as (select doc_id, lang, n, line from cut_lines where line <> '')
 """
+_WORDS = rf"""{_SPOKEN},
+doc_words as (select doc_id, list_filter(regexp_extract_all(lower(string_agg(line, ' ' order by n)), '[\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from spoken group by doc_id),
+item_words as (select item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as w from eval_items)
+"""
 _STATISTICS = rf"""{_SPOKEN},
 tokens as (select doc_id, lang, n, line, list_filter(regexp_split_to_array(line, '[\s\x0b\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda x: x <> '') as words from spoken),
 vocabulary as (select lang, list(distinct word) as known from common_words group by lang),
@@ -211,9 +210,17 @@ select p.source, target_share, size::bigint as size, max_repeats, most < wanted
     "p6_found": f"with {_SITE_LINES} {_FOUND6}",
     "p6_lines": f"with {_SITE_LINES} select source, key, documents, files from repeated",
     "p6_cleaned": f"with {_SITE_LINES} select match_id, path, id, text from json_cues where match_id not in ({_FOUND6})",
-    "p7_found": rf"""with {_SPOKEN},
-doc_words as (select doc_id, list_filter(regexp_extract_all(lower(string_agg(line, ' ' order by n)), '[\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from spoken group by doc_id),
-item_words as (select item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as w from eval_items),
+    "p7_passages": f"""with {_WORDS},
+dw as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as p from doc_words),
+iw as (select item_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as q from item_words),
+same as (select doc_id, item_id, p - q as shift, p from dw join iw using (word)),
+diagonals as (select doc_id, item_id, shift from same group by all having count(*) >= 12),
+steps as (select *, p - lag(p) over w as step from same semi join diagonals using (doc_id, item_id, shift) window w as (partition by doc_id, item_id, shift order by p)),
+marked as (select *, sum(case when step <= 2 then 0 else 1 end) over w as stretch, sum(case when step = 1 then 0 else 1 end) over w as run_of from steps window w as (partition by doc_id, item_id, shift order by p)),
+runs as (select doc_id, item_id, shift, stretch, run_of, count(*) as n, min(p) as a, max(p) as b from marked group by all)
+select doc_id, item_id, min(a) as doc_word, min(a) - shift as item_word, max(b) - min(a) + 1 as words, (max(b) - min(a) + 1 - sum(n))::bigint as substituted, max(n) as run
+from runs group by doc_id, item_id, shift, stretch having sum(n) >= 12""",
+    "p7_found": rf"""with {_WORDS},
 item_windows as (select distinct item_id, array_to_string(w[i:i + 11], ' ') as passage from (select item_id, w, unnest(range(1, len(w) - 10)) as i from item_words)),
 doc_windows as (select doc_id, array_to_string(w[i:i + 11], ' ') as passage from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from doc_words))
 select distinct doc_id, item_id from doc_windows join item_windows using (passage)""",

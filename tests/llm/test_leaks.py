@@ -4,15 +4,16 @@ import random
 import pytest
 
 from cuespark.llm import leaks
-from cuespark.llm.leaks import SEEDS, collect_items, leaked_passages
+from cuespark.llm.leaks import EXACT_SEEDS, leaked_passages
 from cuespark.llm.spoken import spoken_lines, words
 
 SCHEMA = "doc_id bigint, text string, format string, item_id int, words string"
 
 
-def find(spark, docs, items, substitutions=0):
+def find(spark, docs, items, substitutions=0, least=12, most_sent=leaks.MOST_SENT):
     table = spark.createDataFrame([(*d, 1, "w") for d in docs], SCHEMA)
-    return leaked_passages(table, "doc_id", "text", "format", items, substitutions).collect()
+    listed = spark.createDataFrame([(*i, "x") for i in items], "item_id bigint, text string, doc_id string")
+    return leaked_passages(table, "doc_id", "text", "format", listed, "item_id", "text", substitutions, least, most_sent).collect()
 
 
 def brute(docs, items):
@@ -51,15 +52,27 @@ def test_against_brute_force(spark, monkeypatch):
     docs, items = corpus()
     want = brute(docs, items)
     assert want
-    for block in (1_000_000, 200):
-        monkeypatch.setattr(leaks, "BLOCK_WORDS", block)
-        assert {(r.doc_id, r.item_id) for r in find(spark, docs, items)} == want
+    monkeypatch.setattr(leaks, "GROUP", 2)
+    for most in (leaks.MOST_SENT, 0):
+        for substitutions in (0, 1):
+            got = find(spark, docs, items, substitutions, most_sent=most)
+            assert {(r.doc_id, r.item_id) for r in got if r.run >= 12} == want
+
+
+def test_both_ways_give_the_same_rows(spark):
+    docs, items = corpus()
+    hit = next(d for d in docs if d[0] in {x for x, _ in brute(docs, items)})
+    docs += [(None, *hit[1:]), (3, *hit[1:]), hit]
+    items += [(3, items[7][1]), (None, items[8][1]), items[8]]
+    key = lambda rows: sorted(map(str, rows))
+    sent = find(spark, docs, items, 1)
+    assert any(r.doc_id is None for r in sent) and key(sent) == key(find(spark, docs, items, 1, most_sent=0))
 
 
 def test_passages_are_whole(spark):
     item = " ".join(f"w{i}" for i in range(40))
     got = find(spark, [(1, "x y " + " ".join(f"W{i}" for i in range(5, 35)) + " z", "text")], [(7, item)])
-    assert [tuple(r) for r in got] == [(1, 7, 2, 5, 30, 0)]
+    assert [tuple(r) for r in got] == [(1, 7, 2, 5, 30, 0, 30)]
 
 
 def test_substitutions_are_tolerated(spark):
@@ -72,12 +85,6 @@ def test_substitutions_are_tolerated(spark):
     assert [(r.words, r.substituted) for r in find(spark, docs, [(7, " ".join(item))], 1)] == [(40, 5)]
 
 
-def test_every_single_substitution_is_skipped_by_a_seed():
-    for at in range(12):
-        assert any(s[at] == "0" for s in SEEDS)
-    assert all(len(s) == 12 for s in SEEDS)
-
-
 def stretches(document, item, substitutions, least):
     """Every passage of the definition, by comparing on all diagonals."""
     out = set()
@@ -103,9 +110,9 @@ def test_every_passage_of_the_definition_is_found(spark, substitutions, least):
         docs.append((d, ["y"] * rng.randrange(5) + changed[rng.randrange(10) : rng.randrange(20, 41)]))
     want = {(d, *s) for d, w in docs for s in stretches(w, item, substitutions, least)}
     assert want or (substitutions, least) == (0, 12)
-    table = spark.createDataFrame([(d, " ".join(w), "text") for d, w in docs], "doc_id bigint, text string, format string")
-    got = leaked_passages(table, "doc_id", "text", "format", [(7, " ".join(item))], substitutions, least).drop("item_id").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    for most in (leaks.MOST_SENT, 0):
+        got = find(spark, [(d, " ".join(w), "text") for d, w in docs], [(7, " ".join(item))], substitutions, least, most)
+        assert sorted((r.doc_id, r.doc_word, r.item_word, r.words, r.substituted) for r in got) == sorted(want)
 
 
 def test_every_stretch_holds_a_near_seed():
@@ -117,18 +124,14 @@ def test_every_stretch_holds_a_near_seed():
 def test_exact_passages_come_from_a_spaced_seed(spark):
     assert all("0" in s for s in leaks.seeds_for(0))
     item = [f"w{i}" for i in range(12)]
-    near = [w if SEEDS[1][i] == "1" else "other" for i, w in enumerate(item)]
+    near = [w if EXACT_SEEDS[0][i] == "1" else "other" for i, w in enumerate(item)]
     assert [r.doc_id for r in find(spark, [(1, " ".join(item), "text"), (2, " ".join(near), "text")], [(7, " ".join(item))])] == [1]
 
 
 def test_nothing_and_very_long_texts(spark):
     assert find(spark, [], [(1, "a " * 20)]) == []
     assert find(spark, [(1, "a " * 20, "text")], []) == []
+    assert find(spark, [(1, "a " * 20, "text")], [(1, None), (2, "")], most_sent=-1) == []
     long = "<" * 200_000 + " " + " ".join(f"w{i}" for i in range(150_000))
     got = find(spark, [(1, long, "srt"), (2, "x" * 500_000, "text")], [(7, " ".join(f"w{i}" for i in range(70_000, 70_020)))])
     assert [(r.doc_id, r.words) for r in got] == [(1, 20)]
-
-
-def test_items(spark):
-    table = spark.createDataFrame([(1, "a"), (2, None)], "item_id bigint, text string")
-    assert collect_items(table, "item_id", "text") == [(1, "a")]
