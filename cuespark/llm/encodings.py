@@ -27,17 +27,19 @@ CHAINS: list[tuple[str, str, int]] = [
     ("cp1251", "cp1252", 1), ("cp1251", "koi8-r", 1), ("koi8-r", "cp1251", 1), ("koi8-r", "cp1252", 1), ("cp866", "cp1251", 1), ("cp866", "cp1252", 1),
     ("cp1250", "cp1252", 1), ("iso8859-2", "cp1252", 1), ("iso8859-2", "cp1250", 1), ("cp1250", "iso8859-2", 1),
     ("euc_jp", "cp1252", 1), ("shift_jis", "cp1252", 1), ("utf-8", "shift_jis", 1), ("utf-16-le", "utf-16-be", 1), ("cp1252", "mac_roman", 1), ("mac_roman", "cp1252", 1), ("cp850", "cp1252", 1),
+    ("utf-8", "cp1251", 2), ("utf-8", "cp1250", 2), ("utf-8", "gbk", 1), ("gbk", "cp1252", 1), ("big5", "cp1252", 1), ("euc_kr", "cp1252", 1),
+    ("cp1253", "cp1252", 1), ("cp1254", "cp1252", 1), ("cp1256", "cp1252", 1), ("cp1257", "cp1252", 1),
 ]
 LOST = len(CHAINS)  # the chain that leaves replacement characters; nothing undoes it
 BITS = 22
 BUCKETS = 1 << BITS  # letter pairs and triples are counted by hash: the model has this size whatever the corpus
 TOP = 60  # evidence counts up to this many nats
-LEAST = 2.0  # a word speaks for a chain from this many nats on
 PAIRS = 0.2  # what the letter pairs weigh against the triples
 PRIOR = 0.002  # of each chain, before anything is seen
 WEIGHT = 20.0  # records that the prior of a source and field weighs
 ROUNDS = 60
 LANGUAGE_ALPHA = 0.3
+FREE = 0.95  # that share of the buckets is taken for empty: what they hold comes from collisions and rare groups
 WORDS_KEPT = 100_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -56,7 +58,7 @@ def _reader(encoding: str) -> dict[int, int]:
     return table
 
 
-WIDE = ("shift_jis", "utf-16-be")  # readers of more than one byte a character
+WIDE = ("shift_jis", "utf-16-be", "gbk")  # readers of more than one byte a character
 _TABLES = {read: _reader(read) for _, read, _ in CHAINS if read not in WIDE}
 
 
@@ -108,12 +110,12 @@ def _decode_utf8(raw: bytes, word: str, narrow: bool) -> str | None:
     return None if middle.isascii() else word[:begin] + middle + tail
 
 
-def undo(word: str, chain: tuple[str, str, int]) -> str | None:
-    """``word`` as it was before ``chain``; null if the chain can't have made it or changes nothing."""
+def undo(word: str, chain: tuple[str, str, int], first: bytes | None = None) -> str | None:
+    """``word`` as it was before ``chain``; null if the chain can't have made it or changes nothing. ``first``: its bytes, if known."""
     written, read, times = chain
     out = word
-    for _ in range(times):
-        raw = _bytes(out, read)
+    for turn in range(times):
+        raw = first if turn == 0 and first is not None else _bytes(out, read)
         if raw is None:
             return None
         if written == "utf-8":
@@ -141,9 +143,9 @@ class Letters:
             self.low[c] = ord(low) if len(low) == 1 else c
             self.small[c] = chr(c).islower()
 
-    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bucket of each two and of each three neighbours, blanks around the text; and which of both have a letter beyond ASCII."""
-        points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    def grams(self, spaced: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket of each two and of each three neighbours; and which of both have a letter beyond ASCII."""
+        points = np.frombuffer(spaced.encode("utf-32-le", "surrogatepass"), np.uint32)
         table = points < 0x3000
         safe = np.where(table, points, 0)
         low = np.where(table, self.low[safe], points)
@@ -168,28 +170,51 @@ def _letters() -> Letters:
     return _LETTERS[0]
 
 
-def letter_model(texts: DataFrame, text: str) -> np.ndarray:
-    """Log shares of the letter pairs and triples of all texts: an array of ``BUCKETS`` numbers, and only that, on the driver."""
+def model_of(counts: np.ndarray) -> np.ndarray:
+    """Log shares of the letter groups from the counts of their buckets.
+
+    What nearly every bucket holds says nothing about its letters: the count that ``FREE`` of all
+    buckets keep within is taken off. So the groups that a corpus knows are those that stand out,
+    whether few buckets are used or, in a large corpus, all of them.
+    """
+    counts = np.maximum(counts - np.partition(counts, int(FREE * (len(counts) - 1)))[int(FREE * (len(counts) - 1))], 0)
+    return np.log((counts + LANGUAGE_ALPHA) / (counts.sum() + LANGUAGE_ALPHA * len(counts))).astype(np.float32)
+
+
+def letter_counts(texts: DataFrame) -> DataFrame:
+    """``bucket``, ``source``, ``field``, ``n``: the letter pairs and triples of all texts by bucket, and in bucket -1 the texts of each source and field."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, counts, waiting = _letters(), np.zeros(BUCKETS, np.int64), []
+        letters, counts, waiting, records = _letters(), np.zeros(BUCKETS, np.int64), [], {}
         for batch in batches:
-            found = [x for x in batch.column(0).to_pylist() if x]
+            found = [x for x in batch.column("text").to_pylist() if x]
             if found:
-                waiting += letters.grams(" ".join(found))[:2]
+                waiting += letters.grams(f" {' '.join(found)} ")[:2]
             if sum(map(len, waiting)) > BUCKETS:
                 counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
                 waiting = []
+            groups = pa.Table.from_batches([batch]).group_by(["source", "field"]).aggregate([([], "count_all")]).to_pylist()
+            for g in groups:
+                key = (g["source"], g["field"])
+                records[key] = records.get(key, 0) + g["count_all"]
         if waiting:
             counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["bucket", "n"])
+        names = ["bucket", "source", "field", "n"]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.string()), pa.array(counts[at], pa.int64())], names)
+        seen = [pa.array([k[i] for k in records], pa.string()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(records), pa.int32()), *seen, pa.array(list(records.values()), pa.int64())], names)
+
+    counted = texts.select("source", "field", "text").mapInArrow(kernel, "bucket int, source string, field string, n bigint")
+    return checkpointed(counted.groupBy("bucket", "source", "field").agg(F.sum("n").alias("n")))
+
 
-    seen = texts.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(kernel, "bucket int, n bigint")
-    counts = np.zeros(BUCKETS)
-    summed = seen.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+def letter_model(counted: DataFrame) -> np.ndarray:
+    """The model of ``letter_counts``: an array of ``BUCKETS`` numbers, and only that, on the driver."""
+    counts = np.zeros(BUCKETS, np.int64)
+    summed = counted.where("bucket >= 0").select("bucket", "n").toArrow()  # at most BUCKETS rows
     counts[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
-    return np.log((counts + LANGUAGE_ALPHA) / (counts.sum() + LANGUAGE_ALPHA * BUCKETS)).astype(np.float32)
+    return model_of(counts)
 
 
 class Evidence:
@@ -198,15 +223,26 @@ class Evidence:
     def __init__(self, model: np.ndarray):
         self.model, self.unseen, self.words = model, float(model.min()) + 1e-3, {}
 
-    def _fit(self, word: str) -> tuple[float, float]:
-        """Log likelihood of a word's letters, triples before pairs, and the share of its groups that the corpus knows.
+    def fits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of the letters of each text, triples before pairs, and the share of its groups that the corpus knows.
 
         The share is that of groups with a letter beyond ASCII, if there are any.
         """
-        two, three, far_two, far_three = _letters().grams(word)
-        pairs, triples = self.model[two], self.model[three]
-        judged = np.concatenate((pairs[far_two], triples[far_three]) if far_two.any() else (pairs, triples))
-        return float(PAIRS * pairs.sum() + (1 - PAIRS) * triples.sum()), float((judged > self.unseen).mean()) if len(judged) else 0.0
+        sizes = np.array([len(t) + 2 for t in texts])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        two, three, far_two, far_three = _letters().grams("".join(f" {t} " for t in texts))
+        own_two, own_three = np.ones(ends[-1], bool), np.ones(ends[-1], bool)  # groups within one text
+        own_two[ends - 1] = own_three[ends - 1] = own_three[ends - 2] = False
+        pairs, triples = np.append(self.model[two], np.float32(0)), np.append(self.model[three], np.zeros(2, np.float32))
+        far_two, far_three = np.append(far_two, False) & own_two, np.append(far_three, [False, False]) & own_three
+        total = lambda x: np.add.reduceat(x.astype(np.float64), starts)
+        fit = PAIRS * total(np.where(own_two, pairs, 0)) + (1 - PAIRS) * total(np.where(own_three, triples, 0))
+        known_two, known_three = pairs > self.unseen, triples > self.unseen
+        far = total(far_two) + total(far_three)
+        known_far = total(far_two & known_two) + total(far_three & known_three)
+        known_all = total(own_two & known_two) + total(own_three & known_three)
+        return fit, np.where(far > 0, known_far / np.maximum(far, 1), known_all / (2 * sizes - 3))
 
     def of_word(self, word: str) -> list[tuple[int, float, str]]:
         """(chain, nats, repaired) for the chains that ``word`` speaks for."""
@@ -214,42 +250,53 @@ class Evidence:
         if known is None:
             if len(self.words) >= WORDS_KEPT:
                 self.words.clear()
-            known = []
-            own, _ = self._fit(word)
+            known, raws, backs = [], {}, []
             for k, chain in enumerate(CHAINS):
-                back = undo(word, chain)
-                if back is None:
-                    continue
-                fit, known_share = self._fit(back)
+                read = chain[1]
+                if read not in raws:
+                    raws[read] = _bytes(word, read)
+                back = None if raws[read] is None else undo(word, chain, raws[read])
+                if back:
+                    backs.append((k, back))
+            if backs:
+                fit, share = self.fits([word, *(b for _, b in backs)])
                 # a word made of groups that the corpus doesn't know says nothing
-                if known_share > 0.5 and fit - own >= LEAST:
-                    known.append((k, fit - own, back))
+                known = [(k, float(fit[i] - fit[0]), back) for i, (k, back) in enumerate(backs, 1) if share[i] > 0.5 and fit[i] > fit[0]]
             if len(word) <= 200:
                 self.words[word] = known
         return known
 
     def of_text(self, text: str) -> list[tuple[int, int]]:
-        """Every (chain, whole nats up to ``TOP``) that a text speaks for, by chain; only those more than ``TOP - LEAST`` behind the first are left out."""
-        if "�" in text:
-            return [(LOST, TOP)]
-        total: dict[int, float] = {}
+        """Every (chain, whole nats up to ``TOP``) that a text speaks for, by chain; only those ``TOP`` and more behind the first are left out."""
+        total: dict[int, float] = {LOST: TOP} if "�" in text else {}
         for word in text.split(" "):
-            if not word.isascii():
+            if not word.isascii() and "�" not in word:
                 for k, gain, _ in self.of_word(word):
                     total[k] = total.get(k, 0.0) + gain
         # what is over the top is taken from all, so that their differences stay
         over = max(0.0, max(total.values(), default=0.0) - TOP)
-        return sorted((k, int(round(g - over))) for k, g in total.items() if g - over >= LEAST)
+        return sorted((k, n) for k, n in ((k, int(round(g - over))) for k, g in total.items()) if n >= 1)
 
-    def repair(self, text: str, chain: int) -> str | None:
-        """``text`` with the words that speak for ``chain`` undone; null where that chain can't be undone."""
-        if chain == LOST:
-            return None
-        out = []
+    def repair(self, text: str, chain: int) -> tuple[str | None, list[int]]:
+        """``text`` with its garbled words undone, and the chains that were; null where there is nothing to undo.
+
+        Words that speak for ``chain``, the text's, are undone by it. Another chain undoes a word for which it
+        stands further ahead than ``PRIOR``, twice, speaks against a second chain in one text. Words with lost characters stay.
+        """
+        out, used = [], [LOST] if "�" in text else []
         for word in text.split(" "):
-            back = None if word.isascii() else next((b for k, _, b in self.of_word(word) if k == chain), None)
-            out.append(word if back is None else back)
-        return " ".join(out)
+            best = None
+            if not word.isascii() and "�" not in word:
+                said = [(gain + (0 if k == chain else 2 * math.log(PRIOR)), -k, back) for k, gain, back in self.of_word(word)]
+                best = max(said, default=None)
+            if best is None or best[0] <= 0:
+                out.append(word)
+                continue
+            out.append(best[2])
+            if -best[1] not in used:
+                used.append(-best[1])
+        back = " ".join(out)
+        return (None if back == text else back), used or [chain]
 
 
 def gather_evidence(texts: DataFrame, keep: list[str], text: str, model: np.ndarray) -> DataFrame:
@@ -376,10 +423,11 @@ def _decided(table: DataFrame, record_id: str, source: Column, fields: list[str]
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"),
     ).select("record", "source", "x.field", "x.text")
     long = long.where(F.col("text").isNotNull())
-    model = letter_model(long, "text")
+    counted = letter_counts(long)
+    model = letter_model(counted)
     # read for the shares and for the decisions, but gathered once: the few texts that speak for a chain
     evidence = checkpointed(gather_evidence(long, ["record", "source", "field"], "text", model))
-    records = long.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n"))
+    records = counted.where("bucket = -1").select("source", "field", "n")
     decided = posteriors(evidence.select("source", "field", "evidence"), records).where(F.col("posterior") > least)
     found = evidence.join(decided, ["source", "field", "evidence"])
     return found.select(F.col("record").alias(record_id), "field", "source", "text", "chain", "posterior"), model
@@ -392,7 +440,8 @@ def find_garbled(table: DataFrame, record_id: str, source: Column, fields: list[
     and the shares of the chains in its source and field; a text with replacement characters is.
 
     The letter pairs and triples are counted over all texts of all fields. Two passes read the texts:
-    for the letters and for the evidence. The records with evidence are written to the shared folder.
+    for the letters (with the number of texts) and for the evidence. Both results are written to the
+    shared folder: counts by bucket, and the texts that speak for a chain.
 
     Defined results: null texts and texts in ASCII are not garbled. A null source is a source of its
     own. Repeated records are decided alike, each for itself. Any length of text is fine.
@@ -401,15 +450,22 @@ def find_garbled(table: DataFrame, record_id: str, source: Column, fields: list[
 
 
 def repair_garbled(table: DataFrame, record_id: str, source: Column, fields: list[str], least: float = 0.5) -> DataFrame:
-    """The garbled records with the ``chain``'s name and the text as it was (``repaired``; null if lost)."""
+    """The garbled records with the ``chain``'s name and the text as it was (``repaired``; null if nothing can be undone).
+
+    A text that several chains garbled is undone word by word, and has all their names, the one that
+    decided first. Beside lost characters, which stay, the other words of a text are restored.
+    """
     found, letters = _decided(table, record_id, source, fields, least)
     model = table.sparkSession.sparkContext.broadcast(letters)  # BUCKETS numbers
 
-    @F.pandas_udf("string")
-    def repaired(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("repaired string, chain string")
+    def undone(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         evidence = Evidence(model.value)
         for texts, chains in batches:
-            yield pd.Series([evidence.repair(t, int(k)) for t, k in zip(texts, chains)], dtype=object)
+            made = [evidence.repair(t, int(k)) for t, k in zip(texts, chains)]
+            names = [" + ".join(CHAIN_NAMES[k] for k in sorted(used, key=lambda k: k != c)) for (_, used), c in zip(made, chains)]
+            yield pd.DataFrame({"repaired": pd.Series([m[0] for m in made], dtype=object), "chain": pd.Series(names, dtype=object)})
 
-    names = F.array(*[F.lit(n) for n in CHAIN_NAMES])
-    return found.select(record_id, "field", "source", "text", F.get(names, F.col("chain")).alias("chain"), "posterior", repaired("text", "chain").alias("repaired"))
+    return found.select(record_id, "field", "source", "text", "posterior", undone("text", "chain").alias("u")).select(
+        record_id, "field", "source", "text", F.col("u.chain").alias("chain"), "posterior", F.col("u.repaired").alias("repaired")
+    )

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from cuespark.llm import encodings
 from cuespark.llm.encodings import CHAINS, LOST, Evidence, _base, _decide, find_garbled, maximize, repair_garbled, undo
 
 SENTENCES = {
@@ -110,3 +112,53 @@ def test_a_third_chain_can_win():
     assert signatures[0] == [(6, 9), (7, 9), (8, 9)]
     share = maximize(signatures, np.ones(len(texts)), 10.0, _base())
     assert _decide(signatures[0], share)[0] == 8
+
+
+@pytest.mark.parametrize("background", ["one more in every bucket", "all buckets used at random"])
+def test_decisions_are_the_same_when_all_buckets_are_used(spark, monkeypatch, background):
+    """Unrelated text that puts something into every bucket doesn't change what is garbled."""
+    table = spark.createDataFrame(corpus(4), "row_id bigint, path string, display_text string, field string")
+    site = F.split_part(F.col("path"), F.lit("/"), F.lit(1))
+    found = lambda: sorted((r.row_id, r.chain) for r in find_garbled(table, "row_id", site, ["display_text"]).collect())
+    before = found()
+    own = encodings.model_of
+    more = 1 if background.startswith("one") else np.random.default_rng(1).poisson(16, encodings.BUCKETS) + 1
+    monkeypatch.setattr(encodings, "model_of", lambda counts: own(counts + more))
+    assert len(before) > 100 and found() == before
+
+
+# languages and chains that played no part in the choice of parameters
+OTHERS = {
+    "cs": (["Příliš žluťoučký kůň úpěl ďábelské ódy.", "Včera večer našel můj bratr klíč u řeky.", "Proč ta dívka neviděla velkou loď?", "Kuchař schoval těžký kámen ve sklepě."], [("utf-8", "cp1250", 1), ("cp1250", "iso8859-2", 1)]),
+    "el": (["Ο παλιός φούρναρης έχασε το κλειδί κοντά στο ποτάμι.", "Γιατί το κορίτσι δεν βρήκε τη μεγάλη βάρκα;", "Ο θείος μου έφερε κρύο νερό στην κουζίνα.", "Ο κηπουρός έφτιαξε την κίτρινη βάρκα."], [("cp1253", "cp1252", 1), ("utf-8", "cp1252", 1)]),
+    "tr": (["Yaşlı fırıncı nehrin kıyısında anahtarını kaybetti.", "Küçük kız neden büyük gemiyi göremedi?", "Amcam mutfağa soğuk su taşıdı.", "Bahçıvan sarı kayığı sessizce onardı."], [("cp1254", "cp1252", 1), ("utf-8", "cp1252", 1)]),
+    "ko": (["늙은 제빵사는 강가에서 열쇠를 잃어버렸다.", "왜 소녀는 큰 배를 찾지 못했을까?", "삼촌은 부엌으로 찬물을 날랐다.", "정원사는 노란 배를 조용히 고쳤다."], [("euc_kr", "cp1252", 1)]),
+}
+
+
+def test_other_languages_and_chains(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(4000):
+        lang = rng.choice(list(OTHERS))
+        sentences, chains = OTHERS[lang]
+        clean = " ".join(rng.sample(sentences, 2))
+        rows.append((i, f"{lang}/x", garble(clean, rng.choice(chains)) if rng.random() < 0.05 else clean, clean))
+    table = spark.createDataFrame(rows, "row_id bigint, path string, display_text string, field string")
+    found = {r.row_id: r for r in repair_garbled(table, "row_id", F.split_part(F.col("path"), F.lit("/"), F.lit(1)), ["display_text"]).collect()}
+    bad = {i for i, _, text, clean in rows if text != clean}
+    assert len(bad) > 100
+    assert len(set(found) & bad) >= 0.97 * len(bad) and len(set(found) - bad) <= 0.02 * len(bad)
+    assert sum(found[i].repaired == rows[i][3] for i in set(found) & bad) >= 0.9 * len(bad)
+
+
+def test_several_chains_and_lost_characters_in_one_text(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.sample(SENTENCES["ru"] + SENTENCES["fr"], 2))) for i in range(600)]
+    one, two = garble("большую лодку", ("utf-8", "cp1252", 1)), garble("девочка починил", ("cp1251", "koi8-r", 1))
+    rows += [(1000, f"{one} � {one}"), (1001, f"{one} {one} {two}"), (1002, "� только")]
+    found = {r.row_id: r for r in repair_garbled(spark.createDataFrame(rows, "row_id bigint, t string"), "row_id", F.lit("s"), ["t"]).collect()}
+    assert set(found) == {1000, 1001, 1002}
+    assert found[1000].repaired == "большую лодку � большую лодку" and found[1000].chain == "utf-8 read as cp1252 + lost characters"
+    assert found[1001].repaired == "большую лодку большую лодку девочка починил" and " + " in found[1001].chain
+    assert found[1002].repaired is None and found[1002].chain == "lost characters"
