@@ -13,7 +13,7 @@ from cuespark.llm.lookalike import collect_phrases, find_lookalikes, unify
 from cuespark.llm.mixing import mix, mix_report, mix_sized, report_sized
 from cuespark.llm.quality import collect_common_words, text_statistics
 from cuespark.llm.runs import collapse_runs
-from cuespark.llm.site_lines import mark_repeated, repeated_lines
+from cuespark.llm.site_lines import mark_repeated, remove_repeated, repeated_lines
 from cuespark.tables import load
 
 
@@ -64,17 +64,16 @@ def p5_unified(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
-    return mark_repeated(load(spark, directory, "json_cues"), _site(), "path", "text").select("match_id")
+    return mark_repeated(load(spark, directory, "json_cues").select("match_id", "path", "text"), _site(), "path", "text").select("match_id")
 
 
 def p6_lines(spark: SparkSession, directory: str) -> DataFrame:
-    lines, _ = repeated_lines(load(spark, directory, "json_cues"), _site(), "path", "text")
+    lines = repeated_lines(load(spark, directory, "json_cues").select("path", "text"), _site(), "path", "text").lines
     return lines.groupBy("source", "key").agg(F.max("documents").cast("bigint").alias("documents"), F.max("files").cast("bigint").alias("files"))
 
 
 def p6_cleaned(spark: SparkSession, directory: str) -> DataFrame:
-    records = load(spark, directory, "json_cues")
-    return records.join(mark_repeated(records, _site(), "path", "text").select("match_id").distinct(), "match_id", "left_anti").select("match_id", "path", "id", "text")
+    return remove_repeated(load(spark, directory, "json_cues").select("match_id", "path", "id", "text"), _site(), "path", "text")
 
 
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:

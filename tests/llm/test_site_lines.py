@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from cuespark.llm import site_lines
-from cuespark.llm.site_lines import holds_bit, mark_repeated, number_documents, repeated_lines
+from cuespark.llm.site_lines import holds_bit, mark_repeated, number_documents, remove_repeated, repeated_lines
 
 SCHEMA = "match_id bigint, path string, text string, source string, key string, bit int, container int, files int"
 
@@ -41,16 +41,26 @@ def corpus():
 
 def test_against_brute_force(spark, monkeypatch):
     rows = corpus()
-    for bucket, container in ((16_384, 32_768), (4, 8)):
+    for bucket, container, sent in ((16_384, 32_768, 1_000_000), (4, 8, 0)):
         monkeypatch.setattr(site_lines, "BUCKET", bucket)
+        monkeypatch.setattr(site_lines, "MOST_SENT", sent)
         monkeypatch.setattr(site_lines, "CONTAINER", container)
         got = sorted(r.match_id for r in mark_repeated(table(spark, rows), site(), "path", "text").collect())
         assert got == brute(rows) and got
+        left = sorted(r.match_id for r in remove_repeated(table(spark, rows), site(), "path", "text").collect())
+        assert left == sorted({r[0] for r in rows} - set(got))
 
 
 def test_counts_are_exact(spark):
-    lines, _ = repeated_lines(table(spark, [(i, f"s/{i % 7}", "A b!" if i % 2 else "ab") for i in range(70)]), site(), "path", "text")
-    assert [(r.source, r.key, r.documents, r.files) for r in lines.collect()] == [("s", "ab", 7, 7)]
+    found = repeated_lines(table(spark, [(i, f"s/{i % 7}", "A b!" if i % 2 else "ab") for i in range(70)]), site(), "path", "text")
+    assert [(r.source, r.key, r.documents, r.files, bytes(r.bitmap)) for r in found.lines.collect()] == [("s", "ab", 7, 7, b"\x7f")]
+
+
+def test_a_document_whose_bit_is_not_set_keeps_its_line(spark):
+    """The lookup decides: with another document's bitmap in place of the line's own, its records stay."""
+    found = repeated_lines(table(spark, [(i, f"s/{i}", "ab") for i in range(4)]), site(), "path", "text")
+    odd = site_lines.SiteLines(found.lines.withColumn("bitmap", F.lit(b"\x05").cast("binary")), found.candidates, found.likely, found.hashed)
+    assert sorted((r["__bit"], r["__holds"]) for r in odd.looked_up().collect()) == [(0, True), (1, False), (2, True), (3, False)]
 
 
 def test_numbers_are_dense_and_distinct(spark):
