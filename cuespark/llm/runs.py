@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespark.operators.carry import carry_max, chunk_of
+from cuespark.shared import checkpointed
 
 CHUNK_MS = 600_000
 LONGEST_PAUSE_MS = 10_000
 TENTH = 10
+CROWD = 100_000  # events in one chunk from which an entity's chunks are made narrower
+MOST_SENT = 100_000  # crowded entities that are sent to all tasks
 
 
 def canonical_text(text: Column) -> Column:
@@ -30,6 +33,20 @@ def texts_agree(a: Column, b: Column, part: int = TENTH) -> Column:
     return F.coalesce((a == b) | (near), F.lit(False))
 
 
+def _chunked(rows: DataFrame, chunk: int) -> DataFrame:
+    """``rows`` with the chunk ``c`` of each: of ``chunk`` units, or narrower for entities that crowd one."""
+    wide = chunk_of(F.col("s"), chunk)
+    crowds = rows.groupBy("e", wide.alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    narrow = checkpointed(crowds.groupBy("e").agg(F.greatest(F.lit(1), F.floor(F.lit(chunk) / F.ceil(F.max("n") / CROWD))).cast("bigint").alias("width")))
+    found = narrow.count()
+    if not found:
+        return rows.select("e", wide.alias("c"), "s", "o", "t", "x")
+    width = F.coalesce("width", F.lit(chunk).cast("bigint"))
+    return rows.join(F.broadcast(narrow) if found <= MOST_SENT else narrow, "e", "left").select(
+        "e", F.call_function("div", F.col("s") - F.pmod("s", width), width).alias("c"), "s", "o", "t", "x"
+    )
+
+
 def collapse_runs(
     events: DataFrame,
     entity: str,
@@ -54,7 +71,10 @@ def collapse_runs(
     difference) identifies the runs.
 
     All of this happens within chunks of ``chunk`` units of start. A chunk gets the last event before
-    it and the last run begun before it by ``carry_max``, so no window grows with an entity.
+    it and the last run begun before it by ``carry_max``. An entity with more than ``CROWD`` events in
+    a chunk gets chunks narrower by that factor (one unit at least), so that a window grows neither with an
+    entity nor with a crowd; only events of one and the same start always share one. Events
+    and runs are written once to the shared folder.
 
     Defined results: rows with a null entity, start or end, or end <= start, are no events. Copies of
     an event (alike in ``entity``, ``key``, ordinal, times and text) count once. Events that tie in start
@@ -68,8 +88,8 @@ def collapse_runs(
         )
         .where("e is not null and s is not null and t > s")
         .distinct()
-        .select("e", chunk_of(F.col("s"), chunk).alias("c"), "s", "o", "t", "x")
     )
+    rows = _chunked(checkpointed(rows), chunk)
     event = F.struct("s", "o", "t", "x")
     before = carry_max(rows.groupBy("e", "c").agg(F.max(event).alias("v")), ["e"], "c", "v", "before")
     order = Window.partitionBy("e", "c").orderBy("s", "o", "t", "x")
@@ -101,8 +121,8 @@ def collapse_runs(
         F.min("s").alias("s"),
         F.max("t").alias("t"),
     )
-    # a run is named by its chunk and the row number of its first event there
-    runs = runs.withColumn("name", F.when(F.col("hn").isNotNull(), F.struct("c", "hn"))).drop("v", "d", "hn")
+    # a run is named by its chunk and the row number of its first event there; read to carry names and for the result
+    runs = checkpointed(runs.withColumn("name", F.when(F.col("hn").isNotNull(), F.struct("c", "hn"))).drop("v", "d", "hn"))
     last = carry_max(runs.groupBy("e", "c").agg(F.max("name").alias("w")), ["e"], "c", "w", "last")
     return (
         runs.join(last, ["e", "c"], "left")

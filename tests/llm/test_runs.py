@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from cuespark.llm import runs
 from cuespark.llm.runs import collapse_runs
 
 SCHEMA = "path string, cue_id string, ordinal int, start_ms bigint, end_ms bigint, display_text string, n int, v string, count int"
@@ -48,7 +51,10 @@ def brute(rows):
     return sorted(out)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("crowd,sent", [(runs.CROWD, runs.MOST_SENT), (5, runs.MOST_SENT), (5, 0)])
+def test_against_brute_force(spark, monkeypatch, crowd, sent):
+    monkeypatch.setattr(runs, "CROWD", crowd)
+    monkeypatch.setattr(runs, "MOST_SENT", sent)
     rng = random.Random(3)
     texts = ["Hello there, my friend", "hello there my fiend!", "Hello there, my friend 2", "♪", "…", None, "x", "y", "über die alte Brücke gehen", "ueber die alte Brücke gehen", "Ünter die alte Brücke gehen"]
     rows, at = [], 0
