@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespark.operators.carry import carry_max, chunk_of
+from cuespark.shared import checkpointed
 
 CHUNK_MS = 600_000
 
@@ -45,6 +46,7 @@ def merge_intervals(intervals: DataFrame, entity: str, start: str, end: str, chu
         .groupBy("e", "c", "label")
         .agg(F.max("t").alias("t"), F.max(F.when(F.col("begun").isNotNull(), F.col("p"))).alias("p"))
     )
+    pieces = checkpointed(pieces)  # read to carry labels and for the result
     last = carry_max(pieces.groupBy("e", "c").agg(F.max("label").alias("v")), ["e"], "c", "v", "last")
     return (
         pieces.join(last, ["e", "c"], "left")
