@@ -17,14 +17,41 @@ SMALL = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j",
     "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ү": "y", "ո": "n", "ս": "u", "օ": "o", "հ": "h",
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "κ": "k", "υ": "u", "χ": "x", "γ": "y", "τ": "t", "ϲ": "c", "ϳ": "j",
-    "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ȷ": "j", "ʏ": "y", "ᴄ": "c", "ᴏ": "o", "ѕ": "s", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
+    "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ȷ": "j", "ʏ": "y", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꙅ": "s",
 }
 CAPITAL = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
     "І": "I", "Ѕ": "S", "Ј": "J", "Һ": "H", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ү": "Y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
-    "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "Օ": "O", "Տ": "S", "Ս": "U",
+    "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "Օ": "O", "Տ": "S", "Ս": "U", "Ԍ": "G", "Ꙅ": "S",
 }
+# Letters of further scripts, by their Unicode names, and the Latin letters they look like.
+SMALL_NAMED = {
+    "ARMENIAN SMALL LETTER": "CO=g ZA=q YI=j RA=n",
+    "CHEROKEE LETTER": "V=i NI=h SI=b TSU=d",
+    "COPTIC SMALL LETTER": "ALFA=a EIE=e O=o RO=p SIMA=c KHI=x",
+    "DESERET SMALL LETTER": "LONG_O=o CHEE=c ZHEE=s",
+    "GEORGIAN LETTER": "LABIAL_SIGN=o",
+    "OSAGE SMALL LETTER": "O=o",
+}
+CAPITAL_NAMED = {
+    "CHEROKEE LETTER": "GO=A YV=B TLI=C A=D GV=E NAH=G MI=H GU=J TSO=K TLE=L LU=M TLV=P E=R DU=S I=T DO=V LA=W TA=W MU=Y NO=Z",
+    "COPTIC CAPITAL LETTER": "ALFA=A VIDA=B EIE=E ZATA=Z HATE=H IAUDA=I KAPA=K MI=M NI=N O=O RO=P SIMA=C TAU=T UA=Y KHI=X",
+    "DESERET CAPITAL LETTER": "LONG_O=O CHEE=C ZHEE=S",
+    "LISU LETTER": "BA=B PA=P DA=D TA=T GA=G KA=K JA=J CA=C DZA=Z TSA=F MA=M NA=N LA=L SA=S ZHA=R HA=V XA=H WA=W SHA=X YA=Y A=A E=E I=I O=O U=U",
+    "OLD ITALIC LETTER": "A=A BE=B KE=C E=E VE=F I=I TE=T EKS=X",
+    "OSAGE CAPITAL LETTER": "O=O",
+    "LATIN LETTER SMALL CAPITAL": "B=B G=G H=H I=I L=L N=N R=R A=A D=D E=E J=J K=K M=M P=P T=T U=U",
+}
+
+
+def _named(scripts: dict[str, str]) -> dict[str, str]:
+    pairs = ((script, pair.split("=")) for script, listed in scripts.items() for pair in listed.split())
+    return {unicodedata.lookup(f"{script} {name.replace('_', ' ')}"): look for script, (name, look) in pairs}
+
+
+SMALL |= _named(SMALL_NAMED)
+CAPITAL |= _named(CAPITAL_NAMED)
 MARKS = {"‐": "-", "‑": "-", "ʼ": "’", "＇": "'"}
 # The ranges of code points that are ignored by default.
 IGNORABLE = [
@@ -133,12 +160,14 @@ def _finder(needles: list[tuple[str, int]]) -> Callable[[str], set[int]]:
 MOST_PHRASES = 1_000_000
 
 
-def collect_phrases(phrases: DataFrame, index: str, query: str) -> list[tuple[int, str]]:
-    """The phrase list, for the driver; more than ``MOST_PHRASES`` are refused rather than cut."""
-    rows = phrases.select(F.col(index), F.col(query)).where(F.col(query).isNotNull()).limit(MOST_PHRASES + 1).collect()
-    if len(rows) > MOST_PHRASES:
-        raise ValueError(f"more than {MOST_PHRASES} phrases")
-    return [(r[0], r[1]) for r in rows]
+def phrase_blocks(phrases: DataFrame, index: str, query: str) -> list[list[tuple[int, str]]]:
+    """The phrase list in blocks for the driver: one of up to ``MOST_PHRASES``, or as many as a longer list needs.
+
+    Each block is looked for in a pass of its own; together they find what one list of all would.
+    """
+    listed = phrases.select(F.col(index).alias("i"), F.col(query).alias("q")).where("q is not null")
+    blocks = max(1, -(-listed.count() // MOST_PHRASES))
+    return [[(r[0], r[1]) for r in listed.where(F.pmod(F.xxhash64("i", "q"), F.lit(blocks)) == b).collect()] for b in range(blocks)]
 
 
 def find_lookalikes(table: DataFrame, record_id: str, text: str, phrases: list[tuple[int, str]], whole: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuespark.llm.encodings import find_garbled, repair_garbled
 from cuespark.llm.leaks import LEAST_WORDS, leaked_passages
-from cuespark.llm.lookalike import collect_phrases, find_lookalikes, unify
+from cuespark.llm.lookalike import find_lookalikes, phrase_blocks, skeletons, unify
 from cuespark.llm.mixing import mix, mix_report, mix_sized, report_sized
 from cuespark.llm.quality import collect_common_words, text_statistics
 from cuespark.llm.runs import collapse_runs
@@ -43,13 +43,13 @@ def p3_repaired(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
-    phrases = collect_phrases(load(spark, directory, "phrases"), "query_index", "query")
     parts = [("cues", "row_id", "search_text", False), ("json_cues", "match_id", "matched_phrases", True)]
-    found = [
-        find_lookalikes(load(spark, directory, name), key, text, phrases, whole).select(F.lit(name).alias("table_name"), "record_id", "query_index")
-        for name, key, text, whole in parts
-    ]
-    return found[0].unionAll(found[1])
+    found = None
+    for phrases in phrase_blocks(load(spark, directory, "phrases"), "query_index", "query"):
+        for name, key, text, whole in parts:
+            rows = find_lookalikes(load(spark, directory, name), key, text, phrases, whole).select(F.lit(name).alias("table_name"), "record_id", "query_index")
+            found = rows if found is None else found.unionAll(rows)
+    return found
 
 
 def p5_unified(spark: SparkSession, directory: str) -> DataFrame:
@@ -198,7 +198,35 @@ summed as (select *, sum(units) over (partition by source order by place, source
 mix as (select doc_id, source, tokens, ((upto // 4294967296) - ((upto - units) // 4294967296))::bigint as copies from summed)
 """
 
+# Looks in SQL: every character by its own look (of compatibility decomposition, folding and the fixed tables), then composed.
+_EXPANDED = "ßﬀﬁﬂﬃﬄﬅﬆ…"
+
+
+def _look_sql(column: str, which: int) -> str:
+    places = [*range(0xA0, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFB00), *range(0xFE00, 0x10000), *range(0x10300, 0x10500), *range(0x1D400, 0x1D800), *map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+    looks = {chr(c): skeletons(f"q{chr(c)}é")[which][1:-1] for c in places}
+    same = [(c, x) for c, x in looks.items() if len(x) == 1 and x != c]
+    gone = "".join(c for c, x in looks.items() if not x)
+    out = column
+    for c in _EXPANDED:
+        out = f"replace({out}, '{c}', '{skeletons(c)[which]}')"
+    before, after = ("".join(x).replace("'", "''") for x in zip(*same))
+    return f"trim(regexp_replace(nfc_normalize(translate({out}, '{before}{gone}', '{after}')), '\\s+', ' ', 'g'))"
+
+
+def _looks_sql() -> str:
+    looks = lambda column: f"{_look_sql(column, 0)} as look, {_look_sql(column, 1)} as capitals, lower({column}) as low"
+    return f"""with listed as (select query_index, {looks("query")} from phrases where trim(query) <> ''),
+texts as (select 'cues' as table_name, row_id as record_id, search_text as x from cues where search_text is not null union all
+  select 'json_cues', match_id, unnest(matched_phrases) from json_cues),
+looked as (select table_name, record_id, {looks("x")} from texts where x is not null)
+select distinct table_name, record_id, query_index from looked t join listed p on
+  case when table_name = 'cues' then (contains(t.look, p.look) or contains(t.capitals, p.capitals)) and not contains(t.low, p.low)
+  else (t.look = p.look or t.capitals = p.capitals) and t.low <> p.low end"""
+
+
 ORACLES: dict[str, str] = {
+    "p5_found": _looks_sql(),
     "p8_mix_characters": f"with {_MIX} select * from mix where copies > 0",
     "p8_shares_characters": f"""with {_MIX}, got as (select source, sum(tokens * copies) as mixed_tokens, count(*) as documents, max(copies) as most_copies from mix where copies > 0 group by source)
 select p.source, target_share, size::bigint as size, max_repeats, most < wanted as short, coalesce(mixed_tokens, 0)::bigint as mixed_tokens, coalesce(documents, 0) as documents,

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from cuespark.llm.lookalike import canonical_form, collect_phrases, find_lookalikes, skeletons, unify
+from cuespark.llm.lookalike import canonical_form, find_lookalikes, phrase_blocks, skeletons, unify
 from cuespark.llm.queries import p5_unified
 
 PHRASES = [(0, "captions made by lanternloft"), (1, "coffee café of the final scene"), (2, "перевод проверен кружком"), (3, "más vídeo"), (4, " ")]
@@ -70,6 +70,16 @@ def test_unified_arrays(spark, tmp_path):
     assert found == sorted(want, key=str)
 
 
-def test_phrase_list(spark):
+def test_phrase_list(spark, monkeypatch):
     table = spark.createDataFrame([(1, "a"), (2, None)], "query_index int, query string")
-    assert collect_phrases(table, "query_index", "query") == [(1, "a")]
+    assert phrase_blocks(table, "query_index", "query") == [[(1, "a")]]
+    assert phrase_blocks(table.limit(0), "query_index", "query") == [[]]
+    monkeypatch.setattr("cuespark.llm.lookalike.MOST_PHRASES", 3)
+    long = spark.createDataFrame([(i, f"p{i}") for i in range(10)], "query_index int, query string")
+    blocks = phrase_blocks(long, "query_index", "query")
+    assert len(blocks) == 4 and sorted(x for b in blocks for x in b) == [(i, f"p{i}") for i in range(10)]
+
+
+def test_letters_of_all_listed_scripts_look_latin():
+    for letter, look in [("Ꭺ", "a"), ("ꭺ", "a"), ("ⲟ", "o"), ("Ⲥ", "c"), ("ꓐ", "b"), ("𐐬", "o"), ("𐐄", "o"), ("ჿ", "o"), ("ց", "g"), ("𐌀", "a"), ("ʙ", "b"), ("𐓪", "o")]:
+        assert set(skeletons(letter)) & set(skeletons(look)), letter
