@@ -33,18 +33,22 @@ def texts_agree(a: Column, b: Column, part: int = TENTH) -> Column:
     return F.coalesce((a == b) | (near), F.lit(False))
 
 
-def _chunked(rows: DataFrame, chunk: int) -> DataFrame:
-    """``rows`` with the chunk ``c`` of each: of ``chunk`` units, or narrower for entities that crowd one."""
-    wide = chunk_of(F.col("s"), chunk)
-    crowds = rows.groupBy("e", wide.alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
-    narrow = checkpointed(crowds.groupBy("e").agg(F.greatest(F.lit(1), F.floor(F.lit(chunk) / F.ceil(F.max("n") / CROWD))).cast("bigint").alias("width")))
+def _chunked(rows: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the chunk ``c`` of each, and the last event ``v`` of every chunk.
+
+    Chunks are ``chunk`` units wide, or narrower for entities that crowd one.
+    """
+    event = F.max(F.struct("s", "o", "t", "x")).alias("v")
+    placed = rows.withColumn("c", chunk_of(F.col("s"), chunk))
+    chunks = checkpointed(placed.groupBy("e", "c").agg(F.count(F.lit(1)).alias("n"), event))  # a row per chunk
+    narrow = chunks.groupBy("e").agg(F.max("n").alias("n")).where(F.col("n") > CROWD).select("e", F.greatest(F.lit(1), F.floor(F.lit(chunk) / F.ceil(F.col("n") / CROWD))).cast("bigint").alias("width"))
     found = narrow.count()
     if not found:
-        return rows.select("e", wide.alias("c"), "s", "o", "t", "x")
+        return placed, chunks.drop("n")
     width = F.coalesce("width", F.lit(chunk).cast("bigint"))
-    return rows.join(F.broadcast(narrow) if found <= MOST_SENT else narrow, "e", "left").select(
-        "e", F.call_function("div", F.col("s") - F.pmod("s", width), width).alias("c"), "s", "o", "t", "x"
-    )
+    widths = rows.join(F.broadcast(narrow) if found <= MOST_SENT else narrow, "e", "left")
+    placed = widths.withColumn("c", F.call_function("div", F.col("s") - F.pmod("s", width), width)).drop("width")
+    return placed, placed.groupBy("e", "c").agg(event)
 
 
 def collapse_runs(
@@ -73,8 +77,8 @@ def collapse_runs(
     All of this happens within chunks of ``chunk`` units of start. A chunk gets the last event before
     it and the last run begun before it by ``carry_max``. An entity with more than ``CROWD`` events in
     a chunk gets chunks narrower by that factor (one unit at least), so that a window grows neither with an
-    entity nor with a crowd; only events of one and the same start always share one. Events
-    and runs are written once to the shared folder.
+    entity nor with a crowd; only events of one and the same start always share one. Two
+    passes read the events: for the sizes and last events of the chunks, and for the runs.
 
     Defined results: rows with a null entity, start or end, or end <= start, are no events. Copies of
     an event (alike in ``entity``, ``key``, ordinal, times and text) count once. Events that tie in start
@@ -87,11 +91,11 @@ def collapse_runs(
             F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("t"), canonical_text(F.col(text)).alias("x"),
         )
         .where("e is not null and s is not null and t > s")
-        .distinct()
     )
-    rows = _chunked(checkpointed(rows), chunk)
-    event = F.struct("s", "o", "t", "x")
-    before = carry_max(rows.groupBy("e", "c").agg(F.max(event).alias("v")), ["e"], "c", "v", "before")
+    rows, chunks = _chunked(rows, chunk)
+    before = carry_max(chunks, ["e"], "c", "v", "before")
+    # one shuffle by chunk: copies are dropped, and windows run, where it put them
+    rows = rows.repartition("e", "c").distinct().select("e", "c", "s", "o", "t", "x")
     order = Window.partitionBy("e", "c").orderBy("s", "o", "t", "x")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     linked = (
