@@ -2,7 +2,8 @@
 
 The kernel path (``operators.parse``) handles every encoding and tells each failure; this one keeps
 bytes and lines in the JVM and only sends payloads to Python, for their visible text. Both give the
-same cues, and none for a file with any failure.
+same cues, and none for a file with any failure. A file above ``MOST_BYTES``, which a scan reports as too
+large, has none either; so no window, which holds the lines of one file, grows beyond that.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespark.functions import cue_id, is_blank, normalize_display, normalize_search, numeric_token, parse_clock, visible_markup
+from cuespark.kernel.files import MOST_BYTES
 
 _LINE = r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+"
 _TIMING = r"(?s)^[\t\n\f\r ]*([^\t\n\f\r ]+)[\t\n\f\r ]*-->[\t\n\f\r ]*([^\t\n\f\r ]+)(?:[\t\n\f\r ]+.*)?\z"
@@ -20,9 +22,9 @@ def _numbered_lines(files: DataFrame, path: str, content: str) -> DataFrame:
     """``path``, ``n``, ``text`` and the byte offsets ``start`` and ``next`` of every line."""
     marked = F.hex(F.substring(F.col(content), 1, 3)) == "EFBBBF"
     rows = files.select(F.col(path).alias("path"), F.col(content).alias("raw"), F.when(marked, 3).otherwise(0).cast("bigint").alias("mark"))
-    rows = rows.withColumn("body", F.expr("substring(raw, cast(mark as int) + 1)").cast("string")).where(F.is_valid_utf8("body"))
+    rows = rows.withColumn("body", F.expr("substring(raw, cast(mark as int) + 1)").cast("string")).where(F.is_valid_utf8("body") & (F.octet_length("raw") <= MOST_BYTES))
     lines = rows.select("path", "mark", F.posexplode(F.regexp_extract_all("body", F.lit(_LINE), F.lit(0))).alias("n", "line"))
-    order = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # a file is at most 64 MiB
+    order = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     sized = lines.withColumn("size", F.octet_length("line").cast("bigint")).withColumn("next", F.col("mark") + F.sum("size").over(order))
     return sized.select("path", "n", F.regexp_replace("line", r"[\r\n]+\z", "").alias("text"), (F.col("next") - F.col("size")).alias("start"), "next", "mark")
 

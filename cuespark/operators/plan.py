@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuespark.operators.ranking import number_in, running_totals
+
 SCOPES = ("all", "selected", "focused", "editor")
 STATUSES = ("succeeded", "restored", "skipped", "conflicted", "failed", "not-attempted")
 
@@ -12,7 +14,8 @@ STATUSES = ("succeeded", "restored", "skipped", "conflicted", "failed", "not-att
 def plan_files(matches: DataFrame, files: DataFrame, scope: str, revision: int, selected: DataFrame | None = None) -> DataFrame:
     """One row per file: ``path``, ``expected_sha256``, ``expected_identity``, ``cue_ids`` in source order, revision and scope.
 
-    ``selected`` (``path``) keeps those files only; null means all.
+    ``selected`` (``path``) keeps those files only; null means all. A row is as large as its file: the
+    bytes of one file (64 MiB at most) have the cues that its list names.
     """
     if scope not in SCOPES:
         raise ValueError(f"unknown scope {scope!r}")
@@ -95,15 +98,11 @@ def request_size(plan: DataFrame) -> DataFrame:
 
 def cumulative_progress(results: DataFrame) -> DataFrame:
     """``path``, ``completed``, ``deleted_so_far`` of results in the order of ``position``, as progress events add up."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)  # the files of one change
-    return results.select("path", F.count(F.lit(1)).over(order).alias("completed"), F.sum("deleted_cues").over(order).alias("deleted_so_far"))
+    sums = {"completed": F.lit(1).cast("bigint"), "deleted_so_far": F.col("deleted_cues").cast("bigint")}
+    return running_totals(results, [F.col("position")], sums).select("path", "completed", "deleted_so_far")
 
 
 def retained_numbers(cues: DataFrame, deleted: DataFrame) -> DataFrame:
     """``path``, ``cue_id``, ``number`` (1, 2, ... in source order) of the cues that a deletion keeps."""
-    from pyspark.sql import Window
-
     kept = cues.join(deleted.select("path", "cue_id").distinct(), ["path", "cue_id"], "left_anti")
-    return kept.select("path", "cue_id", F.row_number().over(Window.partitionBy("path").orderBy("ordinal")).alias("number"))
+    return number_in(kept.select("path", "cue_id", "ordinal"), "path", ["ordinal", "cue_id"], "number").select("path", "cue_id", "number")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.functions import format_timestamp
+from cuespark.operators.ranking import number_in
 
 HEADERS = {
     "srt": "",
@@ -27,17 +28,23 @@ def _ass(number: Column, start: Column, end: Column, text: Column) -> Column:
 
 
 _BLOCKS = {"srt": _srt, "webvtt": _vtt, "ass": _ass}
+VOLUME = 200_000  # cues of one file: at 300 bytes a cue, what a file may have at most
 
 
-def render_files(cues: DataFrame, form: str, text: str) -> DataFrame:
+def render_files(cues: DataFrame, form: str, text: str, extra: Column | None = None, header: str | None = None) -> DataFrame:
     """``path``, ``body``: a file of each path's cues (``ordinal``, ``start_ms``, ``end_ms``, ``text``) in source order.
 
-    A path is one file, and a file is at most 64 MiB: so is what meets in one place.
+    A file takes ``VOLUME`` cues; a path with more continues in further files, whose names have the
+    volume's number before the extension, so that no path, however many cues it has, meets in one
+    place. ``extra`` is written after each cue, ``header`` in place of the format's own.
     """
-    block = lambda n, c: _BLOCKS[form](n, c["start_ms"], c["end_ms"], c["text"])
-    listed = cues.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "start_ms", "end_ms", F.col(text).alias("text")))).alias("cues"))
-    body = F.concat(F.lit(HEADERS[form]), F.array_join(F.transform("cues", lambda c, i: block(i + 1, c)), ""))
-    return listed.select("path", body.alias("body"))
+    numbered = number_in(cues, "path", ["ordinal", "start_ms", "end_ms", text], "n").withColumn("volume", F.floor((F.col("n") - 1) / VOLUME))
+    block = _BLOCKS[form](F.col("n") - F.col("volume") * VOLUME, F.col("start_ms"), F.col("end_ms"), F.col(text))
+    block = block if extra is None else F.concat(block, extra)
+    listed = numbered.groupBy("path", "volume").agg(F.array_sort(F.collect_list(F.struct("n", block.alias("block")))).alias("blocks"))
+    body = F.concat(F.lit(HEADERS[form] if header is None else header), F.array_join(F.transform("blocks", lambda b: b["block"]), ""))
+    named = F.when(F.col("volume") == 0, F.col("path")).otherwise(F.regexp_replace("path", r"(?s)^(.*?)(\.[^./]*)?\z", F.concat(F.lit("$1."), F.col("volume").cast("string"), F.lit("$2"))))
+    return listed.select(named.alias("path"), body.alias("body"))
 
 
 def encode_file(body: Column, encoding: str) -> Column:

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuespark.kernel.texts import normalize_search
+from cuespark.operators.ranking import global_rank
 
 FEW = 64  # phrases up to which each gets an expression; more go through one automaton
+MOST_SENT = 200_000  # phrases of a table that are sent to all tasks
+GRAM = 8  # characters of a phrase that longer tables are joined by
 
 
 @dataclass(frozen=True)
@@ -50,21 +53,24 @@ def dedupe_phrases(phrases: DataFrame, order: str, query: str) -> DataFrame:
         .withColumn("n", F.row_number().over(first))
         .where("n = 1")
     )
-    # a list of phrases, not data: one window over all of it
-    return kept.select((F.row_number().over(Window.orderBy("o", "query")) - 1).alias("query_index"), "query", "normalized")
+    ranked = global_rank(kept, [F.col("o"), F.col("query")], "rank")
+    return ranked.select((F.col("rank") - 1).cast("int").alias("query_index"), "query", "normalized")
 
 
-def _automaton(normalized: list[str]) -> Column:
+def _automaton(normalized: list[str], indexes: list[int] | None = None) -> Column:
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for i, p in enumerate(normalized):
-        machine.add_word(p, i)
+    by: dict[str, list[int]] = {}
+    for i, p in zip(range(len(normalized)) if indexes is None else indexes, normalized):
+        by.setdefault(p, []).append(i)
+    for p, found in by.items():
+        machine.add_word(p, found)
     machine.make_automaton()
 
     @F.pandas_udf("array<int>")
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({i for _, i in machine.iter(t)}) if t else [] for t in texts], dtype=object)
+        return pd.Series([sorted({i for _, hits in machine.iter(t) for i in hits}) if t else [] for t in texts], dtype=object)
 
     return found("search_text")
 
@@ -93,9 +99,31 @@ def search_any(cues: DataFrame, phrases: list[str]) -> DataFrame:
 def search_table(cues: DataFrame, phrases: DataFrame, key: list[str]) -> DataFrame:
     """``key`` and ``query_indexes`` of the cues that hold any phrase of a table (``query_index``, ``normalized``).
 
-    The phrases are joined by containment; the side of the phrases is broadcast if the engine finds it small.
+    The table is counted first. Few phrases become expressions, up to ``MOST_SENT`` one automaton, which
+    is sent; then every cue is looked at by itself. A larger table is joined by equality: a phrase by its
+    first ``GRAM`` characters (all, if it has fewer), a text by all its stretches of such lengths; what
+    meets is compared in full. Blank and null phrases are in no text. All three give the same rows.
     """
-    pairs = cues.select(*key, "search_text").join(phrases.select("query_index", "normalized"), F.col("search_text").contains(F.col("normalized")))
+    wanted = phrases.select("query_index", "normalized").where("normalized <> ''").distinct()
+    if wanted.count() > MOST_SENT:
+        return _search_by_grams(cues, wanted, key)
+    rows = wanted.orderBy("query_index").collect()
+    if len(rows) > FEW:
+        found = cues.withColumn("query_indexes", _automaton([r.normalized for r in rows], [r.query_index for r in rows]))
+    else:
+        hits = [F.when(F.col("search_text").contains(r.normalized), F.lit(r.query_index)) for r in rows]
+        found = cues.withColumn("query_indexes", F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>"))
+    return found.where(F.size("query_indexes") > 0).select(*key, "query_indexes")
+
+
+def _search_by_grams(cues: DataFrame, phrases: DataFrame, key: list[str]) -> DataFrame:
+    lengths = [r[0] for r in phrases.select(F.least(F.length("normalized"), F.lit(GRAM))).distinct().collect()]  # GRAM numbers at most
+    text = F.col("search_text")
+    # the end before the start: a text shorter than the stretch has none
+    stretches = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = cues.select(*key, "search_text", F.explode(F.array_distinct(F.concat(*[stretches(n) for n in sorted(lengths)]))).alias("gram"))
+    listed = phrases.select(F.substring("normalized", 1, GRAM).alias("gram"), "query_index", "normalized")
+    pairs = grams.join(listed, "gram").where(F.col("search_text").contains(F.col("normalized")))
     return pairs.groupBy(*key).agg(F.array_sort(F.collect_set("query_index")).alias("query_indexes"))
 
 
