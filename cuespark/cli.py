@@ -59,6 +59,7 @@ def build_parser() -> argparse.ArgumentParser:
     parser.add_argument("--version", action="version", version=__version__)
     commands = parser.add_subparsers(dest="command", required=True, parser_class=_Parser)
     commands.add_parser("version", help="print the version")
+    commands.add_parser("help", help="print this text, or that of a command").add_argument("topic", nargs="*", metavar="COMMAND")
     commands.add_parser("scan", parents=[common], help="list files and issues")
     for name, text in (("search", "list cues that hold any phrase"), ("remove", "remove those cues")):
         sub = commands.add_parser(name, parents=[common], help=text)
@@ -99,7 +100,8 @@ class Runner:
         if self.asked.json:
             self.out.write(O.to_json(document))
         elif not self.asked.quiet:
-            self.out.write(lines[0])
+            shown = O.coloured if self.out.isatty() and not os.environ.get("NO_COLOR") else str
+            self.out.write(shown(lines[0]))
             self.err.write(lines[1])
 
     def scan(self) -> int:
@@ -126,7 +128,9 @@ class Runner:
         rows = review.matches.select("path", F.col("cue_id").alias("id"), "start_ms", "end_ms", F.col("display_text").alias("text"), "matched_phrases", "ordinal")
         cues = found.files.count()
         if command == "remove" and not dry_run and not review.matches.isEmpty():
-            summary = session.remove(session.plan(review))
+            plan = session.plan(review)
+            with self.workspace.interruptible():
+                summary = session.remove(plan)
             code = O.mutation_code(summary, bool(issues or summary.error))
             self._mutation("remove", summary, code, issues, list(review.phrases))
             return code
@@ -143,7 +147,8 @@ class Runner:
 
     def undo(self) -> int:
         try:
-            summary = self.workspace.undo(allowed=self.target.allowed)
+            with self.workspace.interruptible():
+                summary = self.workspace.undo(allowed=self.target.allowed)
         except WorkspaceError as e:
             if e.code != "no-undo":
                 raise
@@ -171,7 +176,8 @@ class Runner:
             self.workspace.discard_recovery(self.asked.id, self.target.allowed)
             self.show(O.envelope("recovery discard", self.target, O.OK, summary={"succeeded": 1}), (f"DISCARDED id={O.sanitize(self.asked.id)}\n", ""))
             return O.OK
-        summary = self.workspace.restore_recovery(self.asked.id, self.target.allowed)
+        with self.workspace.interruptible():
+            summary = self.workspace.restore_recovery(self.asked.id, self.target.allowed)
         code = O.mutation_code(summary, bool(summary.error))
         self._mutation("recovery restore", summary, code)
         return code
@@ -181,6 +187,8 @@ def run(args: list[str], spark: Callable[[], SparkSession], out: TextIO = sys.st
     """Runs one command line and gives its exit code. ``spark`` is only asked for a session if one is needed."""
     try:
         asked = build_parser().parse_args(args)
+        if asked.command == "help":
+            build_parser().parse_args([*asked.topic, "--help"])
         if asked.command == "version":
             out.write(f"{__version__}\n")
             return O.OK
@@ -196,6 +204,11 @@ def run(args: list[str], spark: Callable[[], SparkSession], out: TextIO = sys.st
     try:
         return getattr(runner, asked.command)()
     except KeyboardInterrupt:
+        # nothing is under way here: changes end by themselves after an interrupt
+        if asked.json:
+            out.write(O.to_json(O.envelope(command, runner.target, O.INTERRUPTED, error="interrupted")))
+        elif not asked.quiet:
+            err.write("cuespark: interrupted\n")
         return O.INTERRUPTED
     except (WorkspaceError, OSError) as e:
         if asked.json:

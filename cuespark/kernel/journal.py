@@ -9,12 +9,15 @@ from __future__ import annotations
 import dataclasses
 import json
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from cuespark.kernel.files import safe_relative
 
 VERSION = 1
 MOST_MANIFEST, MOST_POINTERS = 4 << 20, 1 << 20
+MOST_LINE = 4 << 20  # bytes of one line of entries
+LINE_IDS = 10_000  # cue ids of one line: the ids of a file with more continue on the next
 # The states of a transaction and of its files.
 STATUSES = ("active", "complete", "apply-partial", "undoing", "undo-partial", "recovery-partial")
 FILE_STATES = ("planned", "backed-up", "prepared", "committed", "restored", "conflict", "failed")
@@ -57,6 +60,7 @@ class Manifest:
     session: str = ""
     updated_at: str = ""
     files: list[Entry] = field(default_factory=list)
+    entries: int = 0  # files that are listed in a file of lines beside the manifest
     version: int = VERSION
 
     def has(self, *states: str) -> bool:
@@ -99,9 +103,60 @@ class Pointers:
 
 
 def dump(record: Manifest | Pointers) -> bytes:
+    """A record as it is saved; the files of a manifest are saved apart, by ``entry_lines`` and ``state_line``."""
+    if isinstance(record, Manifest):
+        record = dataclasses.replace(record, files=[], entries=len(record.files))
     return (json.dumps(dataclasses.asdict(record), indent=2, ensure_ascii=False) + "\n").encode()
 
 
+def _line(record: dict) -> bytes:
+    return (json.dumps(record, ensure_ascii=False, separators=(",", ":")) + "\n").encode("utf-8", "surrogatepass")
+
+
+def entry_lines(files: list[Entry]) -> bytes:
+    """The files of a transaction as they are planned: lines of bounded size, however many files and cues there are."""
+    out = []
+    for n, e in enumerate(files):
+        for at in range(0, max(1, len(e.cue_ids)), LINE_IDS):
+            out.append(_line({"n": n, "at": at, "path": e.path, "original_sha256": e.original_sha256, "cue_ids": e.cue_ids[at : at + LINE_IDS]}))
+    return b"".join(out)
+
+
+# what becomes of a file after it was planned
+STATE_FIELDS = ("post_sha256", "mode", "mtime_ns", "uid", "gid", "backup", "state", "error")
+
+
+def state_line(n: int, entry: Entry) -> bytes:
+    """One line of the log of states; the last line of a file holds."""
+    return _line({"n": n} | {name: getattr(entry, name) for name in STATE_FIELDS})
+
+
+def load_entries(lines: Iterable[bytes], states: Iterable[bytes], count: int) -> list[Entry]:
+    """The files from their lines and the log of their states. A last line of the log that was cut short never took effect."""
+    files: list[dict] = []
+    for line in lines:
+        raw = _load(line, MOST_LINE)
+        if not isinstance(raw, dict) or set(raw) != {"n", "at", "path", "original_sha256", "cue_ids"} or not isinstance(raw["cue_ids"], list):
+            raise BadRecord("line of entries has wrong fields")
+        n, at = raw.pop("n"), raw.pop("at")
+        if (n, at) == (len(files), 0):
+            files.append(raw)
+        elif files and (n, at) == (len(files) - 1, len(files[-1]["cue_ids"])) and raw["path"] == files[-1]["path"]:
+            files[-1]["cue_ids"] += raw["cue_ids"]
+        else:
+            raise BadRecord("lines of entries are out of order")
+    if len(files) != count:
+        raise BadRecord("lines of entries are missing")
+    for line in states:
+        if not line.endswith(b"\n"):
+            break
+        raw = _load(line, MOST_LINE)
+        if not isinstance(raw, dict) or set(raw) != {"n", *STATE_FIELDS} or not isinstance(raw["n"], int) or not 0 <= raw["n"] < count:
+            raise BadRecord("line of states has wrong fields")
+        files[raw.pop("n")].update(raw)
+    return [Entry(**_strict(Entry, f)) for f in files]
+
+
 def _strict(kind: type, raw: object) -> dict:
     if not isinstance(raw, dict):
         raise BadRecord("record is no object")
@@ -127,14 +182,17 @@ def _load(data: bytes, most: int) -> object:
         raise BadRecord(f"record is no JSON: {e}") from None
 
 
-def load_manifest(data: bytes, name: str) -> Manifest:
+def load_manifest(data: bytes, name: str, entries: Callable[[int], list[Entry]] | None = None) -> Manifest:
+    """A manifest. ``entries`` reads the files that are listed beside it; a manifest may hold its files itself, too."""
     raw = dict(_strict(Manifest, _load(data, MOST_MANIFEST)))
     raw["files"] = [Entry(**_strict(Entry, f)) for f in raw.get("files", [])]
-    made = Manifest(**raw)
+    if raw.get("entries") and entries:
+        raw["files"] += entries(raw["entries"])
+    made = Manifest(**raw | {"entries": 0})
     if made.version != VERSION or made.id != name or not valid_id(name) or made.status not in STATUSES:
         raise BadRecord("manifest doesn't fit its place")
     for f in made.files:
-        if f.state not in FILE_STATES or not safe_relative(f.path) or (f.backup and not re.fullmatch(r"[0-9]{6}\.bin", f.backup)):
+        if f.state not in FILE_STATES or not safe_relative(f.path) or (f.backup and not re.fullmatch(r"[0-9]{6,}\.bin", f.backup)):
             raise BadRecord("manifest has an unsafe file entry")
     return made
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespark.functions import normalize_search
-from cuespark.shared import checkpointed
+from cuespark.shared import snapshot
 from cuespark.sources import register
 
 
@@ -33,13 +37,49 @@ class Discovery:
         return self.scanned.where("issue is null").select("path", "format", F.explode("cues").alias("c")).select("path", "format", "c.*")
 
 
-def discover(spark: SparkSession, root: str, revision: int = 1, file: str | None = None, content: bool = False) -> Discovery:
-    """Scans a tree, or one file of it. The result is written once, so later changes of the files don't show in it."""
+def discover(spark: SparkSession, root: str, revision: int = 1, file: str | None = None, content: bool = False, progress: Callable[[int, int], None] | None = None) -> Discovery:
+    """Scans a tree, or one file of it. The result is written once, so later changes of the files don't show in it.
+
+    ``progress`` is told now and then, and at the end, how many of how many parts of the tree are done.
+    """
     register(spark)
     reader = spark.read.format("subtitles").option("root", root).option("content", str(content).lower())
     if file is not None:
         reader = reader.option("file", file)
-    return Discovery(root, revision, checkpointed(reader.load()))
+    with _told(spark, progress):
+        return Discovery(root, revision, snapshot(reader.load()))
+
+
+@contextlib.contextmanager
+def _told(spark: SparkSession, progress: Callable[[int, int], None] | None, every: float = 0.2) -> Iterator[None]:
+    if progress is None:
+        yield
+        return
+    context, group, over = spark.sparkContext, f"scan-{uuid.uuid4().hex}", threading.Event()
+    tracker = context.statusTracker()
+
+    def count() -> tuple[int, int]:
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        return sum(s.numCompletedTasks for s in stages if s), sum(s.numTasks for s in stages if s)
+
+    def watch() -> None:
+        said = None
+        while not over.wait(every):
+            if (now := count()) != said and now[1]:
+                progress(*now)
+                said = now
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.setJobGroup(group, "scan of a tree")
+    watcher.start()
+    try:
+        yield
+    finally:
+        over.set()
+        watcher.join()
+        context.setLocalProperty("spark.jobGroup.id", None)
+    total = count()[1]
+    progress(total, total)
 
 
 def by_folded_path(frame: DataFrame) -> DataFrame:

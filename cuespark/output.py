@@ -45,6 +45,15 @@ def shell_quote(text: str) -> str:
     return "'" + text.replace("'", "'\\''") + "'"
 
 
+_LEADING = re.compile(r"^[A-Z][A-Z-]*(?= )", re.MULTILINE)
+_RED = ("ISSUE", "FAILED", "CONFLICTED", "SKIPPED", "ERROR", "NOT-ATTEMPTED")
+
+
+def coloured(lines: str) -> str:
+    """Lines for a terminal: the word that each begins with in colour, faults in red."""
+    return _LEADING.sub(lambda m: f"\x1b[{31 if m.group() in _RED else 32}m{m.group()}\x1b[0m", lines)
+
+
 def to_json(document: dict) -> str:
     """One line of JSON without raw controls or direction marks; keys in the order they were put."""
     text = json.dumps(document, ensure_ascii=False, separators=(",", ":"))

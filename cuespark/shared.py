@@ -36,6 +36,18 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def snapshot(frame: DataFrame) -> DataFrame:
+    """``frame`` written once to the shared folder as Parquet, so that its readers take only the columns they need."""
+    spark = frame.sparkSession
+    folder = _setting(spark)
+    if not folder:
+        _need_cluster_setting(spark)
+        folder = tempfile.mkdtemp(prefix="snapshots-")
+    at = f"{folder.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    frame.write.parquet(at)
+    return spark.read.schema(frame.schema).parquet(at)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder, as a local path, that all executors share; ``spark.checkpoint.dir`` must be on a mounted file system."""
     folder = _setting(spark)

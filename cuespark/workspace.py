@@ -1,7 +1,8 @@
 """Changes of files as transactions: apply, undo, recovery. Runs on the driver, one writer at a time.
 
-The journal lives below the root in ``.cuespark-recovery``: a manifest and the backups per
-transaction, and the pointers to the undo point and the pending transaction. What is on disk always
+The journal lives below the root in ``.cuespark-recovery``: per transaction a manifest, the list of its
+files, a log of their states and the backups; and the pointers to the undo point and the pending
+transaction. What is on disk always
 allows to go back: a backup is flushed before its file is replaced, and a pointer moves before
 anything is deleted.
 """
@@ -13,9 +14,12 @@ import fcntl
 import os
 import secrets
 import shutil
+import signal
+import threading
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame
 
@@ -168,21 +172,57 @@ class Workspace:
                 raise J.BadRecord("record is open to others")
             return f.read(most + 1)
 
+    def _lines(self, *parts: str) -> Iterator[bytes]:
+        file = os.open(self._at(*parts), os.O_RDONLY | os.O_NOFOLLOW)
+        with os.fdopen(file, "rb") as f:
+            if os.fstat(f.fileno()).st_mode & 0o077:
+                raise J.BadRecord("record is open to others")
+            while line := f.readline(J.MOST_LINE + 1):
+                yield line
+
     def _manifests(self) -> tuple[dict[str, J.Manifest | None], dict[str, str]]:
         found: dict[str, J.Manifest | None] = {}
         errors: dict[str, str] = {}
         for name in sorted(os.listdir(self._at())):
             if J.valid_id(name):
                 try:
-                    found[name] = J.load_manifest(self._read_record(name, "manifest.json", most=J.MOST_MANIFEST), name)
+                    entries = lambda count, name=name: J.load_entries(self._lines(name, "files.jsonl"), self._lines(name, "states.jsonl"), count)
+                    found[name] = J.load_manifest(self._read_record(name, "manifest.json", most=J.MOST_MANIFEST), name, entries)
                 except (OSError, J.BadRecord, TypeError) as e:
                     found[name], errors[name] = None, str(e)
         return found, errors
 
     def _save(self, manifest: J.Manifest) -> None:
+        """The manifest without its files: a small record, whatever the number of files."""
         manifest.updated_at = _now()
         K.write_durably(self._at(manifest.id), "manifest.json", J.dump(manifest))
 
+    def _list(self, manifest: J.Manifest) -> None:
+        """Writes the files of a manifest beside it, unless they are there."""
+        if not os.path.exists(self._at(manifest.id, "files.jsonl")):
+            states = b"".join(J.state_line(n, e) for n, e in enumerate(manifest.files) if e.state != "planned")
+            K.write_durably(self._at(manifest.id), "states.jsonl", states)
+            K.write_durably(self._at(manifest.id), "files.jsonl", J.entry_lines(manifest.files))
+
+    def _save_entry(self, manifest: J.Manifest, n: int) -> None:
+        """One line more in the log of states, flushed; what is saved for a file doesn't depend on the others."""
+        file = os.open(self._at(manifest.id, "states.jsonl"), os.O_RDWR | os.O_CREAT | os.O_NOFOLLOW, 0o600)
+        with os.fdopen(file, "r+b") as f:
+            end = f.seek(0, os.SEEK_END)
+            if end and (f.seek(end - 1), f.read(1))[1] != b"\n":  # a line cut short by a crash is overwritten
+                end = self._last_line(f, end)
+            f.seek(end)
+            f.write(J.state_line(n, manifest.files[n]))
+            f.truncate()
+            f.flush()
+            os.fsync(f.fileno())
+
+    @staticmethod
+    def _last_line(f: BinaryIO, end: int) -> int:
+        begin = max(0, end - J.MOST_LINE)
+        f.seek(begin)
+        return begin + f.read(end - begin).rfind(b"\n") + 1
+
     def _pointers(self) -> J.Pointers | None:
         try:
             return J.load_pointers(self._read_record("state.json", most=J.MOST_POINTERS))
@@ -256,6 +296,27 @@ class Workspace:
     def close(self) -> None:
         self.closed = True
 
+    @contextlib.contextmanager
+    def interruptible(self) -> Iterator[None]:
+        """While it lasts, a first interrupt lets the file under way be finished and what has begun be concluded; a second one is as usual."""
+        if threading.current_thread() is not threading.main_thread():
+            yield
+            return
+        before = {s: signal.getsignal(s) for s in (signal.SIGINT, signal.SIGTERM)}
+
+        def stop(number: int, frame: object) -> None:
+            self.cancel = True
+            for s, handler in before.items():
+                signal.signal(s, handler or signal.SIG_DFL)
+
+        try:
+            for s in before:
+                signal.signal(s, stop)
+            yield
+        finally:
+            for s, handler in before.items():
+                signal.signal(s, handler or signal.SIG_DFL)
+
     # changes
 
     def begin(self, plan: Plan) -> Transaction:
@@ -269,6 +330,7 @@ class Workspace:
             manifest = J.Manifest(f"tx-{secrets.token_hex(12)}", _now(), plan.scope, pointers.current, session=self.session)
             manifest.files = [J.Entry(f.path, list(f.cue_ids), f.sha256) for f in plan.files]
             os.makedirs(self._at(manifest.id, "backup"), 0o700)
+            self._list(manifest)
             self._save(manifest)
             K.sync_directory(self._at())
             self._publish(replace(pointers, pending=manifest.id))
@@ -371,6 +433,7 @@ class Workspace:
         if role == "undo" and manifest.status not in J.UNDOABLE:
             raise WorkspaceError("bad-state", f"the undo point has status {manifest.status}")
         manifest.status = "undoing" if role == "undo" else "recovery-partial"
+        self._list(manifest)
         self._save(manifest)
         summary = Summary(manifest.id)
         for n, entry in enumerate(manifest.files, 1):
@@ -378,7 +441,7 @@ class Workspace:
                 summary.cancelled = True
                 summary.results += [FileResult(e.path, "not-attempted") for e in manifest.files[n - 1 :]]
                 break
-            result = self._restore_file(manifest, entry)
+            result = self._restore_file(manifest, n - 1, entry)
             summary.results.append(result)
             if progress:
                 progress(n, len(manifest.files), result)
@@ -390,14 +453,14 @@ class Workspace:
             summary.recovery_retained = True
         return self._annotate(summary, pointers)
 
-    def _restore_file(self, manifest: J.Manifest, entry: J.Entry) -> FileResult:
+    def _restore_file(self, manifest: J.Manifest, n: int, entry: J.Entry) -> FileResult:
         """One file back to its backup, unless neither version of the transaction is there."""
         if not entry.backup or entry.state in ("planned", "backed-up"):
             return FileResult(entry.path, "skipped")
 
         def end(status: str, state: str, error: str = "", warnings: list[str] | None = None) -> FileResult:
             entry.state, entry.error = state, error
-            self._save(manifest)
+            self._save_entry(manifest, n)
             return FileResult(entry.path, status, 0, warnings or [], error)
 
         try:
@@ -453,7 +516,7 @@ class Transaction:
 
         def end(status: str, state: str, error: str = "") -> FileResult:
             entry.state, entry.error = state, error
-            space._save(manifest)
+            space._save_entry(manifest, n)
             return FileResult(asked.path, status, error=error)
 
         try:
@@ -480,8 +543,7 @@ class Transaction:
             K.write_durably(space._at(manifest.id, "backup"), entry.backup, old.data)
         except OSError as e:
             return end("failed", "failed", f"backup can't be written: {e}")
-        # written ahead: with a backup nothing has changed yet, once prepared it may have
-        end("failed", "backed-up")
+        # written ahead: until this is saved nothing has changed, from then on the file may have
         end("failed", "prepared")
         try:
             warnings = K.replace_file(space.path, asked.path, old, new, old.mode, old.mtime_ns, (old.uid, old.gid))

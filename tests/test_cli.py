@@ -2,6 +2,8 @@
 
 import io
 import json
+import os
+import signal
 
 import pytest
 
@@ -192,3 +194,43 @@ def test_stream_of_files(spark, root, tmp_path_factory):
     assert drain() == [("a.srt", 0), ("a.srt", 2)]
     (root / "new.srt").write_bytes(body("watching you"))
     assert drain() == [("a.srt", 0), ("a.srt", 2), ("new.srt", 0)]
+
+
+def test_an_interrupt_ends_a_change_between_files(spark, root, monkeypatch):
+    """The file under way is finished, the rest is not attempted, the document is printed, and nothing is left pending."""
+    (root / "c.srt").write_bytes(body("Thanks for watching", "keep"))
+    from cuespark.workspace import Transaction
+
+    apply_one = Transaction.apply_one
+
+    def interrupted(self):
+        os.kill(os.getpid(), signal.SIGINT)
+        return apply_one(self)
+
+    monkeypatch.setattr(Transaction, "apply_one", interrupted)
+    before = signal.getsignal(signal.SIGINT)
+    out = io.StringIO()
+    code = run(["remove", "-d", str(root), "--json", "thanks for watching"], lambda: spark, out, io.StringIO())
+    document = json.loads(out.getvalue())
+    assert code == O.INTERRUPTED and document["status"] == "interrupted"
+    assert [r["status"] for r in document["results"]] == ["succeeded", "not-attempted"] and document["summary"]["cancelled"]
+    assert signal.getsignal(signal.SIGINT) == before
+    workspace = Workspace(str(root))
+    assert [i.role for i in workspace.recoveries()] == ["undo"] and not workspace.state().blocked
+    monkeypatch.undo()
+    assert run(["undo", "-d", str(root), "-q"], lambda: spark, out, io.StringIO()) == O.PARTIAL  # one file had nothing to restore
+    assert (root / "a.srt").read_bytes() == body("Thanks for watching", "keep", "thanks FOR watching, Bob")
+
+
+def test_help_topics_and_colour(command, root, spark, capsys):
+    assert command("help")[0] == 0 and command("help", "recovery", "restore")[0] == 0
+    assert "usage: cuespark recovery restore" in capsys.readouterr().out
+    assert command("help", "what")[0] == 2
+
+    class Terminal(io.StringIO):
+        def isatty(self):
+            return True
+
+    out = Terminal()
+    run(["search", "-d", str(root), "thanks"], lambda: spark, out, io.StringIO())
+    assert "\x1b[32mMATCH\x1b[0m" in out.getvalue()

@@ -242,7 +242,7 @@ def test_orphans_and_corrupt_manifests_block(root):
     assert [i.role for i in w.recoveries()] == ["orphan"]
     at = root / RECOVERY / name / "manifest.json"
     record = json.loads(at.read_bytes())
-    for bad in (b"{", json.dumps(record | {"extra": 1}).encode(), json.dumps(record | {"id": "tx-other"}).encode(), at.read_bytes() + b"{}", json.dumps(record | {"files": [record["files"][0] | {"path": "../x"}]}).encode()):
+    for bad in (b"{", json.dumps(record | {"extra": 1}).encode(), json.dumps(record | {"id": "tx-other"}).encode(), at.read_bytes() + b"{}", json.dumps(record | {"entries": 0, "files": [{"path": "../x", "cue_ids": [], "original_sha256": ""}]}).encode(), json.dumps(record | {"entries": 9}).encode()):
         at.write_bytes(bad)
         assert [(i.role, i.corrupt) for i in w.recoveries()] == [("corrupt", True)]
         assert len(w.cleanup_session()) == 1
@@ -282,3 +282,62 @@ def test_settling_is_proven_by_records():
     assert J.after_discard(J.Pointers(1, "tx-1", "tx-2"), "tx-2") == J.Pointers(1, "", "", ("tx-1", "tx-2"))
     assert J.after_discard(J.Pointers(1, "tx-1", "tx-2"), "tx-7") == J.Pointers(1, "", "tx-2", ("tx-1", "tx-7"))
     assert J.after_discard(J.Pointers(1, "tx-1", "", ("tx-3",)), "tx-3") == J.Pointers(1, "tx-1")
+
+
+def test_a_large_change_can_be_undone(tmp_path, monkeypatch):
+    """20,000 files and a long list of cues: more than one record may hold."""
+    monkeypatch.setattr(os, "fsync", lambda handle: None)
+    count, text = 20_000, body("one", "two", "three")
+    ids = [c.cue_id for c in parse(text, "srt").cues][:2]
+    files = []
+    for i in range(count):
+        (tmp_path / f"{i}.srt").write_bytes(text)
+        info = os.stat(tmp_path / f"{i}.srt")
+        files.append(FilePlan(f"{i}.srt", K.hashlib.sha256(text).hexdigest(), ("unix", info.st_dev, info.st_ino), tuple(ids)))
+    w = Workspace(str(tmp_path))
+    done = w.apply(Plan(tuple(files)))
+    assert done.count("succeeded") == count and not done.error
+    at = tmp_path / RECOVERY / done.undo_id
+    assert (at / "files.jsonl").stat().st_size + (at / "states.jsonl").stat().st_size > J.MOST_MANIFEST > (at / "manifest.json").stat().st_size
+    again = Workspace(str(tmp_path))
+    assert len(again.undo_info().file_paths) == count
+    assert again.undo().count("restored") == count and (tmp_path / "77.srt").read_bytes() == text and again.recoveries() == []
+
+
+def test_lists_of_cues_continue_on_further_lines():
+    files = [J.Entry("a.srt", [f"srt:{i}" for i in range(25_000)], "0"), J.Entry("b.srt", [], "1")]
+    lines = J.entry_lines(files).splitlines(keepends=True)
+    assert len(lines) == 4 and J.load_entries(lines, [], 2) == files
+    state = J.state_line(1, J.Entry("b.srt", [], "1", backup="000001.bin", state="prepared"))
+    assert J.load_entries(lines, [state, state[:-5]], 2)[1].state == "prepared"
+    for bad in (lines[1:], lines[:-1], [*lines, lines[0]], [b"{}\n"], [b"x"]):
+        with pytest.raises(J.BadRecord):
+            J.load_entries(bad, [], 2)
+    with pytest.raises(J.BadRecord):
+        J.load_entries(lines, [J.state_line(2, files[0])], 2)
+
+
+def test_a_state_cut_short_by_a_crash_is_written_over(root):
+    w, name = crash(root, 1)
+    log = root / RECOVERY / name / "states.jsonl"
+    log.write_bytes(log.read_bytes() + b'{"n":0,"st')
+    assert [r.status for r in w.restore_recovery(name).results] == ["restored", "skipped"]
+    assert w.recoveries() == []
+
+
+def test_a_manifest_that_holds_its_files_is_read_and_restored(root):
+    w, name = crash(root, 1)
+    at = root / RECOVERY / name
+    held = w._manifests()[0][name]
+    record = json.loads((at / "manifest.json").read_bytes()) | {"entries": 0, "files": [vars(f) for f in held.files]}
+    (at / "manifest.json").write_bytes(json.dumps(record).encode())
+    os.unlink(at / "files.jsonl")
+    os.unlink(at / "states.jsonl")
+    assert [i.role for i in w.recoveries()] == ["pending"]
+    assert [r.status for r in w.restore_recovery(name).results] == ["restored", "skipped"]
+
+
+def test_scans_tell_their_progress(spark, root):
+    said = []
+    discover(spark, str(root), progress=lambda done, total: said.append((done, total)))
+    assert said and said[-1][0] == said[-1][1] > 0 and all(a <= b for a, b in said)
