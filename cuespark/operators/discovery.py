@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespark.functions import normalize_search
-from cuespark.shared import snapshot
+from cuespark.shared import checkpointed, snapshot
 from cuespark.sources import register
+from cuespark.sources.subtitles import load_listed
+
+PART_BYTES, PART_FILES = 64 << 20, 10_000  # of the files that one task reads, about
 
 
 @dataclass(frozen=True)
@@ -44,10 +48,15 @@ def discover(spark: SparkSession, root: str, revision: int = 1, file: str | None
     """
     register(spark)
     reader = spark.read.format("subtitles").option("root", root).option("content", str(content).lower())
-    if file is not None:
-        reader = reader.option("file", file)
     with _told(spark, progress):
-        return Discovery(root, revision, snapshot(reader.load()))
+        if file is not None:
+            return Discovery(root, revision, snapshot(reader.option("file", file).load()))
+        parts = max(64, 4 * spark.sparkContext.defaultParallelism)
+        listed = checkpointed(reader.option("listing", "true").option("partitions", str(parts)).load().select("path", "size", "issue", "error"))
+        total = listed.where("issue is null").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+        # parts of alike size, at least one a task slot
+        count = max(-(-total["size"] // PART_BYTES), -(-total["files"] // PART_FILES), min(total["files"], spark.sparkContext.defaultParallelism), 1)
+        return Discovery(root, revision, snapshot(load_listed(listed.repartition(count, "path"), os.path.realpath(root), content)))
 
 
 @contextlib.contextmanager

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -44,19 +46,24 @@ def snapshot(frame: DataFrame) -> DataFrame:
         _need_cluster_setting(spark)
         folder = tempfile.mkdtemp(prefix="snapshots-")
     at = f"{folder.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    if urlparse(at).scheme in ("", "file"):
+        atexit.register(shutil.rmtree, urlparse(at).path, ignore_errors=True)
     frame.write.parquet(at)
     return spark.read.schema(frame.schema).parquet(at)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder, as a local path, that all executors share; ``spark.checkpoint.dir`` must be on a mounted file system."""
+    """A new folder, as a local path, that all executors share and that goes when the driver ends; ``spark.checkpoint.dir`` must be on a mounted file system."""
     folder = _setting(spark)
     if not folder:
         _need_cluster_setting(spark)
-        return tempfile.mkdtemp(prefix=f"{name}-")
+        made = tempfile.mkdtemp(prefix=f"{name}-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        return made
     place = urlparse(folder)
     if place.scheme not in ("", "file"):
         raise ValueError(f"{folder} is no mounted folder")
     made = os.path.join(place.path, f"{name}-{uuid.uuid4().hex}")
     os.makedirs(made)
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     return made

@@ -5,12 +5,14 @@ import json
 import os
 import signal
 
+import pyarrow as pa
 import pytest
 
 from cuespark import output as O
 from cuespark.cli import run
 from cuespark.operators.plan import conflicts, plan_faults, plan_files
 from cuespark.session import Session
+from cuespark.sources.subtitles import SubtitleReader, SubtitleStream, _Settings
 from cuespark.sql import register_functions, register_views
 from cuespark.streaming import match_stream, stream_files
 from cuespark.workspace import Workspace, WorkspaceError
@@ -234,3 +236,38 @@ def test_help_topics_and_colour(command, root, spark, capsys):
     out = Terminal()
     run(["search", "-d", str(root), "thanks"], lambda: spark, out, io.StringIO())
     assert "\x1b[32mMATCH\x1b[0m" in out.getvalue()
+
+
+def test_offsets_of_a_stream_do_not_grow_with_the_tree(root):
+    reader = SubtitleStream(_Settings({"root": str(root)}))
+    sizes, offsets = [], [reader.initialOffset()]
+    for i in range(300):
+        if i in (0, 10, 299):
+            offsets.append(reader.latestOffset())
+            sizes.append(len(json.dumps(offsets[-1])))
+        (root / f"n{i}.srt").write_bytes(body("x"))
+    assert len(set(sizes)) == 1 and reader.latestOffset() == reader.latestOffset()
+    parts = lambda a, b: sorted(f.path for p in reader.partitions(a, b) for f in p.entries)
+    assert parts(offsets[0], offsets[1]) == ["a.srt", "b.vtt"]
+    assert parts(offsets[1], offsets[2]) == sorted(f"n{i}.srt" for i in range(10))
+    reader.commit(offsets[2])
+    assert len(parts(offsets[2], offsets[3])) == 289
+
+
+def test_a_name_that_is_no_text_is_an_issue(root, spark):
+    from cuespark.operators import discovery
+
+    with open(os.fsencode(root) + b"/\xff.srt", "wb") as f:
+        f.write(body("x"))
+    assert [(r.path, r.kind) for r in discovery.discover(spark, str(root)).issues.collect()] == [("�.srt", "unsafe")]
+
+
+def test_the_source_gives_arrow_batches(root, spark):
+    from cuespark.operators import discovery
+
+    settings = _Settings({"root": str(root), "content": "true"})
+    batches = [b for p in settings.plan() for b in SubtitleReader(settings).read(p)]
+    assert all(isinstance(b, pa.RecordBatch) for b in batches) and sum(b.num_rows for b in batches) == 2
+    plain = {r.path: (r.sha256, len(r.cues), bytes(r.content)) for r in spark.read.format("subtitles").option("root", str(root)).option("content", "true").load().collect()}
+    found = discovery.discover(spark, str(root), content=True).scanned
+    assert plain == {r.path: (r.sha256, len(r.cues), bytes(r.content)) for r in found.collect()}
