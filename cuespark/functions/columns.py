@@ -120,6 +120,11 @@ def format_timestamp(ms: Column, separator: str = ".") -> Column:
     return F.when(ms.isNotNull(), shown)
 
 
+def cue_view(start: Column, end: Column, text: Column) -> Column:
+    """A cue as it is shown in lists: its times and its text."""
+    return F.concat(format_timestamp(start), F.lit(" → "), format_timestamp(end), F.lit("  "), text)
+
+
 def parse_clock(value: Column, separators: str, short: bool = False) -> Column:
     """Milliseconds of a clock text, null if it is none or too large; ``short`` allows missing hours."""
     bare = F.regexp_replace(value, f"^{_WHITE_CLASS}+|{_WHITE_CLASS}+\\z", "")

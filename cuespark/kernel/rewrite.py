@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from cuespark.kernel import messages as M
@@ -28,7 +29,7 @@ def delete_cues(content: bytes, document: Document, cue_ids: Iterable[str]) -> b
     gone = set(cue_ids)
     unknown = gone - {c.cue_id for c in document.cues}
     if unknown:
-        raise Malformed(M.UNKNOWN_CUE.format(sorted(unknown)[0]))
+        raise Malformed(M.UNKNOWN_CUE.format(json.dumps(sorted(unknown)[0], ensure_ascii=False)))
     if not gone:
         return content
     kept = [c for c in document.cues if c.cue_id not in gone]

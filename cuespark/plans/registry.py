@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuespark.plans import core_problems, reference_queries, tree_queries
+from cuespark.plans import core_problems, marked_queries, reference_queries, tree_queries
 
-MODULES = [core_problems, reference_queries, tree_queries]
+MODULES = [core_problems, reference_queries, tree_queries, marked_queries]
 FLAGSHIP = "search_any_phrases"
 
 
