@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import itertools
 import os
 import sys
 from collections.abc import Callable
@@ -96,48 +97,48 @@ class Runner:
         self.target = resolve_target(*asked.target)
         self.workspace = Workspace(self.target.root)
 
-    def show(self, document: dict, lines: tuple[str, str]) -> None:
+    def show(self, document: dict, lines: tuple[O.Lines, O.Lines]) -> None:
         if self.asked.json:
-            self.out.write(O.to_json(document))
+            O.write_json(self.out, document)
         elif not self.asked.quiet:
             shown = O.coloured if self.out.isatty() and not os.environ.get("NO_COLOR") else str
-            self.out.write(shown(lines[0]))
-            self.err.write(lines[1])
+            for stream, own in ((self.out, lines[0]), (self.err, lines[1])):
+                for line in own:
+                    stream.write((shown(line) if stream is self.out else line) + "\n")
 
     def scan(self) -> int:
         found = Session(self.spark(), self.workspace).discover(self.target.file)
         files, issues = self._files(found), self._issues(found)
-        code = O.result_code(len(files), len(issues))
-        parts = {"files": files, "issues": issues, "summary": {"files": len(files), "issues": len(issues)}}
-        self.show(O.envelope("scan", self.target, code, **parts), O.scan_lines(files, issues))
+        summary = {"files": found.files.count(), "issues": found.issues.count()}
+        code = O.result_code(summary["files"], summary["issues"])
+        self.show(O.envelope("scan", self.target, code, files=files, issues=issues, summary=summary), O.scan_lines(files, issues, summary))
         return code
 
-    def _files(self, found) -> list[dict]:
+    def _files(self, found) -> O.Rows:
         rows = by_folded_path(found.files.select("path", "format", "encoding", F.col("cue_count").alias("cues"), "size"))
-        return [r.asDict() for r in rows.toLocalIterator()]
+        return O.Rows(lambda: (r.asDict() for r in rows.toLocalIterator()))
 
-    def _issues(self, found) -> list[dict]:
+    def _issues(self, found) -> O.Rows:
         rows = by_folded_path(found.issues.select("path", "kind", "error"))
-        return [{k: v for k, v in r.asDict().items() if v is not None} for r in rows.toLocalIterator()]
+        return O.Rows(lambda: ({k: v for k, v in r.asDict().items() if v is not None} for r in rows.toLocalIterator()))
 
     def search(self, command: str = "search", dry_run: bool = False) -> int:
         session = Session(self.spark(), self.workspace)
         found = session.discover(self.target.file)
         review = session.search(self.asked.phrases)
-        issues = self._issues(found)
-        rows = review.matches.select("path", F.col("cue_id").alias("id"), "start_ms", "end_ms", F.col("display_text").alias("text"), "matched_phrases", "ordinal")
-        cues = found.files.count()
+        issues, skipped = self._issues(found), found.issues.count()
         if command == "remove" and not dry_run and not review.matches.isEmpty():
             plan = session.plan(review)
             with self.workspace.interruptible():
                 summary = session.remove(plan)
-            code = O.mutation_code(summary, bool(issues or summary.error))
+            code = O.mutation_code(summary, bool(skipped or summary.error))
             self._mutation("remove", summary, code, issues, list(review.phrases))
             return code
-        matches = [{k: v for k, v in r.asDict().items() if k != "ordinal"} for r in rows.orderBy("path", "ordinal").toLocalIterator()]
-        paths = {m["path"] for m in matches}
-        counts = {"matching_cues": len(matches), "matching_files": len(paths), "scanned_files": cues, "skipped_files": len(issues)}
-        code = O.result_code(len(matches), len(issues))
+        rows = review.matches.select("path", F.col("cue_id").alias("id"), "start_ms", "end_ms", F.col("display_text").alias("text"), "matched_phrases", "ordinal").orderBy("path", "ordinal")
+        matches = O.Rows(lambda: ({k: v for k, v in r.asDict().items() if k != "ordinal"} for r in rows.toLocalIterator()))
+        totals = review.matches.agg(F.count(F.lit(1)).alias("cues"), F.count_distinct("path").alias("files")).first()
+        counts = {"matching_cues": totals.cues, "matching_files": totals.files, "scanned_files": found.files.count(), "skipped_files": skipped}
+        code = O.result_code(totals.cues, skipped)
         parts = {"dry_run": dry_run, "queries": list(review.phrases), "summary": counts, "matches": matches, "issues": issues}
         self.show(O.envelope(command, self.target, code, **parts), O.search_lines(matches, issues, counts, dry_run))
         return code
@@ -152,18 +153,17 @@ class Runner:
         except WorkspaceError as e:
             if e.code != "no-undo":
                 raise
-            self.show(O.envelope("undo", self.target, O.EMPTY, error=str(e)), ("", f"{e}\n"))
+            self.show(O.envelope("undo", self.target, O.EMPTY, error=str(e)), ((), (str(e),)))
             return O.EMPTY
         code = O.mutation_code(summary, bool(summary.error))
         self._mutation("undo", summary, code)
         return code
 
-    def _mutation(self, action: str, summary: Summary, code: int, issues: list[dict] | None = None, queries: list[str] | None = None) -> None:
+    def _mutation(self, action: str, summary: Summary, code: int, issues: O.Rows | None = None, queries: list[str] | None = None) -> None:
         parts = O.mutation_parts(summary) | {"issues": issues, "queries": queries, "error": summary.error}
         lines = O.mutation_lines(action, summary)
         more = O.follow_up(self.target, summary, action == "remove")
-        said = "".join(x + "\n" for x in O.issue_lines(issues or []))
-        self.show(O.envelope(action, self.target, code, **parts), (lines[0] + more[0], said + lines[1] + more[1]))
+        self.show(O.envelope(action, self.target, code, **parts), ([*lines[0], *more[0]], itertools.chain(O.issue_lines(issues or ()), lines[1], more[1])))
 
     def recovery(self) -> int:
         action = self.asked.action
@@ -174,7 +174,7 @@ class Runner:
             return O.OK
         if action == "discard":
             self.workspace.discard_recovery(self.asked.id, self.target.allowed)
-            self.show(O.envelope("recovery discard", self.target, O.OK, summary={"succeeded": 1}), (f"DISCARDED id={O.sanitize(self.asked.id)}\n", ""))
+            self.show(O.envelope("recovery discard", self.target, O.OK, summary={"succeeded": 1}), ((f"DISCARDED id={O.sanitize(self.asked.id)}",), ()))
             return O.OK
         with self.workspace.interruptible():
             summary = self.workspace.restore_recovery(self.asked.id, self.target.allowed)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import TextIO
 
 from cuespark.kernel.formats import format_clock
 from cuespark.kernel.journal import Recovery
@@ -49,17 +52,42 @@ _LEADING = re.compile(r"^[A-Z][A-Z-]*(?= )", re.MULTILINE)
 _RED = ("ISSUE", "FAILED", "CONFLICTED", "SKIPPED", "ERROR", "NOT-ATTEMPTED")
 
 
-def coloured(lines: str) -> str:
-    """Lines for a terminal: the word that each begins with in colour, faults in red."""
-    return _LEADING.sub(lambda m: f"\x1b[{31 if m.group() in _RED else 32}m{m.group()}\x1b[0m", lines)
+def coloured(line: str) -> str:
+    """A line for a terminal: the word that it begins with in colour, faults in red."""
+    return _LEADING.sub(lambda m: f"\x1b[{31 if m.group() in _RED else 32}m{m.group()}\x1b[0m", line)
 
 
-def to_json(document: dict) -> str:
+def to_json(document: object) -> str:
     """One line of JSON without raw controls or direction marks; keys in the order they were put."""
     text = json.dumps(document, ensure_ascii=False, separators=(",", ":"))
     return _IN_JSON.sub(lambda m: f"\\u{ord(m.group()):04x}", text) + "\n"
 
 
+class Rows:
+    """Records that are written one by one: what makes them is asked anew for every pass."""
+
+    def __init__(self, make: Callable[[], Iterable[dict]]):
+        self.make = make
+
+    def __iter__(self) -> Iterator[dict]:
+        return iter(self.make())
+
+
+def write_json(out: TextIO, document: dict) -> None:
+    """``to_json`` of a document, piece by piece where it holds ``Rows``."""
+    parts = [(k, v) for k, v in document.items()]
+    for i, (key, value) in enumerate(parts):
+        out.write(("{" if i == 0 else ",") + to_json(key)[:-1] + ":")
+        if not isinstance(value, Rows):
+            out.write(to_json(value)[:-1])
+            continue
+        out.write("[")
+        for n, row in enumerate(value):
+            out.write("," * (n > 0) + to_json(row)[:-1])
+        out.write("]")
+    out.write("}\n")
+
+
 def envelope(command: str, target: Target, code: int = OK, **parts: object) -> dict:
     """The common frame of all documents; parts that are null don't apply and are left out."""
     head = {
@@ -116,32 +144,35 @@ def recovery_parts(items: list[Recovery]) -> list[dict]:
     ]
 
 
-# lines for people: (text for standard output, text for standard error)
+# lines for people: (lines for standard output, lines for standard error)
+
+
+Lines = Iterable[str]
 
 
-def _pair(out: list[str], err: list[str]) -> tuple[str, str]:
-    return "".join(x + "\n" for x in out), "".join(x + "\n" for x in err)
+def _pair(out: list[str], err: list[str]) -> tuple[Lines, Lines]:
+    return out, err
 
 
-def issue_lines(issues: list) -> list[str]:
-    return [f"ISSUE {sanitize(i['path'])}  {sanitize(i['kind'] + (': ' + i['error'] if i.get('error') else ''))}" for i in issues]
+def issue_lines(issues: Iterable[dict]) -> Lines:
+    return (f"ISSUE {sanitize(i['path'])}  {sanitize(i['kind'] + (': ' + i['error'] if i.get('error') else ''))}" for i in issues)
 
 
-def scan_lines(files: list[dict], issues: list[dict]) -> tuple[str, str]:
-    shown = [f"FILE {sanitize(f['path'])}  format={f['format']} encoding={f['encoding']} cues={f['cues']} size={f['size']}" for f in files]
-    return _pair([*shown, f"SUMMARY files={len(files)} issues={len(issues)}"], issue_lines(issues))
+def scan_lines(files: Iterable[dict], issues: Iterable[dict], summary: dict) -> tuple[Lines, Lines]:
+    shown = (f"FILE {sanitize(f['path'])}  format={f['format']} encoding={f['encoding']} cues={f['cues']} size={f['size']}" for f in files)
+    return itertools.chain(shown, [f"SUMMARY files={summary['files']} issues={summary['issues']}"]), issue_lines(issues)
 
 
-def search_lines(matches: list[dict], issues: list[dict], summary: dict, dry_run: bool) -> tuple[str, str]:
-    shown = [
+def search_lines(matches: Iterable[dict], issues: Iterable[dict], summary: dict, dry_run: bool) -> tuple[Lines, Lines]:
+    shown = (
         f"MATCH {sanitize(m['path'])}  {format_clock(m['start_ms'])} --> {format_clock(m['end_ms'])}  {sanitize(m['text'])}  phrases={','.join(map(sanitize, m['matched_phrases']))}"
         for m in matches
-    ]
+    )
     last = f"{'DRY-RUN' if dry_run else 'SUMMARY'} cues={summary['matching_cues']} files={summary['matching_files']} scanned={summary['scanned_files']} issues={summary['skipped_files']}"
-    return _pair([*shown, last], issue_lines(issues))
+    return itertools.chain(shown, [last]), issue_lines(issues)
 
 
-def mutation_lines(action: str, summary: Summary) -> tuple[str, str]:
+def mutation_lines(action: str, summary: Summary) -> tuple[Lines, Lines]:
     out, err = [], []
     for r in summary.results:
         line = f"{r.status.upper()} {sanitize(r.path)}" + (f"  deleted={r.deleted_cues}" if r.deleted_cues else "") + (f"  error={sanitize(r.error)}" if r.error else "")
@@ -160,7 +191,7 @@ def mutation_lines(action: str, summary: Summary) -> tuple[str, str]:
     return _pair(out, err)
 
 
-def follow_up(target: Target, summary: Summary, removed: bool) -> tuple[str, str]:
+def follow_up(target: Target, summary: Summary, removed: bool) -> tuple[Lines, Lines]:
     """The commands that undo a change or resolve what blocks."""
     at = f"{'--directory' if target.file is None else '--file'} {shell_quote(target.path)}"
     out, err = [], []
@@ -173,7 +204,7 @@ def follow_up(target: Target, summary: Summary, removed: bool) -> tuple[str, str
     return _pair(out, err)
 
 
-def recovery_lines(items: list[Recovery]) -> tuple[str, str]:
+def recovery_lines(items: list[Recovery]) -> tuple[Lines, Lines]:
     out = []
     for i in items:
         out.append(
