@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cuespark.llm.encodings import find_garbled, repair_garbled
 from cuespark.llm.leaks import LEAST_WORDS, leaked_passages
-from cuespark.llm.lookalike import find_lookalikes, phrase_blocks, skeletons, unify
+from cuespark.llm.lookalike import canonical_form, find_lookalikes, phrase_blocks, skeletons, unify
 from cuespark.llm.mixing import mix, mix_report, mix_sized, report_sized
 from cuespark.llm.quality import collect_common_words, text_statistics
 from cuespark.llm.runs import collapse_runs
@@ -198,24 +200,30 @@ summed as (select *, sum(units) over (partition by source order by place, source
 mix as (select doc_id, source, tokens, ((upto // 4294967296) - ((upto - units) // 4294967296))::bigint as copies from summed)
 """
 
-# Looks in SQL: every character by its own look (of compatibility decomposition, folding and the fixed tables), then composed.
-_EXPANDED = "ßﬀﬁﬂﬃﬄﬅﬆ…"
+# Forms in SQL: every character by its own form, then composed. Characters whose form has several are replaced first, one by one.
+_PLACES = [*range(0x09, 0x0E), *range(0x1C, 0x20), *range(0x41, 0x5B), *range(0x85, 0x86), *range(0xA0, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFB50), *range(0xFE00, 0x10000), *range(0x10300, 0x10500), *range(0x1D400, 0x1D800)]
+_FORMS = {"form": canonical_form, "look": lambda x: skeletons(x)[0], "capitals": lambda x: skeletons(x)[1]}
 
 
-def _look_sql(column: str, which: int) -> str:
-    places = [*range(0xA0, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFB00), *range(0xFE00, 0x10000), *range(0x10300, 0x10500), *range(0x1D400, 0x1D800), *map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
-    looks = {chr(c): skeletons(f"q{chr(c)}é")[which][1:-1] for c in places}
-    same = [(c, x) for c, x in looks.items() if len(x) == 1 and x != c]
-    gone = "".join(c for c, x in looks.items() if not x)
-    out = column
-    for c in _EXPANDED:
-        out = f"replace({out}, '{c}', '{skeletons(c)[which]}')"
-    before, after = ("".join(x).replace("'", "''") for x in zip(*same))
-    return f"trim(regexp_replace(nfc_normalize(translate({out}, '{before}{gone}', '{after}')), '\\s+', ' ', 'g'))"
+@functools.cache
+def _form_sql(kind: str) -> tuple[str, str, str]:
+    """(list of expanding characters, each with its form; characters; their forms) as SQL literals."""
+    forms = {chr(c): _FORMS[kind](f"q{chr(c)}é")[1:-1] for c in _PLACES}
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    expanded = ", ".join(quoted(c + x) for c, x in forms.items() if len(x) > 1 and unicodedata.normalize("NFC", c) == c)
+    same = [(c, x) for c, x in forms.items() if len(x) == 1 and x != c]
+    gone = "".join(c for c, x in forms.items() if not x)
+    return f"[{expanded}]", quoted("".join(c for c, _ in same) + gone), quoted("".join(x for _, x in same))
+
+
+def _formed(column: str, kind: str) -> str:
+    expanded, before, after = _form_sql(kind)
+    whole = f"list_reduce(list_prepend({column}, list_filter({expanded}, lambda e: contains({column}, e[1]))), lambda done, e: replace(done, e[1], e[2:]))"
+    return f"trim(regexp_replace(nfc_normalize(translate(case when regexp_full_match({column}, '[\\x00-\\x7F]*') then {column} else {whole} end, {before}, {after})), '\\s+', ' ', 'g'))"
 
 
 def _looks_sql() -> str:
-    looks = lambda column: f"{_look_sql(column, 0)} as look, {_look_sql(column, 1)} as capitals, lower({column}) as low"
+    looks = lambda column: f"{_formed(column, 'look')} as look, {_formed(column, 'capitals')} as capitals, lower({column}) as low"
     return f"""with listed as (select query_index, {looks("query")} from phrases where trim(query) <> ''),
 texts as (select 'cues' as table_name, row_id as record_id, search_text as x from cues where search_text is not null union all
   select 'json_cues', match_id, unnest(matched_phrases) from json_cues),
@@ -225,8 +233,15 @@ select distinct table_name, record_id, query_index from looked t join listed p o
   else (t.look = p.look or t.capitals = p.capitals) and t.low <> p.low end"""
 
 
+def _unified_sql() -> str:
+    return f"""with texts as (select 'cues' as table_name, row_id as record_id, cast(null as int) as position, search_text as x from cues union all
+  select 'json_cues', match_id, cast(unnest(range(0, len(matched_phrases))) as int), unnest(matched_phrases) from json_cues)
+select table_name, record_id, position, {_formed("x", "form")} as unified, {_formed("x", "look")} as unified_look, {_formed("x", "capitals")} as unified_capitals from texts"""
+
+
 ORACLES: dict[str, str] = {
     "p5_found": _looks_sql(),
+    "p5_unified": _unified_sql(),
     "p8_mix_characters": f"with {_MIX} select * from mix where copies > 0",
     "p8_shares_characters": f"""with {_MIX}, got as (select source, sum(tokens * copies) as mixed_tokens, count(*) as documents, max(copies) as most_copies from mix where copies > 0 group by source)
 select p.source, target_share, size::bigint as size, max_repeats, most < wanted as short, coalesce(mixed_tokens, 0)::bigint as mixed_tokens, coalesce(documents, 0) as documents,
