@@ -201,7 +201,7 @@ mix as (select doc_id, source, tokens, ((upto // 4294967296) - ((upto - units) /
 """
 
 # Forms in SQL: every character by its own form, then composed. Characters whose form has several are replaced first, one by one.
-_PLACES = [*range(0x09, 0x0E), *range(0x1C, 0x20), *range(0x41, 0x5B), *range(0x85, 0x86), *range(0xA0, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFB50), *range(0xFE00, 0x10000), *range(0x10300, 0x10500), *range(0x1D400, 0x1D800)]
+_PLACES = [*range(0x09, 0x0E), *range(0x1C, 0x20), *range(0x41, 0x5B), *range(0x85, 0x86), *range(0xA0, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x10300, 0x10500), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F270), *range(0x2F800, 0x2FA20)]
 _FORMS = {"form": canonical_form, "look": lambda x: skeletons(x)[0], "capitals": lambda x: skeletons(x)[1]}
 
 
