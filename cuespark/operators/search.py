@@ -57,6 +57,14 @@ def dedupe_phrases(phrases: DataFrame, order: str, query: str) -> DataFrame:
     return ranked.select((F.col("rank") - 1).cast("int").alias("query_index"), "query", "normalized")
 
 
+def phrase_list(phrases: DataFrame, order: str, query: str) -> list[str]:
+    """The phrases of a table in order, for ``search_any``; more than ``MOST_SENT`` are refused: ``search_table`` takes any number."""
+    rows = phrases.orderBy(order).select(query).limit(MOST_SENT + 1).collect()
+    if len(rows) > MOST_SENT:
+        raise ValueError(f"more than {MOST_SENT} phrases")
+    return [r[0] for r in rows if r[0] is not None]
+
+
 def _automaton(normalized: list[str], indexes: list[int] | None = None) -> Column:
     import ahocorasick
 

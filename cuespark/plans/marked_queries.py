@@ -24,10 +24,11 @@ from cuespark.operators.search import search_any
 from cuespark.plans.malformed import MALFORMED
 from cuespark.plans.reference_queries import _FOLD, _FOUND, _LATEST, _ONCE, _PLAIN, _WHITE, _WHOLE_DISPLAY, _clock, _cues, _deleted, _files, _whole
 from cuespark.plans.tree_queries import _BODY, _FORMED, _MATCHED, _PLAIN_DISPLAY, _WHOLE, PHRASES, _write
-from cuespark.shared import shared_folder
+from cuespark.session import Session
+from cuespark.shared import shared_folder, snapshot
 from cuespark.streaming import windowed_counts
 from cuespark.tables import load
-from cuespark.workspace import FilePlan, Plan, Workspace
+from cuespark.workspace import RECOVERY, FilePlan, Plan, Workspace, WorkspaceError
 
 # How a text is dressed, by the remainder of its ordinal; "@" stands for the text. (raw, visible)
 MARKUP = [
@@ -103,7 +104,7 @@ def cue_spans_utf16(spark: SparkSession, directory: str) -> DataFrame:
 
 def delete_render_utf16(spark: SparkSession, directory: str) -> DataFrame:
     """Every third cue deleted from UTF-16 files, big-endian; the result as text, and its size."""
-    files = _marked_files(spark, directory, "srt", "\n", "utf-16be-bom").withColumn("format", F.lit("srt"))
+    files = snapshot(_marked_files(spark, directory, "srt", "\n", "utf-16be-bom")).withColumn("format", F.lit("srt"))
     cues = cues_of(parse_files(files, form=F.lit("srt")))
     plan = cues.where("ordinal % 3 = 1").groupBy("path").agg(F.array_sort(F.collect_list("cue_id")).alias("cue_ids"))
     made = render_deletion(files, plan)
@@ -301,6 +302,70 @@ def cli_recovery(spark: SparkSession, directory: str) -> DataFrame:
     return spark.createDataFrame(rows, "step string, items bigint, roles string")
 
 
+def _code(call: Callable, *args: object, **named: object) -> str:
+    try:
+        call(*args, **named)
+    except WorkspaceError as e:
+        return e.code
+    return "accepted"
+
+
+def journal_cases(spark: SparkSession, directory: str) -> DataFrame:
+    """What becomes of changes that ended early, and what is refused meanwhile: ``case`` and ``outcome``."""
+    root = _interrupted(spark, directory)
+    roles = lambda: ",".join(i.role for i in Workspace(root).recoveries())
+    rows = [("a change that ended after a file is pending", roles()), ("and blocks", _code(Workspace(root).begin, Plan((_first_plan(root),))))]
+    os.unlink(os.path.join(root, RECOVERY, "state.json"))
+    rows.append(("pointers lost: the newest of each kind are adopted", roles()))
+    undo = Workspace(root).undo_info()
+    rows.append(("a change out of scope is refused", _code(Workspace(root).restore_recovery, Workspace(root).recoveries()[0].id, allowed=["other.srt"])))
+    Workspace(root).discard_recovery(Workspace(root).recoveries()[0].id)
+    rows.append(("discarding it without proof of the order retires the undo point too", roles()))
+    begun = Workspace(root).begin(Plan((_first_plan(root),)))
+    rows.append(("a second writer is refused", _code(Workspace(root).state)))
+    begun.abandon()
+    rows.append(("a change without effect is retired", roles()))
+    rows.append(("nothing to undo", _code(Workspace(root).undo)))
+    rows.append(("files of the adopted undo point", "some" if undo.file_paths else "none"))
+    Workspace(root).apply(Plan((_first_plan(root),)))
+    with open(os.path.join(root, RECOVERY, Workspace(root).undo_info().id, "manifest.json"), "ab") as f:
+        f.write(b"x")
+    rows.append(("an unreadable change is kept", roles()))
+    rows.append(("and told", str(len(Workspace(root).cleanup_session()))))
+    return spark.createDataFrame(rows, "case string, outcome string")
+
+
+def _first_plan(root: str) -> FilePlan:
+    for path in sorted(p for p in (os.path.relpath(os.path.join(at, n), root) for at, _, names in os.walk(root) for n in names) if not p.startswith(".")):
+        got = read_safe(root, path)
+        if cues := parse(got.data, detect_format(path)).cues:
+            return FilePlan(path, got.sha256, got.identity, (cues[0].cue_id,))
+    raise ValueError("no file has a cue")
+
+
+def session_cases(spark: SparkSession, directory: str) -> DataFrame:
+    """Which requests a session accepts: ``case`` and the code of the refusal, or ``accepted``."""
+    session = Session(spark, Workspace(_write(spark, directory, _whole)))
+    rows = [("a search before any scan", _code(session.search, PHRASES))]
+    session.discover()
+    review = session.search(PHRASES)
+    plan = session.plan(review)
+    path = plan.files[0].path
+    asked = spark.createDataFrame([(path, [*plan.files[0].cue_ids, "srt:0:0:0"])], "path string, cue_ids array<string>")
+    rows.append(("a cue that wasn't reviewed", _code(session.check_request, asked, review)))
+    rows.append(("reviewed cues", _code(session.check_request, asked.withColumn("cue_ids", F.array_except("cue_ids", F.array(F.lit("srt:0:0:0")))), review)))
+    session.discover()
+    rows += [("a plan of an earlier scan", _code(session.remove, plan)), ("a review of an earlier scan", _code(session.plan, review))]
+    opened = session.open_editor(path)
+    cue = opened.cues.orderBy("ordinal").first().cue_id
+    rows += [
+        ("a file that isn't there", _code(session.open_editor, "no.srt")), ("no token", _code(session.search_editor, "", "x")), ("another token", _code(session.search_editor, "editor-x", "x")),
+        ("another path", _code(session.remove_in_editor, opened.token, "no.srt", [cue])), ("a cue twice", _code(session.remove_in_editor, opened.token, path, [cue, cue])),
+        ("the open file", _code(session.remove_in_editor, opened.token, path, [cue])), ("the same token again", _code(session.remove_in_editor, opened.token, path, [cue])),
+    ]
+    return spark.createDataFrame(rows, "case string, outcome string")
+
+
 def cli_lines(spark: SparkSession, directory: str) -> DataFrame:
     """The lines that a search prints for people."""
     out = io.StringIO()
@@ -312,7 +377,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         markup_projection, ass_projection, cue_spans_utf16, delete_render_utf16, malformed_kinds, malformed_each, line_kinds, relative_paths, cue_views, plan_fault_list, plan_conflicts, plan_focused,
-        phrases_usable, scan_counts, delete_unknown, windowed_scans, cli_scan, cli_scan_file, scan_one_file, cli_search, cli_dry_run, cli_remove, cli_undo, recovery_frame, cli_recovery, cli_lines,
+        phrases_usable, scan_counts, delete_unknown, windowed_scans, cli_scan, cli_scan_file, scan_one_file, cli_search, cli_dry_run, cli_remove, cli_undo, recovery_frame, cli_recovery, cli_lines, journal_cases, session_cases,
     )
 } | {
     "marked_roundtrip_srt": _marked_again("srt"), "marked_roundtrip_vtt": _marked_again("webvtt"), "marked_roundtrip_ass": _marked_again("ass"),
@@ -402,4 +467,10 @@ union all select 1, 'undo', 'complete', files, files, false, files from counted"
     "cli_recovery": "select * from (values ('list', 2::bigint, 'pending,undo'), ('restore', 2, 'pending,undo'), ('discard', 1, 'undo'), ('end', 0, '')) as t(step, items, roles)",
     "cli_lines": f"""with {_COUNTS} select 'MATCH ' || path || '  ' || {_clock('start_ms')} || ' --> ' || {_clock('end_ms')} || '  ' || {_SANE.format(_WHOLE_DISPLAY)} || '  phrases=' || array_to_string({_SPELLED}, ',') as line from found
 union all select 'SUMMARY cues=' || cues || ' files=' || files || ' scanned=' || scanned || ' issues=0' from counted""",
+    "journal_cases": """select * from (values ('a change that ended after a file is pending', 'pending,undo'), ('and blocks', 'recovery-pending'), ('pointers lost: the newest of each kind are adopted', 'pending,undo'),
+  ('a change out of scope is refused', 'scope'), ('discarding it without proof of the order retires the undo point too', ''), ('a second writer is refused', 'locked'), ('a change without effect is retired', ''),
+  ('nothing to undo', 'no-undo'), ('files of the adopted undo point', 'some'), ('an unreadable change is kept', 'corrupt'), ('and told', '1')) as t("case", outcome)""",
+    "session_cases": """select * from (values ('a search before any scan', 'no-scan'), ('a cue that wasn''t reviewed', 'not-reviewed'), ('reviewed cues', 'accepted'), ('a plan of an earlier scan', 'stale-plan'),
+  ('a review of an earlier scan', 'stale-plan'), ('a file that isn''t there', 'not-indexed'), ('no token', 'no-token'), ('another token', 'stale-token'), ('another path', 'wrong-path'), ('a cue twice', 'bad-cues'),
+  ('the open file', 'accepted'), ('the same token again', 'stale-token')) as t("case", outcome)""",
 }

@@ -15,7 +15,8 @@ from cuespark.operators.plan import cumulative_progress, marked_counts, marks_af
 from cuespark.operators.ranking import global_rank
 from cuespark.operators.render import encode_file, render_files
 from cuespark.operators.rewrite import render_deletion, splice_out
-from cuespark.operators.search import dedupe_phrases, editor_filter, page, preview, search_any, search_one, search_summary, search_table
+from cuespark.operators.search import dedupe_phrases, editor_filter, page, phrase_list, preview, search_any, search_one, search_summary, search_table
+from cuespark.shared import snapshot
 from cuespark.tables import load
 
 PHRASE = "thanks for staying with this feed"
@@ -37,7 +38,7 @@ def _files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, directory: str) -> list[str]:
-    return [r[0] for r in load(spark, directory, "phrases").orderBy("query_index").select("query").collect()]
+    return phrase_list(load(spark, directory, "phrases"), "query_index", "query")
 
 
 def _plain(cues: DataFrame, form: Column | None = None) -> DataFrame:
@@ -286,6 +287,7 @@ def cue_spans(spark: SparkSession, directory: str, prepare: Prepare = _plain) ->
 def _made(spark: SparkSession, directory: str, form: str, prepare: Prepare = _plain) -> tuple[DataFrame, DataFrame]:
     """Files with their bytes, and the plan that deletes every third cue."""
     files = render_files(prepare(_cues(spark, directory), F.lit(form)), form, "plain").select("path", F.lit(form).alias("format"), encode_file(F.col("body"), "utf-8").alias("content"))
+    files = snapshot(files)  # read for the plan and for the deletion
     cues = cues_of(parse_files(files, form=F.lit(form)))
     plan = cues.where("ordinal % 3 = 1").groupBy("path").agg(F.array_sort(F.collect_list("cue_id")).alias("cue_ids"))
     return files, plan
@@ -296,7 +298,7 @@ def delete_render_srt(spark: SparkSession, directory: str, prepare: Prepare = _p
 
 
 def delete_native_vtt(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
-    files = render_files(prepare(_cues(spark, directory), F.lit("webvtt")), "webvtt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
+    files = snapshot(render_files(prepare(_cues(spark, directory), F.lit("webvtt")), "webvtt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content")))
     parsed = parse_files(files, form=F.lit("webvtt")).select("path", F.transform(F.filter("cues", lambda c: c["ordinal"] % 3 == 1), lambda c: c["delete_span"]).alias("spans"))
     return files.join(parsed, "path").select("path", F.sha2(splice_out(F.col("content"), F.col("spans")), 256).alias("sha256"))
 
