@@ -7,16 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.llm.spoken import TIMED, spoken_line, spoken_lines
 from cuespark.shared import checkpointed
 
-CHUNK = 65_536  # characters of a document that are counted at once
-CUT = 32  # pieces that one step of cutting makes of a longer one
+CHUNK = 65_536  # bytes of a document that are counted at once
 FAN_IN = 64  # partial states that one step of the tree merges
-LONGEST = 1 << 31  # characters that a text can have at most
+LONGEST = 1 << 31  # bytes that a text can have at most
 ENDINGS = (".", "!", "?", "…")
 MOST_COMMON_WORDS = 1_000_000
 _SYMBOLS = re.compile(r"[\W_]+")
@@ -52,9 +51,13 @@ class Counter:
 
 
 STATE = ", ".join(f"{c} bigint" for c in COUNTS)
-EDGE = "struct<chunk:int,last:int,head:string,tail:string,broken:boolean>"
+EDGE = "struct<chunk:int,last:int,head:binary,tail:binary,broken:boolean>"
 KEYS = ("doc_id", "format", "lang", "copy")
-_EDGE = pa.struct([("chunk", pa.int32()), ("last", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("broken", pa.bool_())])
+_EDGE = pa.struct([("chunk", pa.int32()), ("last", pa.int32()), ("head", pa.binary()), ("tail", pa.binary()), ("broken", pa.bool_())])
+
+
+def _text(raw: bytes) -> str:
+    return raw.decode("utf-8", "replace")
 
 
 def _count_whole(common: dict[str, set[str]]):
@@ -66,10 +69,10 @@ def _count_whole(common: dict[str, set[str]]):
             whole = batch.column("chunks").to_pylist()
             texts = batch.column("piece")
             counts = [
-                counter.count(spoken_lines(texts[i].as_py(), form), lang) if whole[i] == 1 else [0] * len(COUNTS)
+                counter.count(spoken_lines(_text(texts[i].as_py()), form), lang) if whole[i] == 1 else [0] * len(COUNTS)
                 for i, (form, lang) in enumerate(zip(batch.column("format").to_pylist(), batch.column("lang").to_pylist()))
             ]
-            left = pa.compute.if_else(pa.array([w > 1 for w in whole]), texts, pa.nulls(len(whole), pa.string()))
+            left = pa.compute.if_else(pa.array([w > 1 for w in whole]), texts, pa.nulls(len(whole), pa.binary()))
             kept = [batch.column(c) for c in (*KEYS, "chunks", "chunk")]
             yield pa.RecordBatch.from_arrays([*kept, left, *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(COUNTS)))], [*KEYS, "chunks", "chunk", "piece", *COUNTS])
 
@@ -89,9 +92,9 @@ def _count_pieces(common: dict[str, set[str]]):
             pieces = batch.column("piece")
             for i in np.flatnonzero(pieces.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 form, lang, n = (batch.column(c)[i].as_py() for c in ("format", "lang", "chunk"))
-                head, *rest = pieces[i].as_py().split("\n")
+                head, *rest = pieces[i].as_py().split(b"\n")
                 tail = rest.pop() if rest else None
-                counts[i] = counter.count([x for x in (spoken_line(y, form in TIMED) for y in rest) if x], lang)
+                counts[i] = counter.count([x for x in (spoken_line(_text(y), form in TIMED) for y in rest) if x], lang)
                 edges[i] = {"chunk": n, "last": n, "head": head, "tail": tail, "broken": tail is not None}
             kept = [batch.column(c) for c in (*KEYS, "chunks", "chunk")]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(COUNTS))), pa.array(edges, _EDGE)], [*KEYS, "chunks", "chunk", *COUNTS, "edge"])
@@ -108,11 +111,11 @@ def merge_edges(edges: list[dict]) -> tuple[dict, list[str]]:
         part.append(e["head"])
         if e["broken"]:
             if open_ is not None:
-                whole.append("".join(open_))
+                whole.append(b"".join(open_))
             open_ = [e["tail"]]
     return {
-        "chunk": edges[0]["chunk"], "last": edges[-1]["last"], "head": "".join(head),
-        "tail": None if open_ is None else "".join(open_), "broken": open_ is not None,
+        "chunk": edges[0]["chunk"], "last": edges[-1]["last"], "head": b"".join(head),
+        "tail": None if open_ is None else b"".join(open_), "broken": open_ is not None,
     }, whole
 
 
@@ -131,11 +134,11 @@ def _merge(common: dict[str, set[str]], final: bool):
                     form, lang = batch.column("format")[r].as_py(), batch.column("lang")[r].as_py()
                     edge, lines = merge_edges(edges)
                     timed = form in TIMED
-                    spoken = [spoken_line(x, timed) for x in lines]
+                    spoken = [spoken_line(_text(x), timed) for x in lines]
                     if final:
-                        spoken.append(spoken_line(edge["head"], timed, True))
+                        spoken.append(spoken_line(_text(edge["head"]), timed, True))
                         if edge["broken"]:
-                            spoken.append(spoken_line(edge["tail"], timed))
+                            spoken.append(spoken_line(_text(edge["tail"]), timed))
                         edge = None
                     for i, n in enumerate(counter.count([x for x in spoken if x], lang)):
                         extra[i][r] = n
@@ -160,13 +163,6 @@ def collect_common_words(table: DataFrame) -> dict[str, set[str]]:
     return out
 
 
-def _cut(text: Column, width: int) -> Column:
-    """``text`` in pieces of ``width`` characters."""
-    return F.when(F.length(text) <= width, F.array(text)).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / width).cast("int")), lambda i: F.substring(text, i * width + 1, F.lit(width)))
-    )
-
-
 def text_statistics(documents: DataFrame, doc_id: str, text: str, lang: str, document_format: str, common: dict[str, set[str]], chunk: int = CHUNK) -> DataFrame:
     """Counts and ratios of the spoken lines of each document with a text, and the rules they break.
 
@@ -176,8 +172,8 @@ def text_statistics(documents: DataFrame, doc_id: str, text: str, lang: str, doc
     ``symbol_share``, ``ended_share``, ``common_share`` (null where there is nothing to divide by), and
     ``broken``, the names of the rules that hold: few_tokens, token_length, symbols, endings, common.
 
-    A document is cut into chunks of ``chunk`` characters, in steps that each read it once. Chunks of
-    longer documents are dealt to all tasks, and so counted beside each other; a document of one chunk
+    A document is cut into chunks of ``chunk`` bytes, each copied from its place without reading the rest; a
+    character that a border cuts is put together with its line. Chunks of longer documents are dealt to all tasks, and so counted beside each other; a document of one chunk
     is counted where it is. The state of a chunk is the counts of its whole lines and the parts of
     lines at its ends; states merge associatively, ``FAN_IN`` at a time, in as many steps as the
     longest possible text needs, and the lines that become whole at the borders are counted then. A
@@ -189,16 +185,19 @@ def text_statistics(documents: DataFrame, doc_id: str, text: str, lang: str, doc
     """
     kind = dict(documents.dtypes)[doc_id]
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(document_format).alias("format"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null")
-    long = F.length("text") > chunk
-    rows = rows.select(
-        "doc_id", "format", "lang", F.when(long, F.xxhash64("text")).alias("copy"), F.ceil(F.greatest(F.length("text"), F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"), F.lit(0).alias("chunk"), F.col("text").alias("piece")
-    )
-    for width in (chunk * CUT * CUT, chunk * CUT, chunk):
-        rows = rows.select(*KEYS, "chunks", "chunk", F.posexplode(_cut(F.col("piece"), width)).alias("at", "piece"))
-        rows = rows.withColumn("chunk", F.col("chunk") + F.col("at") * (width // chunk)).drop("at")
+    size = F.octet_length("text")
+    many = F.floor((F.greatest(size, F.lit(1)) - 1) / chunk).cast("int") + 1
+    raw = F.col("text").cast("binary")
+    # the bytes are an argument of the outer function, so that they are made once and not for every piece
+    slices = F.transform(F.array(raw), lambda whole: F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.substring(whole, i * chunk + 1, F.lit(chunk))))
+    pieces = F.when(size <= chunk, F.array(raw)).otherwise(F.get(slices, F.lit(0)))
+    rows = rows.select("doc_id", "format", "lang", F.when(size > chunk, F.xxhash64("text")).alias("copy"), many.alias("chunks"), pieces.alias("pieces"))
+    rows = rows.select(*KEYS, "chunks", F.posexplode("pieces").alias("chunk", "piece"))  # on its own: else the whole text goes along with every piece
     key_types = f"doc_id {kind}, format string, lang string, copy bigint"
-    whole = rows.mapInArrow(_count_whole(common), f"{key_types}, chunks int, chunk int, piece string, {STATE}")
-    states = whole.repartition("doc_id", "copy", "chunk").mapInArrow(_count_pieces(common), f"{key_types}, chunks int, chunk int, {STATE}, edge {EDGE}")
+    whole = rows.mapInArrow(_count_whole(common), f"{key_types}, chunks int, chunk int, piece binary, {STATE}")
+    # a fixed number of parts: pieces compress well but take long to count, so they aren't put together by size
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    states = whole.repartition(parts, "doc_id", "copy", "chunk").mapInArrow(_count_pieces(common), f"{key_types}, chunks int, chunk int, {STATE}, edge {EDGE}")
     states = checkpointed(states)  # small, and read for the short and for the long documents
     short = states.where("chunks = 1").select("doc_id", *COUNTS)
     # equal rows have equal chunks: each is taken once, with the number of rows

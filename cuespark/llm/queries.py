@@ -117,7 +117,7 @@ def _statistics(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p9_chunked(spark: SparkSession, directory: str) -> DataFrame:
-    """The same statistics in chunks of 1,024 characters: nearly every document is counted in parts that are merged."""
+    """The same statistics in chunks of 1,024 bytes: nearly every document is counted in parts that are merged."""
     common = collect_common_words(load(spark, directory, "common_words"))
     return text_statistics(load(spark, directory, "documents"), "doc_id", "text", "lang", "format", common, chunk=1_024).drop("broken")
 

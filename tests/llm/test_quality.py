@@ -56,7 +56,7 @@ def test_repeated_rows_and_ids_are_documents_of_their_own(spark):
 
 
 def test_pieces_of_a_long_document_are_dealt_out(spark):
-    """A document of many chunks is cut in steps, and its pieces are in order and whole."""
+    """A document of many chunks: its pieces are in order and whole, also where a border cuts a character."""
     text = "".join(f"{i} é🎬\n" for i in range(30_000))
     r = statistics(spark, [(1, text, "en", "text")], chunk=64)[1]
     assert (r.tokens, r.lines, r.token_chars) == (60_000, 30_000, sum(len(str(i)) + 2 for i in range(30_000)))
@@ -74,13 +74,13 @@ def test_rules(spark):
 def test_merging_is_associative():
     rng = random.Random(1)
     for _ in range(100):
-        text = "".join(rng.choices("ab\n", k=40))
+        text = "".join(rng.choices("ab\n", k=40)).encode()
         parts = [text[i : i + 5] for i in range(0, 40, 5)]
         edges = []
         for i, p in enumerate(parts):
-            head, *rest = p.split("\n")
+            head, *rest = p.split(b"\n")
             edges.append({"chunk": i, "last": i, "head": head, "tail": rest[-1] if rest else None, "broken": bool(rest)})
-        inner = [x for p in parts for x in p.split("\n")[1:-1]]
+        inner = [x for p in parts for x in p.split(b"\n")[1:-1]]
         cut = rng.randrange(1, 8)
         left, one = merge_edges(edges[:cut])
         right, two = merge_edges(edges[cut:])
@@ -88,7 +88,7 @@ def test_merging_is_associative():
         flat, four = merge_edges(edges)
         assert whole == flat and sorted(one + two + three) == sorted(four)
         ends = [flat["head"], *([flat["tail"]] if flat["broken"] else [])]
-        assert sorted(inner + four + ends) == sorted(text.split("\n"))
+        assert sorted(inner + four + ends) == sorted(text.split(b"\n"))
 
 
 def test_spoken_lines():
