@@ -102,7 +102,7 @@ def cumulative_progress(results: DataFrame) -> DataFrame:
     return running_totals(results, [F.col("position")], sums).select("path", "completed", "deleted_so_far")
 
 
-def retained_numbers(cues: DataFrame, deleted: DataFrame) -> DataFrame:
-    """``path``, ``cue_id``, ``number`` (1, 2, ... in source order) of the cues that a deletion keeps."""
+def retained_numbers(cues: DataFrame, deleted: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """``path``, ``cue_id``, ``number`` (1, 2, ... in source order) of the cues that a deletion keeps; ``bound`` is that of ``number_in``."""
     kept = cues.join(deleted.select("path", "cue_id").distinct(), ["path", "cue_id"], "left_anti")
-    return number_in(kept.select("path", "cue_id", "ordinal"), "path", ["ordinal", "cue_id"], "number").select("path", "cue_id", "number")
+    return number_in(kept.select("path", "cue_id", "ordinal"), "path", ["ordinal", "cue_id"], "number", bound=bound).select("path", "cue_id", "number")

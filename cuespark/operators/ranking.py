@@ -47,14 +47,15 @@ def running_totals(frame: DataFrame, order: list[Column], sums: dict[str, Column
     return placed.join(F.broadcast(offsets), "__part").select(*frame.columns, *[v.alias(k) for k, v in totals.items()])
 
 
-def number_in(frame: DataFrame, key: str, order: list[str], name: str, crowd: int | None = None) -> DataFrame:
+def number_in(frame: DataFrame, key: str, order: list[str], name: str, crowd: int | None = None, bound: DataFrame | None = None) -> DataFrame:
     """``frame`` with the position (1, 2, ...) of each row among those of its ``key``.
 
-    The keys are counted first. Where none has more than ``crowd`` rows (``CROWD``), a window per key
+    The keys are counted first, in ``bound`` if it is given: a frame that has of each key as many rows at
+    least, and is cheaper to count. Where none has more than ``crowd`` rows (``CROWD``), a window per key
     numbers them; else the rows are ranked over ranges that split any key, and a key's positions begin
     after the rank of its first row. Both give the same numbers.
     """
-    crowded = frame.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (CROWD if crowd is None else crowd))
+    crowded = (frame if bound is None else bound).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (CROWD if crowd is None else crowd))
     if crowded.isEmpty():
         return frame.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint"))
     ranked = global_rank(frame, [F.col(key), *[F.col(o) for o in order]], "__rank")

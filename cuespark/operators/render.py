@@ -31,14 +31,15 @@ _BLOCKS = {"srt": _srt, "webvtt": _vtt, "ass": _ass}
 VOLUME = 200_000  # cues of one file: at 300 bytes a cue, what a file may have at most
 
 
-def render_files(cues: DataFrame, form: str, text: str, extra: Column | None = None, header: str | None = None) -> DataFrame:
+def render_files(cues: DataFrame, form: str, text: str, extra: Column | None = None, header: str | None = None, bound: DataFrame | None = None) -> DataFrame:
     """``path``, ``body``: a file of each path's cues (``ordinal``, ``start_ms``, ``end_ms``, ``text``) in source order.
 
     A file takes ``VOLUME`` cues; a path with more continues in further files, whose names have the
     volume's number before the extension, so that no path, however many cues it has, meets in one
-    place. ``extra`` is written after each cue, ``header`` in place of the format's own.
+    place. ``extra`` is written after each cue, ``header`` in place of the format's own. ``bound`` is that of
+    ``number_in``.
     """
-    numbered = number_in(cues, "path", ["ordinal", "start_ms", "end_ms", text], "n").withColumn("volume", F.floor((F.col("n") - 1) / VOLUME))
+    numbered = number_in(cues, "path", ["ordinal", "start_ms", "end_ms", text], "n", bound=bound).withColumn("volume", F.floor((F.col("n") - 1) / VOLUME))
     block = _BLOCKS[form](F.col("n") - F.col("volume") * VOLUME, F.col("start_ms"), F.col("end_ms"), F.col(text))
     block = block if extra is None else F.concat(block, extra)
     listed = numbered.groupBy("path", "volume").agg(F.array_sort(F.collect_list(F.struct("n", block.alias("block")))).alias("blocks"))

@@ -107,15 +107,15 @@ def search_any(cues: DataFrame, phrases: list[str]) -> DataFrame:
 def search_table(cues: DataFrame, phrases: DataFrame, key: list[str]) -> DataFrame:
     """``key`` and ``query_indexes`` of the cues that hold any phrase of a table (``query_index``, ``normalized``).
 
-    The table is counted first. Few phrases become expressions, up to ``MOST_SENT`` one automaton, which
+    The table is measured first. Few phrases become expressions, up to ``MOST_SENT`` one automaton, which
     is sent; then every cue is looked at by itself. A larger table is joined by equality: a phrase by its
     first ``GRAM`` characters (all, if it has fewer), a text by all its stretches of such lengths; what
     meets is compared in full. Blank and null phrases are in no text. All three give the same rows.
     """
     wanted = phrases.select("query_index", "normalized").where("normalized <> ''").distinct()
-    if wanted.count() > MOST_SENT:
+    rows = sorted(wanted.limit(MOST_SENT + 1).collect())
+    if len(rows) > MOST_SENT:
         return _search_by_grams(cues, wanted, key)
-    rows = wanted.orderBy("query_index").collect()
     if len(rows) > FEW:
         found = cues.withColumn("query_indexes", _automaton([r.normalized for r in rows], [r.query_index for r in rows]))
     else:

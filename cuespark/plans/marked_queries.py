@@ -78,7 +78,7 @@ def _marked_files(spark: SparkSession, directory: str, form: str, lines: str, en
     extra = F.when(F.col("n") % 4 == 0, "NOTE between\ncues\n\n").otherwise("") if form == "webvtt" else None
     header = NOTES if form == "webvtt" else None
     body = F.col("body")
-    files = render_files(_marked(spark, directory, form), form, "marked", extra, header)
+    files = render_files(_marked(spark, directory, form), form, "marked", extra, header, load(spark, directory, "cues"))
     if form == "webvtt":
         body = F.regexp_replace(body, r"(?m)^([0-9:.]+ --> [0-9:.]+)$", "intro 1\n$1 align:start position:10%")
     if form == "ass":

@@ -198,7 +198,7 @@ def plan_selected(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def retained_renumbered(spark: SparkSession, directory: str) -> DataFrame:
-    return retained_numbers(_cues(spark, directory), _deleted(spark, directory))
+    return retained_numbers(_cues(spark, directory), _deleted(spark, directory), load(spark, directory, "cues"))
 
 
 def status_summary(spark: SparkSession, directory: str) -> DataFrame:
@@ -259,14 +259,14 @@ Prepare = Callable[[DataFrame, Column], DataFrame]
 
 def _rendered(form: str, prepare: Prepare = _plain):
     def query(spark: SparkSession, directory: str) -> DataFrame:
-        return render_files(prepare(_cues(spark, directory), F.lit(form)), form, "plain").select("path", F.sha2("body", 256).alias("sha256"), F.length("body").cast("bigint").alias("chars"))
+        return render_files(prepare(_cues(spark, directory), F.lit(form)), form, "plain", bound=load(spark, directory, "cues")).select("path", F.sha2("body", 256).alias("sha256"), F.length("body").cast("bigint").alias("chars"))
 
     return query
 
 
 def _read_again(form: str, encoding: str = "utf-8", prepare: Prepare = _plain):
     def query(spark: SparkSession, directory: str) -> DataFrame:
-        files = render_files(prepare(_cues(spark, directory), F.lit(form)), form, "plain").select("path", encode_file(F.col("body"), encoding).alias("content"))
+        files = render_files(prepare(_cues(spark, directory), F.lit(form)), form, "plain", bound=load(spark, directory, "cues")).select("path", encode_file(F.col("body"), encoding).alias("content"))
         parsed = parse_files(files, form=F.lit(form))
         return cues_of(parsed).select("path", "ordinal", "start_ms", "end_ms", "display_text", "search_text")
 
@@ -274,19 +274,19 @@ def _read_again(form: str, encoding: str = "utf-8", prepare: Prepare = _plain):
 
 
 def roundtrip_srt_native(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
-    files = render_files(prepare(_cues(spark, directory), F.lit("srt")), "srt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
+    files = render_files(prepare(_cues(spark, directory), F.lit("srt")), "srt", "plain", bound=load(spark, directory, "cues")).select("path", encode_file(F.col("body"), "utf-8").alias("content"))
     return parse_srt_native(files).select("path", "ordinal", "start_ms", "end_ms", "display_text", "search_text")
 
 
 def cue_spans(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
-    files = render_files(prepare(_cues(spark, directory), F.lit("srt")), "srt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
+    files = render_files(prepare(_cues(spark, directory), F.lit("srt")), "srt", "plain", bound=load(spark, directory, "cues")).select("path", encode_file(F.col("body"), "utf-8").alias("content"))
     cues = cues_of(parse_files(files, form=F.lit("srt")))
     return cues.select("path", "ordinal", "cue_id", F.col("delete_span.start").alias("first"), F.col("delete_span.end").alias("last"), (F.col("index_span.end") - F.col("index_span.start")).alias("digits"))
 
 
 def _made(spark: SparkSession, directory: str, form: str, prepare: Prepare = _plain) -> tuple[DataFrame, DataFrame]:
     """Files with their bytes, and the plan that deletes every third cue."""
-    files = render_files(prepare(_cues(spark, directory), F.lit(form)), form, "plain").select("path", F.lit(form).alias("format"), encode_file(F.col("body"), "utf-8").alias("content"))
+    files = render_files(prepare(_cues(spark, directory), F.lit(form)), form, "plain", bound=load(spark, directory, "cues")).select("path", F.lit(form).alias("format"), encode_file(F.col("body"), "utf-8").alias("content"))
     files = snapshot(files)  # read for the plan and for the deletion
     cues = cues_of(parse_files(files, form=F.lit(form)))
     plan = cues.where("ordinal % 3 = 1").groupBy("path").agg(F.array_sort(F.collect_list("cue_id")).alias("cue_ids"))
@@ -298,7 +298,7 @@ def delete_render_srt(spark: SparkSession, directory: str, prepare: Prepare = _p
 
 
 def delete_native_vtt(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
-    files = snapshot(render_files(prepare(_cues(spark, directory), F.lit("webvtt")), "webvtt", "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content")))
+    files = snapshot(render_files(prepare(_cues(spark, directory), F.lit("webvtt")), "webvtt", "plain", bound=load(spark, directory, "cues")).select("path", encode_file(F.col("body"), "utf-8").alias("content")))
     parsed = parse_files(files, form=F.lit("webvtt")).select("path", F.transform(F.filter("cues", lambda c: c["ordinal"] % 3 == 1), lambda c: c["delete_span"]).alias("spans"))
     return files.join(parsed, "path").select("path", F.sha2(splice_out(F.col("content"), F.col("spans")), 256).alias("sha256"))
 
@@ -310,7 +310,7 @@ def delete_nothing(spark: SparkSession, directory: str, prepare: Prepare = _plai
 
 
 def malformed_issues(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> DataFrame:
-    files = render_files(prepare(_cues(spark, directory), F.lit("srt")), "srt", "plain")
+    files = render_files(prepare(_cues(spark, directory), F.lit("srt")), "srt", "plain", bound=load(spark, directory, "cues"))
     # the timing line of the first cue is broken in files whose path has an even length
     broken = F.when(F.length("path") % 2 == 0, F.regexp_replace("body", r"^1\n([^\n]*) --> ", "1\n$1 -> ")).otherwise(F.col("body"))
     parsed = parse_files(files.select("path", encode_file(broken, "utf-8").alias("content")), form=F.lit("srt"))

@@ -19,6 +19,7 @@ from cuespark.session import Session
 from cuespark.shared import shared_folder
 from cuespark.sources.tree import write_tree
 from cuespark.streaming import stream_files
+from cuespark.tables import load
 from cuespark.workspace import Workspace
 
 PHRASES = ["the ", "FEED", "café"]
@@ -31,7 +32,7 @@ def _write(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> st
     root = shared_folder(spark, "tree")
     made = None
     for form in ("srt", "webvtt", "ass"):
-        part = render_files(cues.where(F.col("form") == form), form, "plain").select("path", encode_file(F.col("body"), "utf-8").alias("content"))
+        part = render_files(cues.where(F.col("form") == form), form, "plain", bound=load(spark, directory, "cues")).select("path", encode_file(F.col("body"), "utf-8").alias("content"))
         made = part if made is None else made.unionAll(part)
     write_tree(made, root)
     return root
