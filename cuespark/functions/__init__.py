@@ -11,6 +11,7 @@ from cuespark.functions.columns import (
     is_blank,
     is_digits,
     line_array,
+    line_window,
     normalize_display,
     normalize_search,
     numeric_token,
@@ -25,7 +26,7 @@ from cuespark.functions.columns import (
 )
 
 __all__ = [
-    "byte_order_mark", "content_digest", "cue_id", "cue_view", "detect_format", "escape_json", "format_timestamp", "is_blank", "is_digits", "line_array",
+    "byte_order_mark", "content_digest", "cue_id", "cue_view", "detect_format", "escape_json", "format_timestamp", "is_blank", "is_digits", "line_array", "line_window",
     "normalize_display", "normalize_search", "numeric_token", "parse_clock", "safe_relative", "sanitize", "shell_quote", "visible_ass",
     "visible_markup", "vtt_metadata", "white_collapse",
 ]

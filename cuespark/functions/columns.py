@@ -8,13 +8,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cuespark.functions.unsafe import UNSAFE
 from cuespark.kernel import texts
 from cuespark.kernel.formats import FORMATS, MOST_MS
 from cuespark.kernel.texts import WHITE
 
 _WHITE_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in WHITE) + "]"
-# Controls, line and paragraph separators, and marks that change the direction of text.
-UNSAFE = "[\\x00-\\x1F\\x7F-\\x9F\\u061C\\u200E\\u200F\\u2028-\\u202E\\u2066-\\u206F]"
 
 
 def _each(kernel: Callable[[str], str]) -> Callable[[pd.Series], pd.Series]:
@@ -125,6 +124,18 @@ def cue_view(start: Column, end: Column, text: Column) -> Column:
     return F.concat(format_timestamp(start), F.lit(" → "), format_timestamp(end), F.lit("  "), text)
 
 
+def line_window(text: Column, width: int, offset: int, count: int) -> Column:
+    """``lines``, ``before``, ``after``, ``offset`` of a text in a view of ``count`` lines of ``width`` columns."""
+    from cuespark.kernel.lines import line_window as window
+
+    @F.pandas_udf("lines array<string>, before boolean, after boolean, offset int")
+    def made(values: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None, None) if v is None else tuple(window(v, width, offset, count)) for v in values]
+        return pd.DataFrame(rows, columns=["lines", "before", "after", "offset"], dtype=object)
+
+    return made(text)
+
+
 def parse_clock(value: Column, separators: str, short: bool = False) -> Column:
     """Milliseconds of a clock text, null if it is none or too large; ``short`` allows missing hours."""
     bare = F.regexp_replace(value, f"^{_WHITE_CLASS}+|{_WHITE_CLASS}+\\z", "")

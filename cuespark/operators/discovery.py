@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cuespark.functions import normalize_search
 from cuespark.shared import checkpointed, snapshot
+from cuespark.ship import ship
 from cuespark.sources import register
 from cuespark.sources.subtitles import load_listed
 
@@ -46,7 +47,7 @@ def discover(spark: SparkSession, root: str, revision: int = 1, file: str | None
 
     ``progress`` is told now and then, and at the end, how many of how many parts of the tree are done.
     """
-    register(spark)
+    register(ship(spark))
     reader = spark.read.format("subtitles").option("root", root).option("content", str(content).lower())
     with _told(spark, progress):
         if file is not None:

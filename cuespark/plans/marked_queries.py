@@ -144,6 +144,12 @@ def cue_views(spark: SparkSession, directory: str) -> DataFrame:
     return load(spark, directory, "cues").select("row_id", C.cue_view(F.col("start_ms"), F.col("end_ms"), F.col("display_text")).alias("shown"))
 
 
+def display_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """The first three lines of every document in a view that is wide enough for any."""
+    window = C.line_window(F.col("text"), 1_000_000, 0, 3)
+    return load(spark, directory, "documents").where("text is not null").select("doc_id", window.alias("w")).select("doc_id", F.array_join("w.lines", "|").alias("lines"), "w.after")
+
+
 # plans
 
 
@@ -366,6 +372,27 @@ def session_cases(spark: SparkSession, directory: str) -> DataFrame:
     return spark.createDataFrame(rows, "case string, outcome string")
 
 
+def cli_codes(spark: SparkSession, directory: str) -> DataFrame:
+    """The exit codes of commands: ``case``, ``code`` and how many bytes are printed (none or some) with ``--quiet`` and without."""
+    root = _write(spark, directory, _whole)
+    with open(os.path.join(root, "unreadable.srt"), "wb") as f:
+        f.write(b"no cue")
+    cases = {
+        "a scan with an issue": ["scan", "-d", root], "one file without issue": ["scan", "-f", os.path.join(root, _smallest(root))], "nothing found": ["search", "-f", os.path.join(root, _smallest(root)), "qqq zzz qqq"],
+        "no target": ["scan"], "a blank phrase": ["search", "-d", root, " "], "no directory": ["scan", "-d", os.path.join(root, "no")], "an unknown transaction": ["recovery", "restore", "-d", root, "tx-0"],
+        "nothing to undo": ["undo", "-d", root], "version": ["version"], "recoveries of one file": ["recovery", "list", "-f", os.path.join(root, _smallest(root))],
+    }
+    rows = []
+    for case, args in cases.items():
+        out, err, quiet = io.StringIO(), io.StringIO(), io.StringIO()
+        code = cli.run(args, lambda: spark, out, err)
+        said = "both" if out.getvalue() and err.getvalue() else "output" if out.getvalue() else "error" if err.getvalue() else "nothing"
+        if {"-d", "-f"} & set(args):
+            cli.run([*args, "-q"], lambda: spark, quiet, io.StringIO())
+        rows.append((case, code, said, quiet.getvalue() == ""))
+    return spark.createDataFrame(rows, "case string, code int, said string, quiet boolean")
+
+
 def cli_lines(spark: SparkSession, directory: str) -> DataFrame:
     """The lines that a search prints for people."""
     out = io.StringIO()
@@ -376,8 +403,8 @@ def cli_lines(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        markup_projection, ass_projection, cue_spans_utf16, delete_render_utf16, malformed_kinds, malformed_each, line_kinds, relative_paths, cue_views, plan_fault_list, plan_conflicts, plan_focused,
-        phrases_usable, scan_counts, delete_unknown, windowed_scans, cli_scan, cli_scan_file, scan_one_file, cli_search, cli_dry_run, cli_remove, cli_undo, recovery_frame, cli_recovery, cli_lines, journal_cases, session_cases,
+        markup_projection, ass_projection, cue_spans_utf16, delete_render_utf16, malformed_kinds, malformed_each, line_kinds, relative_paths, cue_views, display_lines, plan_fault_list, plan_conflicts, plan_focused,
+        phrases_usable, scan_counts, delete_unknown, windowed_scans, cli_scan, cli_scan_file, scan_one_file, cli_search, cli_dry_run, cli_remove, cli_undo, recovery_frame, cli_recovery, cli_lines, cli_codes, journal_cases, session_cases,
     )
 } | {
     "marked_roundtrip_srt": _marked_again("srt"), "marked_roundtrip_vtt": _marked_again("webvtt"), "marked_roundtrip_ass": _marked_again("ass"),
@@ -467,9 +494,15 @@ union all select 1, 'undo', 'complete', files, files, false, files from counted"
     "cli_recovery": "select * from (values ('list', 2::bigint, 'pending,undo'), ('restore', 2, 'pending,undo'), ('discard', 1, 'undo'), ('end', 0, '')) as t(step, items, roles)",
     "cli_lines": f"""with {_COUNTS} select 'MATCH ' || path || '  ' || {_clock('start_ms')} || ' --> ' || {_clock('end_ms')} || '  ' || {_SANE.format(_WHOLE_DISPLAY)} || '  phrases=' || array_to_string({_SPELLED}, ',') as line from found
 union all select 'SUMMARY cues=' || cues || ' files=' || files || ' scanned=' || scanned || ' issues=0' from counted""",
+    "display_lines": rf"""with split as (select doc_id, string_split_regex(text, '\r\n|\r|\n') as l from documents where text is not null),
+cut as (select doc_id, case when len(l) > 1 and l[len(l)] = '' then l[1:len(l) - 1] else l end as l from split)
+select doc_id, array_to_string(list_transform(l[1:3], lambda x: {_SANE.format('x')}), '|') as lines, len(l) > 3 as after from cut""",
     "journal_cases": """select * from (values ('a change that ended after a file is pending', 'pending,undo'), ('and blocks', 'recovery-pending'), ('pointers lost: the newest of each kind are adopted', 'pending,undo'),
   ('a change out of scope is refused', 'scope'), ('discarding it without proof of the order retires the undo point too', ''), ('a second writer is refused', 'locked'), ('a change without effect is retired', ''),
   ('nothing to undo', 'no-undo'), ('files of the adopted undo point', 'some'), ('an unreadable change is kept', 'corrupt'), ('and told', '1')) as t("case", outcome)""",
+    "cli_codes": """select * from (values ('a scan with an issue', 4, 'both', true), ('one file without issue', 0, 'output', true), ('nothing found', 1, 'output', true), ('no target', 2, 'error', true),
+  ('a blank phrase', 2, 'error', true), ('no directory', 2, 'error', true), ('an unknown transaction', 3, 'error', true), ('nothing to undo', 1, 'error', true), ('version', 0, 'output', true),
+  ('recoveries of one file', 0, 'output', true)) as t("case", code, said, quiet)""",
     "session_cases": """select * from (values ('a search before any scan', 'no-scan'), ('a cue that wasn''t reviewed', 'not-reviewed'), ('reviewed cues', 'accepted'), ('a plan of an earlier scan', 'stale-plan'),
   ('a review of an earlier scan', 'stale-plan'), ('a file that isn''t there', 'not-indexed'), ('no token', 'no-token'), ('another token', 'stale-token'), ('another path', 'wrong-path'), ('a cue twice', 'bad-cues'),
   ('the open file', 'accepted'), ('the same token again', 'stale-token')) as t("case", outcome)""",
