@@ -277,17 +277,19 @@ class Evidence:
         over = max(0.0, max(total.values(), default=0.0) - TOP)
         return sorted((k, n) for k, n in ((k, int(round(g - over))) for k, g in total.items()) if n >= 1)
 
-    def repair(self, text: str, chain: int) -> tuple[str | None, list[int]]:
+    def repair(self, text: str, chain: int, shares: list[float]) -> tuple[str | None, list[int]]:
         """``text`` with its garbled words undone, and the chains that were; null where there is nothing to undo.
 
         Words that speak for ``chain``, the text's, are undone by it. Another chain undoes a word for which it
-        stands further ahead than ``PRIOR``, twice, speaks against a second chain in one text. Words with lost characters stay.
+        stands further ahead than its share in the source and ``PRIOR`` speak against a second chain in one
+        text. Words with lost characters stay.
         """
+        against = [0.0 if k == chain else math.log(max(p, 1e-300)) + math.log(PRIOR) for k, p in enumerate(shares)]
         out, used = [], [LOST] if "�" in text else []
         for word in text.split(" "):
             best = None
             if not word.isascii() and "�" not in word:
-                said = [(gain + (0 if k == chain else 2 * math.log(PRIOR)), -k, back) for k, gain, back in self.of_word(word)]
+                said = [(gain + against[k], -k, back) for k, gain, back in self.of_word(word)]
                 best = max(said, default=None)
             if best is None or best[0] <= 0:
                 out.append(word)
@@ -370,7 +372,7 @@ def _signatures(frame: pd.DataFrame) -> tuple[list[list[tuple[int, int]]], np.nd
 
 
 def posteriors(evidence: DataFrame, records: DataFrame) -> DataFrame:
-    """``source``, ``field``, ``evidence``, ``chain``, ``posterior`` of each distinct evidence of a source and field.
+    """``source``, ``field``, ``evidence``, ``chain``, ``posterior``, ``shares`` (of the chains) of each distinct evidence of a source and field.
 
     ``evidence`` has ``source``, ``field`` and ``evidence``, ``records`` the number ``n`` of all records of
     each source and field. What is aggregated and estimated are the distinct evidences with their
@@ -400,6 +402,7 @@ def posteriors(evidence: DataFrame, records: DataFrame) -> DataFrame:
                 "evidence": [[{"chain": k, "nats": n} for k, n in s] for s in signatures],
                 "chain": [d[0] for d in decided],
                 "posterior": [d[1] for d in decided],
+                "shares": [share.tolist()] * len(decided),
             }
         )
 
@@ -407,7 +410,7 @@ def posteriors(evidence: DataFrame, records: DataFrame) -> DataFrame:
     return (
         table.join(F.broadcast(priors), "field")
         .groupBy("source", "field")
-        .applyInPandas(in_source, "source string, field string, evidence array<struct<chain:int,nats:int>>, chain int, posterior double")
+        .applyInPandas(in_source, "source string, field string, evidence array<struct<chain:int,nats:int>>, chain int, posterior double, shares array<double>")
     )
 
 
@@ -430,7 +433,7 @@ def _decided(table: DataFrame, record_id: str, source: Column, fields: list[str]
     records = counted.where("bucket = -1").select("source", "field", "n")
     decided = posteriors(evidence.select("source", "field", "evidence"), records).where(F.col("posterior") > least)
     found = evidence.join(decided, ["source", "field", "evidence"])
-    return found.select(F.col("record").alias(record_id), "field", "source", "text", "chain", "posterior"), model
+    return found.select(F.col("record").alias(record_id), "field", "source", "text", "chain", "posterior", "shares"), model
 
 
 def find_garbled(table: DataFrame, record_id: str, source: Column, fields: list[str], least: float = 0.5) -> DataFrame:
@@ -446,7 +449,7 @@ def find_garbled(table: DataFrame, record_id: str, source: Column, fields: list[
     Defined results: null texts and texts in ASCII are not garbled. A null source is a source of its
     own. Repeated records are decided alike, each for itself. Any length of text is fine.
     """
-    return _decided(table, record_id, source, fields, least)[0]
+    return _decided(table, record_id, source, fields, least)[0].drop("shares")
 
 
 def repair_garbled(table: DataFrame, record_id: str, source: Column, fields: list[str], least: float = 0.5) -> DataFrame:
@@ -459,13 +462,13 @@ def repair_garbled(table: DataFrame, record_id: str, source: Column, fields: lis
     model = table.sparkSession.sparkContext.broadcast(letters)  # BUCKETS numbers
 
     @F.pandas_udf("repaired string, chain string")
-    def undone(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def undone(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         evidence = Evidence(model.value)
-        for texts, chains in batches:
-            made = [evidence.repair(t, int(k)) for t, k in zip(texts, chains)]
+        for texts, chains, shares in batches:
+            made = [evidence.repair(t, int(k), s) for t, k, s in zip(texts, chains, shares)]
             names = [" + ".join(CHAIN_NAMES[k] for k in sorted(used, key=lambda k: k != c)) for (_, used), c in zip(made, chains)]
             yield pd.DataFrame({"repaired": pd.Series([m[0] for m in made], dtype=object), "chain": pd.Series(names, dtype=object)})
 
-    return found.select(record_id, "field", "source", "text", "posterior", undone("text", "chain").alias("u")).select(
+    return found.select(record_id, "field", "source", "text", "posterior", undone("text", "chain", "shares").alias("u")).select(
         record_id, "field", "source", "text", F.col("u.chain").alias("chain"), "posterior", F.col("u.repaired").alias("repaired")
     )
