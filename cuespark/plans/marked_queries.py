@@ -205,7 +205,7 @@ def windowed_scans(spark: SparkSession, directory: str) -> DataFrame:
     schema = load(spark, directory, "scan_files").schema
     kept = shared_folder(spark, "windows")
     stream = spark.readStream.schema(schema).parquet(f"{directory}/scan_files.parque[t]")
-    counts = windowed_counts(stream.where("scanned_at is not null"), "scanned_at", "30 days", "1 day", "format").select(F.col("window.start").alias("day"), "format", "rows")
+    counts = windowed_counts(stream.where("scanned_at is not null"), "scanned_at", "30 days", "1 day", "format").select(F.floor(F.col("window.start").cast("bigint") / 86_400).cast("bigint").alias("day"), "format", "rows")
     out = f"file://{kept}/out"
     query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"file://{kept}/log").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
@@ -470,7 +470,7 @@ select l.path, 'focused' as scope, string_agg(cue_id, ',' order by ordinal) as c
     "phrases_usable": "select row_id, '0' as indexes from cues where contains(search_text, 'the reel')",
     "scan_counts": f"with {_LATEST} select count(*) as valid, cast(coalesce(sum(cue_count), 0) as bigint) as cues, (select count(distinct path) from issues) as invalid from latest",
     "delete_unknown": f"with {_MARKED} select distinct path, false as valid, 'unknown cue ID \"srt:' || path || '\"' as error, true as nothing from marked",
-    "windowed_scans": "select date_trunc('day', scanned_at) as day, format, count(*) as rows from scan_files where scanned_at is not null group by all",
+    "windowed_scans": "select cast(floor(epoch(scanned_at) / 86400) as bigint) as day, format, count(*) as rows from scan_files where scanned_at is not null group by all",
 }
 
 _FILES = _FORMED.replace(_PLAIN, _WHOLE)
