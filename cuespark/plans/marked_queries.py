@@ -221,6 +221,14 @@ def _run(spark: SparkSession, *args: str) -> dict:
     return json.loads(out.getvalue())
 
 
+def _print(spark: SparkSession, *args: str) -> str:
+    """Runs a command whose output may be large; gives the file that it was printed to, in a folder that all executors share."""
+    at = os.path.join(shared_folder(spark, "printed"), "out")
+    with open(at, "w", encoding="utf-8", newline="\n") as out, open(os.devnull, "w") as err:
+        cli.run([*args], lambda: spark, out, err)
+    return at
+
+
 def cli_scan(spark: SparkSession, directory: str) -> DataFrame:
     root = _write(spark, directory, _whole)
     rows = _run(spark, "scan", "-d", root)["files"]
@@ -395,9 +403,9 @@ def cli_codes(spark: SparkSession, directory: str) -> DataFrame:
 
 def cli_lines(spark: SparkSession, directory: str) -> DataFrame:
     """The lines that a search prints for people."""
-    out = io.StringIO()
-    cli.run(["search", "-d", _write(spark, directory, _whole), *PHRASES], lambda: spark, out, io.StringIO())
-    return spark.createDataFrame([(line,) for line in out.getvalue().splitlines()], "line string")
+    printed = _print(spark, "search", "-d", _write(spark, directory, _whole), *PHRASES)
+    # a line holds no other line end: texts are printed without controls
+    return spark.read.text(f"file://{printed}", lineSep="\n").select(F.col("value").alias("line"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
