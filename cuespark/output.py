@@ -88,6 +88,80 @@ def write_json(out: TextIO, document: dict) -> None:
     out.write("}\n")
 
 
+_BLANKS = " \t\r\n"
+
+
+class _Text:
+    """A text that is read piece by piece and looked at from ``at`` on."""
+
+    def __init__(self, source: TextIO, piece: int):
+        self.source, self.piece, self.text, self.at, self.ended = source, piece, "", 0, False
+
+    def more(self) -> None:
+        if self.ended:
+            raise ValueError("the document ends too early")
+        got = self.source.read(max(self.piece, len(self.text) - self.at))  # a long value is looked at again only as often as it doubles
+        self.text, self.at, self.ended = self.text[self.at :] + got, 0, not got
+
+    def peek(self) -> str:
+        while True:
+            while self.at < len(self.text) and self.text[self.at] in _BLANKS:
+                self.at += 1
+            if self.at < len(self.text):
+                return self.text[self.at]
+            self.more()
+
+    def take(self, *allowed: str) -> str:
+        if (got := self.peek()) not in allowed:
+            raise ValueError(f"{got!r} in place of {' or '.join(allowed)}")
+        self.at += 1
+        return got
+
+    def value(self) -> tuple[object, str]:
+        """The next value, and how it is written."""
+        self.peek()
+        while True:
+            try:
+                value, end = _DECODER.raw_decode(self.text, self.at)
+            except ValueError:
+                if self.ended:
+                    raise
+            else:
+                if end < len(self.text) or self.ended:  # else a number might go on
+                    written, self.at = self.text[self.at : end], end
+                    return value, written
+            self.more()
+
+
+_DECODER = json.JSONDecoder()
+
+
+def read_json(source: TextIO, key: str, record: Callable[[str], object], piece: int = 1 << 20) -> dict:
+    """A document that ``write_json`` wrote, without the array under ``key``, whose values are told one by one, as they are written."""
+    text, document, found = _Text(source, piece), {}, False
+    text.take("{")
+    while True:
+        name, _ = text.value()
+        text.take(":")
+        if name != key:
+            document[name], _ = text.value()
+        else:
+            found = True
+            text.take("[")
+            if text.peek() == "]":
+                text.take("]")
+            else:
+                while True:
+                    record(text.value()[1])
+                    if text.take(",", "]") == "]":
+                        break
+        if text.take(",", "}") == "}":
+            break
+    if not found:
+        raise KeyError(key)
+    return document
+
+
 def envelope(command: str, target: Target, code: int = OK, **parts: object) -> dict:
     """The common frame of all documents; parts that are null don't apply and are left out."""
     head = {

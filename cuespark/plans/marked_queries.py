@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cuespark import cli
 from cuespark import functions as C
+from cuespark import output as O
 from cuespark.kernel.files import read_safe
 from cuespark.kernel.formats import detect_format, parse
 from cuespark.operators.discovery import discover
@@ -23,7 +24,7 @@ from cuespark.operators.rewrite import render_deletion
 from cuespark.operators.search import search_any
 from cuespark.plans.malformed import MALFORMED
 from cuespark.plans.reference_queries import _FOLD, _FOUND, _LATEST, _ONCE, _PLAIN, _WHITE, _WHOLE_DISPLAY, _clock, _cues, _deleted, _files, _whole
-from cuespark.plans.tree_queries import _BODY, _FORMED, _MATCHED, _PLAIN_DISPLAY, _WHOLE, PHRASES, _write
+from cuespark.plans.tree_queries import _BODY, _FORMED, _MATCHED, _PLAIN_DISPLAY, _WHOLE, PHRASES, _write, digest_now
 from cuespark.session import Session
 from cuespark.shared import shared_folder, snapshot
 from cuespark.streaming import windowed_counts
@@ -229,6 +230,14 @@ def _print(spark: SparkSession, *args: str) -> str:
     return at
 
 
+def _run_apart(spark: SparkSession, key: str, *args: str) -> tuple[dict, str]:
+    """The JSON document of a command without its records under ``key``, and a file of these, one a line."""
+    printed = _print(spark, *args, "--json")
+    at = os.path.join(os.path.dirname(printed), f"{key}.jsonl")
+    with open(printed, encoding="utf-8", newline="") as document, open(at, "w", encoding="utf-8", newline="\n") as lines:
+        return O.read_json(document, key, lambda record: lines.write(record + "\n")), at
+
+
 def cli_scan(spark: SparkSession, directory: str) -> DataFrame:
     root = _write(spark, directory, _whole)
     rows = _run(spark, "scan", "-d", root)["files"]
@@ -261,9 +270,9 @@ def cli_search(spark: SparkSession, directory: str) -> DataFrame:
 def cli_dry_run(spark: SparkSession, directory: str) -> DataFrame:
     """The summary of a removal that isn't carried out; no byte changes."""
     root = _write(spark, directory, _whole)
-    before = {r.path: r.sha256 for r in discover(spark, root).files.select("path", "sha256").toLocalIterator()}
-    shown = _run(spark, "remove", "-d", root, "--dry-run", *PHRASES)
-    same = all(read_safe(root, p).sha256 == x for p, x in before.items())
+    before = discover(spark, root).files.select("path", "sha256")
+    shown, _ = _run_apart(spark, "matches", "remove", "-d", root, "--dry-run", *PHRASES)
+    same = before.withColumn("now", digest_now(root, F.col("path"))).where("now <> sha256").isEmpty()
     s = shown["summary"]
     return spark.createDataFrame([(shown["dry_run"], s["matching_cues"], s["matching_files"], s["scanned_files"], same)], "dry_run boolean, cues bigint, files bigint, scanned bigint, same boolean")
 

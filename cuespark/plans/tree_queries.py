@@ -7,7 +7,8 @@ import hashlib
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespark.functions import detect_format
@@ -38,6 +39,16 @@ def _write(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> st
     return root
 
 
+def digest_now(root: str, path: Column) -> Column:
+    """The digest that a file below ``root`` has when it is asked for; a file that can't be read is an error."""
+
+    @F.pandas_udf("string")
+    def digest(paths: pd.Series) -> pd.Series:
+        return pd.Series([read_safe(root, p).sha256 for p in paths], dtype=object)
+
+    return digest.asNondeterministic()(path)
+
+
 def _scan(spark: SparkSession, directory: str, prepare: Prepare = _plain) -> Discovery:
     return discover(spark, _write(spark, directory, prepare))
 
