@@ -263,8 +263,9 @@ def scan_one_file(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def cli_search(spark: SparkSession, directory: str) -> DataFrame:
-    rows = _run(spark, "search", "-d", _write(spark, directory, _whole), *PHRASES)["matches"]
-    return spark.createDataFrame([(r["path"], r["start_ms"], r["end_ms"], "|".join(r["matched_phrases"])) for r in rows], "path string, start_ms bigint, end_ms bigint, phrases string")
+    _, matches = _run_apart(spark, "matches", "search", "-d", _write(spark, directory, _whole), *PHRASES)
+    rows = spark.read.schema("path string, start_ms bigint, end_ms bigint, matched_phrases array<string>").json(f"file://{matches}", lineSep="\n", mode="FAILFAST")
+    return rows.select("path", "start_ms", "end_ms", F.array_join("matched_phrases", "|").alias("phrases"))
 
 
 def cli_dry_run(spark: SparkSession, directory: str) -> DataFrame:

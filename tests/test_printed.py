@@ -32,6 +32,12 @@ def test_lines_are_read_from_a_file(spark, directory):
     ]
 
 
+def test_matches_are_read_from_a_file(spark, directory):
+    got = QUERIES["cli_search"](spark, directory)
+    assert got.inputFiles()
+    assert sorted(map(tuple, got.collect())) == [("d/a.srt", 0, 500, "the "), ("d/b.srt", 1000, 1500, "the |FEED"), ("d/b.srt", 3000, 3500, "the |café")]
+
+
 @pytest.mark.parametrize("piece", [1, 7, 1000])
 def test_records_are_told_one_by_one(piece):
     records = [{"path": 'a"},{"b', "n": [1, 2]}, {"path": "]", "n": []}, 12, "x"]
